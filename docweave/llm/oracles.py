@@ -4,6 +4,37 @@ from __future__ import annotations
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('0:' || coalesce(doc_id::VARCHAR, '')) AS draw
+  FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::HUGEINT AS weight,
+             sum(source_size) OVER ()::HUGEINT AS total FROM r),
+o AS (SELECT *, total - coalesce(sum(3 * source_size) OVER before, 0)::HUGEINT AS remaining,
+             (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::HUGEINT AS weight_left
+      FROM w WINDOW before AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 3 * source_size * weight_left <= weight * remaining AS clamped FROM o),
+f AS (SELECT max(total) - coalesce(sum(3 * source_size) FILTER (clamped), 0) AS free_total,
+             sum(weight) FILTER (NOT clamped) AS free_weight FROM c),
+t AS (SELECT source, source_size::BIGINT AS source_size,
+             CASE WHEN clamped THEN (3 * source_size)::DOUBLE
+                  ELSE free_total::DOUBLE / free_weight::DOUBLE * weight::DOUBLE END AS target
+      FROM c, f),
+p AS (SELECT d.*, t.source_size, t.target,
+             CASE WHEN t.source_size > 0 THEN floor(t.target + 0.5)::BIGINT // t.source_size ELSE 0 END AS whole,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, greatest(0, least(size, floor(target + 0.5)::BIGINT - whole * source_size - ahead)) AS extra FROM p)
+SELECT doc_id, size, source_size, target, (whole * size + extra)::BIGINT AS taken,
+       (whole + CASE WHEN extra = size AND size > 0 THEN 1 ELSE 0 END)::BIGINT AS repeats,
+       (CASE WHEN extra = size AND size > 0 THEN 0 ELSE extra END)::BIGINT AS part
+FROM x
+"""
+
 OP7 = f"""
 WITH t AS (SELECT doc_id, {LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -14,5 +45,6 @@ FROM t JOIN g ON t.norm = g.norm
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": OP2,
         "op7_exact_dedup": OP7,
     }
