@@ -35,6 +35,21 @@ SELECT doc_id, size, source_size, target, (whole * size + extra)::BIGINT AS take
 FROM x
 """
 
+OP5 = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+         role, text, coalesce('=' || role, '-') || chr(31) || coalesce('=' || text, '-') AS mark
+  FROM conversations),
+p AS (SELECT conv_id, n, md5(string_agg(mark, chr(30)) OVER (PARTITION BY conv_id ORDER BY n)) AS h,
+             count(*) OVER (PARTITION BY conv_id) AS full_n FROM t),
+w AS (SELECT n, h, min(conv_id) AS conv_id FROM p WHERE n = full_n GROUP BY n, h),
+k AS (SELECT conv_id FROM w ANTI JOIN (SELECT DISTINCT n, h FROM p WHERE n < full_n) q ON w.n = q.n AND w.h = q.h)
+SELECT t.conv_id, count(*)::BIGINT AS n_turns,
+       string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10)
+                  ORDER BY n) AS rendered
+FROM t JOIN k ON t.conv_id = k.conv_id GROUP BY t.conv_id
+"""
+
 OP7 = f"""
 WITH t AS (SELECT doc_id, {LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -42,9 +57,52 @@ SELECT t.doc_id, g.keep_id, g.group_size, coalesce(t.doc_id = g.keep_id, false)
 FROM t JOIN g ON t.norm = g.norm
 """
 
+#: kind, pattern, least length of the tested group, that group. RE2 folds more than ASCII, so cases are spelled out.
+_SECRETS = (
+    (
+        "assign",
+        """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"""
+        r"""|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        12,
+        2,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 18, 0),
+    ("hex", "[0-9a-f]+", 16, 0),
+    ("pem", "-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", 0, 0),
+    ("github", "gh[oprsu]_[A-Za-z0-9]+", 40, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 16, 0),
+)
+
+
+def _op9() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT row_no, '{kind}' AS kind, {k} AS k, regexp_extract_all(text, '{p}', 0) AS m,"
+        f" regexp_extract_all(text, '{p}', {group}) AS g, string_split_regex(text, '{p}') AS b, {least} AS least FROM d"
+        for k, (kind, p, least, group) in enumerate(_SECRETS)
+    )
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{x[0]}'), 0)::BIGINT AS n_{x[0]}" for x in _SECRETS)
+    span = "kind || ':' || s || ':' || (s + w)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({parts}),
+u AS (SELECT row_no, kind, k, least, generate_subscripts(m, 1) AS i, unnest(m) AS m, unnest(g) AS g,
+             unnest(b[1:len(m)]) AS b FROM f WHERE len(m) > 0),
+v AS (SELECT *, length(m) AS w, (sum(length(b)) OVER o + sum(length(m)) OVER o - length(m))::BIGINT AS s FROM u
+      WINDOW o AS (PARTITION BY row_no, kind ORDER BY i)),
+x AS (SELECT row_no, {counts},
+             sha256(coalesce(string_agg({span}, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
+             string_agg({span}, ',' ORDER BY s, k) AS spans
+      FROM v WHERE length(g) >= least GROUP BY row_no)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{x[0]}, 0) AS n_{x[0]}' for x in _SECRETS)},
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN x ON d.row_no = x.row_no
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": OP2,
+        "op5_chat": OP5,
         "op7_exact_dedup": OP7,
+        "op9_secrets": _op9(),
     }

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.chat import chat_format
 from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.mixing import mix_sources
+from docweave.llm.secrets import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
+        "op5_chat": op5_chat,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_secrets": op9_secrets,
     }
