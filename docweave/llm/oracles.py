@@ -35,6 +35,27 @@ SELECT doc_id, size, source_size, target, (whole * size + extra)::BIGINT AS take
 FROM x
 """
 
+_WORDS3 = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP3 = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS3} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k,
+               unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda p: array_to_string(w[p:p + least(10, len(w)) - 1], ' '))) AS g
+        FROM i WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, {_WORDS3} AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT row_no, k, unnest(range(1, len(w) - k + 2)) AS p,
+                 unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g
+          FROM d, sizes WHERE len(w) >= k),
+m AS (SELECT row_no, p, grams.k, item_id FROM grams JOIN win ON grams.g = win.g AND grams.k = win.k),
+hit AS (SELECT row_no, count(DISTINCT q) AS n_hit FROM (SELECT row_no, unnest(range(p, p + k)) AS q FROM m) GROUP BY row_no),
+its AS (SELECT row_no, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+        FROM m GROUP BY row_no)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.row_no = hit.row_no LEFT JOIN its ON d.row_no = its.row_no
+"""
+
 OP5 = """
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
@@ -102,6 +123,7 @@ FROM d LEFT JOIN x ON d.row_no = x.row_no
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": OP2,
+        "op3_decontamination": OP3,
         "op5_chat": OP5,
         "op7_exact_dedup": OP7,
         "op9_secrets": _op9(),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.chat import chat_format
+from docweave.llm.decontaminate import find_contamination
 from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.mixing import mix_sources
 from docweave.llm.secrets import scan_secrets
@@ -20,6 +21,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return find_contamination(docs, items, window=10).drop("spans")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -35,6 +41,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
+        "op3_decontamination": op3_decontamination,
         "op5_chat": op5_chat,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_secrets": op9_secrets,
