@@ -11,6 +11,7 @@ from docweave.llm.decontaminate import find_contamination
 from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.mixing import mix_sources
 from docweave.llm.secrets import scan_secrets
+from docweave.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(docs, items, window=10).drop("spans")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, seed=42)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_decontamination": op3_decontamination,
+        "op4_simhash": op4_simhash,
         "op5_chat": op5_chat,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_secrets": op9_secrets,
