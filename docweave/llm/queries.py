@@ -12,12 +12,17 @@ from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.mixing import mix_sources
 from docweave.llm.secrets import scan_secrets
 from docweave.llm.simhash import near_duplicates
+from docweave.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -45,6 +50,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
