@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docweave.llm.chat import chat_format
 from docweave.llm.decontaminate import find_contamination
 from docweave.llm.exact_dedup import exact_duplicates
+from docweave.llm.html_text import extract_pages
 from docweave.llm.mixing import mix_sources
 from docweave.llm.secrets import scan_secrets
 from docweave.llm.simhash import near_duplicates
@@ -44,6 +45,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_chat": op5_chat,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_html": op8_html,
         "op9_secrets": op9_secrets,
     }
