@@ -11,6 +11,7 @@ from docweave.llm.decontaminate import find_contamination
 from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.html_text import extract_pages
 from docweave.llm.mixing import mix_sources
+from docweave.llm.ngram_model import lm_scores
 from docweave.llm.secrets import scan_secrets
 from docweave.llm.simhash import near_duplicates
 from docweave.llm.toxicity import toxicity
@@ -41,6 +42,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
         "op5_chat": op5_chat,
+        "op6_lm": op6_lm,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
