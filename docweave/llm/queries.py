@@ -14,6 +14,7 @@ from docweave.llm.mixing import mix_sources
 from docweave.llm.ngram_model import lm_scores
 from docweave.llm.secrets import scan_secrets
 from docweave.llm.simhash import near_duplicates
+from docweave.llm.token_counts import count_tokens
 from docweave.llm.toxicity import toxicity
 
 
@@ -58,6 +59,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -69,4 +76,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
+        "op10_tokens": op10_tokens,
     }
