@@ -52,3 +52,15 @@ def with_bitmap_flag(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits
         .withColumn(flag, F.call_function("shiftright", F.col("_byte"), bit).bitwiseAND(1) == 1)
         .drop("_block", "_pos", "_byte", "_bitmap")
     )
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not among gone[id_col], with all their columns. Rows without an id stay.
+
+    Only rows that a bitmap of the ids marks meet gone in a join, so the texts of the others are not shuffled.
+    """
+    bitmap = key_bitmap(gone, id_col)
+    marked = with_bitmap_flag(docs, id_col, bitmap, "_maybe_gone")
+    sure = marked.where("not _maybe_gone").drop("_maybe_gone")
+    rest = marked.where("_maybe_gone").drop("_maybe_gone").join(gone.select(id_col).distinct(), id_col, "left_anti")
+    return sure.select(*docs.columns).unionByName(rest.select(*docs.columns))

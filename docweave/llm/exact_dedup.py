@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import ascii_lower, key_bitmap, with_bitmap_flag
+from docweave.llm.common import ascii_lower, key_bitmap, with_bitmap_flag, without_ids
 from docweave.session import materialize
 
 
@@ -85,10 +85,6 @@ def drop_exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
 ) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows without an id stay."""
-    gone = (
-        exact_duplicates(docs, id_col, text_col, keep)
-        .where("not kept and doc_id is not null")
-        .select(F.col("doc_id").alias("_gone"))
-        .distinct()
-    )
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = exact_duplicates(docs, id_col, text_col, keep)
+    gone = materialize(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)), "gone")
+    return without_ids(docs, id_col, gone)
