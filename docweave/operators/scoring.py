@@ -1,0 +1,296 @@
+"""Scored rule matching: document type, language, jurisdiction. Rules are compiled into one projection per operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from docweave.functions import rules as R
+from docweave.functions.profiles import REGISTRY_OF_PROFILES, Profile, Rule
+from docweave.functions.textnorm import collapse, confidence_level, plain_dashes
+
+_HITS = "array<struct<label:string,weight:int,anchor:boolean>>"
+
+
+def detection_text(value: Column) -> Column:
+    return collapse(plain_dashes(F.upper(F.coalesce(value, F.lit("")))))
+
+
+def classification_text(value: Column) -> Column:
+    """Upper case, plain dashes, frequent joined headings parted, white space collapsed."""
+    text = plain_dashes(F.upper(F.coalesce(value, F.lit(""))))
+    for phrase in R.JOINED_PHRASES:
+        text = F.replace(text, F.lit(phrase.replace(" ", "")), F.lit(phrase))
+    return collapse(text)
+
+
+def _hits(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """The rules found in text, each once, in order."""
+    return F.array_compact(
+        F.array(
+            *(
+                F.when(
+                    F.regexp_like(text, F.lit(f"(?s){r.pattern}")),
+                    F.struct(F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.anchor).alias("anchor")),
+                )
+                for r in rules
+            )
+        )
+    ).cast(_HITS)
+
+
+def _weight(hits: Column) -> Column:
+    return F.aggregate(hits, F.lit(0), lambda total, h: total + h["weight"])
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: type, confidence, matched_terms, alternatives, ambiguous.
+
+    A signature's score is the sum of its rules' weights, less 2 for each pattern against it. Confidence is the score
+    over the signature's full score, at most .58 without an anchor and times .65 without any company wording. The
+    best by (confidence, score, order) wins; a runner-up of .40 or more within .08 makes it ambiguous. Below the
+    signature's least score or .40 the type is unknown, with a confidence of .39 at most. Null texts are unknown.
+    """
+    text = F.col("_text")
+    signatures = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("order"),
+                F.lit(s.kind).alias("kind"),
+                F.lit(s.high).alias("high"),
+                F.lit(s.least).alias("least"),
+                _hits(text, s.rules).alias("hits"),
+                sum((F.regexp_like(text, F.lit(p)).cast("int") for p in s.against), F.lit(0)).alias("against"),
+            )
+            for i, s in enumerate(R.SIGNATURES)
+        )
+    )
+
+    def score(s: Column) -> Column:
+        raw = F.greatest(F.lit(0), _weight(s["hits"]) - 20 * s["against"])
+        part = F.least(raw / s["high"], F.lit(1.0))
+        part = F.when(F.exists(s["hits"], lambda h: h["anchor"]), part).otherwise(F.least(part, F.lit(0.58)))
+        part = F.round(F.when(F.col("_context"), part).otherwise(part * 0.65), 4)
+        return F.struct(
+            (-part).alias("rank"),
+            (-raw).alias("rank2"),
+            s["order"].alias("order"),
+            s["kind"].alias("document_type"),
+            part.alias("confidence"),
+            (raw >= s["least"]).alias("enough"),
+            F.transform(s["hits"], lambda h: h["label"]).alias("matched_terms"),
+        )
+
+    scored = (
+        docs.select(F.col(id_col).alias("doc_id"), classification_text(F.col(text_col)).alias("_text"))
+        .withColumn("_context", F.regexp_like("_text", F.lit(R.COMPANY_CONTEXT)))
+        .withColumn("_signatures", signatures)
+        .select("doc_id", "_text", F.array_sort(F.transform("_signatures", score)).alias("_scored"))
+    )
+    best = F.col("_scored")[0]
+    combined = (best["document_type"] == R.COMBINED) & F.arrays_overlap(
+        best["matched_terms"], F.array(*map(F.lit, R.COMBINED_TERMS))
+    )
+    others = F.slice("_scored", 2, len(R.SIGNATURES))
+    others = F.when(combined, F.filter(others, lambda x: ~x["document_type"].isin(*R.COMBINED_PARTS))).otherwise(others)
+    ranked = scored.select("doc_id", "_text", best.alias("best"), others.alias("others"))
+    runner_up = F.get(F.filter("others", lambda x: x["confidence"] >= 0.40), F.lit(0))
+    known = F.col("best.enough") & (F.col("best.confidence") >= 0.40)
+    shown = F.when(known, F.slice("others", 1, 3)).otherwise(F.concat(F.array("best"), F.slice("others", 1, 2)))
+    empty = F.col("_text") == ""
+    alternatives = F.transform(
+        F.filter(shown, lambda x: (x["confidence"] > 0) & ~empty),
+        lambda x: F.struct(
+            x["document_type"].alias("document_type"),
+            F.bround(x["confidence"], 3).alias("confidence"),
+            confidence_level(x["confidence"]).alias("confidence_level"),
+            x["matched_terms"].alias("matched_terms"),
+        ),
+    )
+    return ranked.select(
+        "doc_id",
+        F.when(known, F.col("best.document_type")).otherwise(R.UNKNOWN_DOCUMENT).alias("document_type"),
+        F.when(known, F.col("best.confidence")).otherwise(F.least(F.lit(0.39), F.col("best.confidence"))).alias("confidence"),
+        F.col("best.matched_terms").alias("matched_terms"),
+        F.coalesce(F.col("best.confidence") - runner_up["confidence"] <= 0.08, F.lit(False)).alias("ambiguous"),
+        alternatives.alias("alternatives"),
+    )
+
+
+def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: code, name, confidence, matched, ambiguous.
+
+    The language of the highest score wins, of equals the greatest code; below 2 points there is none. A second
+    language within 1 point makes it ambiguous.
+    """
+    text = F.col("_text")
+    scored = F.array(
+        *(
+            F.struct(
+                sum((F.when(F.regexp_like(text, F.lit("(?U)" + p)), w).otherwise(0) for p, w in patterns), F.lit(0)).alias("score"),
+                F.lit(code).alias("code"),
+                F.lit(name).alias("name"),
+                F.array_compact(
+                    F.array(
+                        *(
+                            F.when(F.regexp_like(text, F.lit("(?U)" + p)), F.regexp_extract(text, "(?U)" + p, 0))
+                            for p, _ in patterns
+                        )
+                    )
+                ).alias("matched"),
+            )
+            for code, name, patterns in R.LANGUAGES
+        )
+    )
+    ranked = docs.select(
+        F.col(id_col).alias("doc_id"), collapse(F.upper(F.coalesce(F.col(text_col), F.lit("")))).alias("_text")
+    ).select("doc_id", F.sort_array(scored, asc=False).alias("_scored"))
+    best, second = F.col("_scored")[0], F.col("_scored")[1]["score"] / 10
+    points = best["score"] / 10
+    ambiguous = (second > 0) & (points - second < 1)
+    confidence = F.least(F.lit(0.98), F.lit(0.45) + points / 12)
+    confidence = F.when(ambiguous, F.least(confidence, F.lit(0.59))).otherwise(confidence)
+    known = points >= 2
+    return ranked.select(
+        "doc_id",
+        F.when(known, best["code"]).alias("code"),
+        F.when(known, best["name"]).alias("name"),
+        F.when(known, confidence).otherwise(F.least(points / 5, F.lit(0.39))).alias("confidence"),
+        best["matched"].alias("matched"),
+        (known & ambiguous).alias("ambiguous"),
+    )
+
+
+def _profile_score(text: Column, p: Profile) -> Column:
+    hits = _hits(text, p.markers)
+    # A state's authority is evidence for its country too; only the strongest counts.
+    by_weight: dict[int, list[Rule]] = {}
+    for marker in (m for s in p.subdivisions for m in s.markers):
+        by_weight.setdefault(marker.weight, []).append(marker)
+    strongest = F.lit(0)
+    for weight, markers in sorted(by_weight.items()):
+        some = "|".join(f"(?:{m.pattern})" for m in markers)
+        strongest = F.when(F.regexp_like(text, F.lit(some)), weight).otherwise(strongest)
+    return F.struct(
+        F.lit(p.code).alias("code"),
+        F.lit(p.name).alias("name"),
+        F.lit(p.registry).alias("registry"),
+        F.lit(p.high).alias("high"),
+        F.lit(p.least).alias("least"),
+        (_weight(hits) + strongest).alias("raw"),
+        F.transform(hits, lambda h: h["label"]).alias("terms"),
+    )
+
+
+def detect_jurisdiction(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hint_col: str | None = None
+) -> DataFrame:
+    """One row per document: country, registry, source, confidence, requested, detected, matched_terms, conflict.
+
+    The profile of the highest (confidence, score, code) is detected if its score is enough. An agreeing hint raises
+    the confidence to .90, a conflicting one yields to the document; a hint alone counts .65, or .45 without a profile.
+    """
+    profiles = REGISTRY_OF_PROFILES.list()
+    known = F.create_map(*(F.lit(x) for p in profiles for n in _hint_names(p) for x in (n, p.code)))
+    hint = F.lit(None).cast("string") if hint_col is None else F.col(hint_col)
+    plain = F.trim(F.regexp_replace(F.upper(hint), "[^A-Z0-9]+", " "))
+    requested = F.coalesce(F.try_element_at(known, plain), F.when(F.regexp_like(plain, F.lit("^[A-Z]{3}$")), plain))
+    scored = docs.select(
+        F.col(id_col).alias("doc_id"), detection_text(F.col(text_col)).alias("_text"), requested.alias("requested")
+    ).withColumn("_all", F.array(*(_profile_score(F.col("_text"), p) for p in profiles)))
+    part = lambda s: F.round(F.least(s["raw"] / s["high"], F.lit(1.0)), 4)
+    ranked = F.sort_array(
+        F.transform(
+            "_all",
+            lambda s: F.struct(
+                part(s).alias("confidence"), s["raw"].alias("raw"), s["code"].alias("code"), s["name"].alias("name"),
+                s["registry"].alias("registry"), (s["raw"] >= s["least"]).alias("enough"), s["terms"].alias("terms"),
+            ),
+        ),
+        asc=False,
+    )
+    best = scored.withColumn("_best", ranked[0]).withColumn(
+        "_asked", F.get(F.filter("_all", lambda s: s["code"] == F.col("requested")), F.lit(0))
+    )
+    found = F.col("_best.enough")
+    detected = F.when(found, F.col("_best.code"))
+    agree = F.coalesce(detected == F.col("requested"), F.lit(False))
+    conflict = F.coalesce(detected != F.col("requested"), F.lit(False))
+    source = (
+        F.when(agree, "country_hint_and_document")
+        .when(conflict, "document_text_conflict")
+        .when(found, "document_text")
+        .when(F.col("_asked").isNotNull(), "country_hint")
+        .when(F.col("requested").isNotNull(), "country_hint_unprofiled")
+        .otherwise("undetermined")
+    )
+    confidence = (
+        F.when(agree, F.greatest(F.lit(0.90), F.col("_best.confidence")))
+        .when(found, F.col("_best.confidence"))
+        .when(F.col("_asked").isNotNull(), 0.65)
+        .when(F.col("requested").isNotNull(), 0.45)
+        .otherwise(0.0)
+    )
+    pick = lambda name: F.when(found, F.col(f"_best.{name}")).otherwise(F.col(f"_asked.{name}"))
+    return best.select(
+        "doc_id",
+        F.coalesce(pick("code"), "requested").alias("country_code"),
+        pick("name").alias("country_name"),
+        pick("registry").alias("registry_name"),
+        source.alias("source"),
+        confidence.alias("confidence"),
+        F.col("requested").alias("requested_country_code"),
+        detected.alias("detected_country_code"),
+        F.when(found, F.col("_best.terms")).otherwise(F.expr("cast(array() as array<string>)")).alias("matched_terms"),
+        conflict.alias("conflict"),
+    )
+
+
+def _hint_names(p: Profile) -> list[str]:
+    return sorted(n for n in REGISTRY_OF_PROFILES._names(p) if n)
+
+
+def detect_subdivision(docs: DataFrame, country: str = "USA", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with a subdivision of country: code, name, registry, confidence, ambiguous, alternatives.
+
+    The best by (confidence, score, code) of those with enough score; others within .08 make it ambiguous, of which
+    three are listed.
+    """
+    profile = REGISTRY_OF_PROFILES.get(country)
+    subdivisions = profile.subdivisions if profile else ()
+    base = docs.select(F.col(id_col).alias("doc_id"), detection_text(F.col(text_col)).alias("_text"))
+    if not subdivisions:
+        return base.where("false").selectExpr(
+            "doc_id", "'' code", "'' name", "'' registry_name", "0D confidence", "false ambiguous", "array('') alternatives"
+        )
+    scored = F.array(
+        *(
+            F.struct(
+                F.round(F.least(_weight(_hits(F.col("_text"), s.markers)) / s.high, F.lit(1.0)), 4).alias("confidence"),
+                F.lit(s.code).alias("code"),
+                F.lit(s.name).alias("name"),
+                F.lit(s.registry).alias("registry"),
+                F.lit(s.least / s.high).alias("least"),
+            )
+            for s in subdivisions
+        )
+    )
+    # One alternation over all markers first: most documents name no state and skip the rest.
+    some = "|".join(f"(?:{m.pattern})" for s in subdivisions for m in s.markers)
+    ranked = F.sort_array(F.filter(scored, lambda s: s["confidence"] >= s["least"]), asc=False)
+    best, others = F.col("_ranked")[0], F.slice("_ranked", 2, len(subdivisions))
+    close = F.filter(others, lambda s: F.abs(F.col("_ranked")[0]["confidence"] - s["confidence"]) <= 0.08)
+    return (
+        base.where(F.regexp_like("_text", F.lit(some)))
+        .select("doc_id", ranked.alias("_ranked"))
+        .where(F.size("_ranked") > 0)
+        .select(
+            "doc_id",
+            best["code"].alias("code"),
+            best["name"].alias("name"),
+            best["registry"].alias("registry_name"),
+            best["confidence"].alias("confidence"),
+            (F.size(close) > 0).alias("ambiguous"),
+            F.transform(F.slice(close, 1, 3), lambda s: s["code"]).alias("alternatives"),
+        )
+    )

@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.plans import identity_queries, scoring_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (scoring_queries, identity_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring_queries.classify_documents(spark, sf_dir)
