@@ -195,6 +195,30 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "ghana_voters": (f"SELECT c_custkey AS doc_id, {_text(_VOTER)} AS text FROM customer", ("customer",)),
     "statements": (f"SELECT c_custkey AS doc_id, {_cases('c_custkey', _STATEMENT)} AS text FROM customer", ("customer",)),
+    "boxes": (
+        "SELECT l_orderkey AS doc_id, CAST(l_linenumber * 9 + l_partkey % 7 AS DOUBLE) AS y, CAST(l_partkey % 1000 AS DOUBLE) AS x,"
+        " CAST(8 + l_quantity % 12 AS DOUBLE) AS h, concat(l_returnflag, CAST(l_partkey AS STRING)) AS text FROM lineitem",
+        ("lineitem",),
+    ),
+    "page_candidates": (
+        f"""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE {_text(_VOTER)} END AS embedded,
+        CASE WHEN c_custkey % 8 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN 'CODE: 12-34-56-789 REPUBLIC'
+             WHEN c_custkey % 3 = 1 THEN {_text(_VOTER + chr(10) + "MORE {c_name} words here")} ELSE {_text(_VOTER)} END AS rendered,
+        CAST(c_custkey % 100 AS DOUBLE) / 100 AS ocr_confidence FROM customer""",
+        ("customer",),
+    ),
+    "doc_pages": (
+        "SELECT l_orderkey AS doc_id, l_linenumber AS page_number, repeat(concat(l_returnflag, CAST(l_partkey AS STRING), ' '),"
+        " CAST(l_quantity AS INT)) AS text FROM lineitem",
+        ("lineitem",),
+    ),
+    "uploads": (
+        """SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 0 THEN 'a.pdf' WHEN 1 THEN 'b.PNG' WHEN 2 THEN 'c.jpg' WHEN 3 THEN 'd.xyz'
+        WHEN 4 THEN '' ELSE 'plain' END AS filename, unhex(CASE c_custkey % 8 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN '89504E470D0A1A0A00'
+        WHEN 2 THEN 'FFD8FFE0' WHEN 3 THEN '424D0000' WHEN 4 THEN '5249464600000000574542500000' WHEN 5 THEN '' WHEN 6 THEN '49492A0008' ELSE '00112233' END)
+        AS content FROM customer""",
+        ("customer",),
+    ),
 }
 
 
