@@ -89,6 +89,9 @@ def normalize_business_text(value: Column) -> Column:
 
     Null gives an empty text. A joined label counts if a mark of :#.-_ follows or it is all upper case.
     """
+    spelled = lambda label: "[^A-Za-z]*".join(label.replace(" ", ""))
+    joined = f"^[^A-Za-z]*({'|'.join(rf'(?i:{spelled(x)})(?=[:#.\-_])|{spelled(x)}' for x in JOINED_LABELS)})"
+    labels = F.create_map(*(F.lit(x) for label in JOINED_LABELS for x in (label.replace(" ", ""), label)))
     text = F.regexp_replace(F.coalesce(value, F.lit("")), r"\r\n?", "\n")
     text = F.translate(plain_dashes(text), " ", " ")
 
@@ -97,15 +100,10 @@ def normalize_business_text(value: Column) -> Column:
         out = F.regexp_replace(
             out, r"(?i)^HEAD[\s_]*OFFICE[\s_]*ADDRESS(?=$|[\s:#.\-_]|\d)[ :#._-]*", "HEAD OFFICE ADDRESS "
         )
-        found = out
-        for label in reversed(JOINED_LABELS):
-            joined = label.replace(" ", "")
-            spelled = "[^A-Za-z]*" + "[^A-Za-z]*".join(f"[{c}{c.lower()}]" for c in joined)
-            marked = rf"^{spelled}(?=[:#.\-_])[ :\-._]*"
-            upper = rf"^[^A-Za-z]*{'[^A-Za-z]*'.join(joined)}[ :\-._]*"
-            for pattern in (upper, marked):
-                found = F.when(F.regexp_like(out, F.lit(pattern)), F.regexp_replace(out, pattern, label + " ")).otherwise(found)
-        return F.trim(found)
+        found = F.regexp_extract(out, joined, 1)
+        label = F.try_element_at(labels, F.regexp_replace(F.upper(found), "[^A-Z]", ""))
+        rest = F.ltrim(F.substr(out, F.length(found) + 1), F.lit(" :-._"))
+        return F.trim(F.when(found != "", F.concat(label, F.lit(" "), rest)).otherwise(out))
 
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), line), lambda x: x != ""), "\n")
 

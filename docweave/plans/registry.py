@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import identity_queries, page_queries, scoring_queries
+from docweave.plans import business_queries, identity_queries, page_queries, scoring_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (scoring_queries, identity_queries, page_queries)
+_MODULES = (scoring_queries, identity_queries, page_queries, business_queries)
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring_queries.classify_documents(spark, sf_dir)
+    return business_queries.business_records(spark, sf_dir)

@@ -219,6 +219,39 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         AS content FROM customer""",
         ("customer",),
     ),
+    "raw_values": (
+        """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN concat('Company Name:  ACME ', c_name, ' Limited.') WHEN 1 THEN concat('ALPHA ', c_name, ' LTD is hereby incorporated today')
+        WHEN 2 THEN '  ,;' ELSE concat('Beta', chr(10), 'Gamma ', c_name) END AS name, concat(' rc / ', CAST(c_custkey AS STRING), ' -x#') AS ident,
+        CASE c_custkey % 9 WHEN 0 THEN 'Public company limited by shares' WHEN 1 THEN 'LIMITEDLIABILITYCOMPANY' WHEN 2 THEN 'Acme Ltd/Gte' WHEN 3 THEN 'Acme plc'
+        WHEN 4 THEN 'a private company' WHEN 5 THEN 'partnership' WHEN 6 THEN 'Foo Limited' WHEN 7 THEN 'Foo Inc.' ELSE 'none' END AS kind,
+        CASE c_custkey % 7 WHEN 0 THEN 'In Liquidation' WHEN 1 THEN 'struck-off' WHEN 2 THEN 'INACTIVE' WHEN 3 THEN 'active' WHEN 4 THEN 'Registered' WHEN 5 THEN 'not active' ELSE '?' END AS status,
+        CASE c_custkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN ' F ' WHEN 2 THEN 'other' ELSE '' END AS sex, CAST(c_custkey % 101 AS DOUBLE) / 100 AS score,
+        CASE c_custkey % 6 WHEN 0 THEN '$' WHEN 1 THEN 'US $' WHEN 2 THEN 'NGN' WHEN 3 THEN 'naira' WHEN 4 THEN '€' ELSE 'x' END AS money,
+        CASE c_custkey % 5 WHEN 0 THEN 'USA' WHEN 1 THEN 'CAN' WHEN 2 THEN 'AUS' ELSE 'NGA' END AS country,
+        CASE c_custkey % 4 WHEN 0 THEN '1,234.50' WHEN 1 THEN concat('00', CAST(c_custkey AS STRING)) WHEN 2 THEN 'abc' ELSE '12.' END AS amount FROM customer""",
+        ("customer",),
+    ),
+    "raw_dates": (
+        """SELECT doc_id, a, b, y, form, country, CASE form WHEN 0 THEN concat_ws('-', CAST(y AS STRING), CAST(b AS STRING), CAST(a AS STRING))
+        WHEN 1 THEN concat('Dated this ', CAST(a AS STRING), 'th day of ', mon, ', ', CAST(y AS STRING)) WHEN 2 THEN concat('Friday, ', mon, ' ', CAST(a AS STRING), ' ', CAST(y AS STRING))
+        ELSE concat_ws('/', CAST(a AS STRING), CAST(b AS STRING), CAST(y AS STRING)) END AS raw
+        FROM (SELECT c_custkey AS doc_id, c_custkey % 31 + 1 AS a, c_custkey % 13 + 1 AS b, 1950 + c_custkey % 90 AS y, c_custkey % 4 AS form,
+        CASE c_custkey % 3 WHEN 0 THEN 'USA' ELSE 'NGA' END AS country,
+        CASE c_custkey % 13 + 1 WHEN 1 THEN 'January' WHEN 2 THEN 'FEB' WHEN 3 THEN 'mar' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'Jul'
+        WHEN 8 THEN 'Aug' WHEN 9 THEN 'Sept' WHEN 10 THEN 'October' WHEN 11 THEN 'Nov' WHEN 12 THEN 'DECEMBER' ELSE 'Foo' END AS mon FROM customer) q""",
+        ("customer",),
+    ),
+    "candidates": (
+        """SELECT l_orderkey AS doc_id, concat('f', CAST(l_linenumber AS STRING)) AS field, CASE WHEN p = 1 AND k % 3 = 0 THEN concat('Other ', CAST(k AS STRING)) WHEN p = 1 THEN concat('va.', CAST(k AS STRING))
+        ELSE concat('VA ', CAST(k AS STRING)) END AS value, CASE WHEN p = 0 THEN 0.8 ELSE 0.6 + (k % 40) / 100.0 END * CAST(1 AS DOUBLE) AS confidence, p AS parser
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber) q CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 AS p) r WHERE p = 0 OR k % 5 <> 0""",
+        ("lineitem",),
+    ),
+    "scores": (
+        """SELECT c_custkey AS doc_id, CAST(c_custkey % 101 AS DOUBLE) / 100 AS a, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 11 AS DOUBLE) / 10 END AS b,
+        CAST(c_custkey % 5 AS DOUBLE) / 5 AS c, CAST(c_custkey % 3 AS DOUBLE) / 3 AS d, c_custkey % 9 AS n FROM customer""",
+        ("customer",),
+    ),
 }
 
 
