@@ -28,7 +28,7 @@ _MASK = np.uint64((1 << _BITS) - 1)
 _COUNT = np.uint64((1 << 24) - 1)
 _EXACT = 1 << 23
 #: Tokens gathered before a task counts what it has, and tokens scored at a time.
-_GATHER, _SCORE = 4_000_000, 600_000
+_GATHER, _SCORE = 2_500_000, 600_000
 #: Words whose hashes a worker remembers.
 _CACHE = 200_000
 #: A context with over 1 / HOT of all tokens is spread over all buckets; there are fewer than HOT of them.
@@ -289,7 +289,8 @@ def train_ngram_model(docs: DataFrame, text_col: str = "text", buckets: int | No
     Tokens are words between white space, A-Z lower-cased, then one end; a null text is an empty one. Repeated rows
     count each time. An empty table gives a model that knows nothing.
 
-    All tables are packed arrays, one row per task and bucket in a shuffle, which are merged bucket by bucket.
+    All tables are packed arrays, one row per task and bucket in a shuffle, which are merged bucket by bucket. There
+    are as many buckets as shuffle partitions unless given.
     1. Token counts give the totals and the hot contexts, fewer than HOT.
     2. Pairs go to their context's bucket, pairs of hot contexts to a bucket of their own, so no bucket grows with
        one word. The merged bucket is a file of the model: 40-bit hashes, sorted, each with its count.
@@ -301,7 +302,7 @@ def train_ngram_model(docs: DataFrame, text_col: str = "text", buckets: int | No
     if "://" in root and not root.startswith("file:"):
         raise ValueError(f"workers memory-map the model, so {root} must be a mounted folder")
     folder = f"{root.removeprefix('file://').removeprefix('file:')}/docweave/ngrams-{uuid.uuid4().hex}"
-    n_buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
