@@ -183,6 +183,8 @@ def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.8) -> str:
         return ""
     page = _Lines()
     page.feed(html)
+    if page.rawdata.startswith("<!--"):  # a comment that never ends is none of the text
+        page.rawdata = ""
     page.close()
     page.flush()
     lines = [x for x in page.lines if not x[4]]
