@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.session import spread
+
 
 def _line(template: str) -> str:
     parts = re.split(r"\{([^{}]+)\}", template)
@@ -257,7 +259,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, tables = VIEWS[name]
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables}
     for t in tables:
         sql = re.sub(rf"\b{t}\b", "{" + t + "}", sql)
     return spark.sql(sql, **frames)

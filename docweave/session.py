@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8)
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -41,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer partitions: a small single file is one task otherwise. Larger tables stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
