@@ -17,9 +17,11 @@ from docweave.llm.simhash import near_duplicates
 from docweave.llm.token_counts import count_tokens
 from docweave.llm.toxicity import toxicity
 
+from docweave.session import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
