@@ -254,6 +254,28 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         CAST(c_custkey % 5 AS DOUBLE) / 5 AS c, CAST(c_custkey % 3 AS DOUBLE) / 3 AS d, c_custkey % 9 AS n FROM customer""",
         ("customer",),
     ),
+    "receipts": (
+        """SELECT doc_id, form, k, d, CASE form
+        WHEN 0 THEN concat_ws(chr(10), 'Provider: IKEJA ELECTRIC', concat('Meter Number: ', CAST(10000000000 + k AS STRING)), concat('Service Address: ', CAST(k AS STRING), ' Sample Street , Lagos'),
+          'Meter Type: PREPAID', concat('Token: 1234-5678-9012-3456-', lpad(CAST(k % 10000 AS STRING), 4, '0')), concat('Units Purchased: ', CAST(k % 50 AS STRING), '.5 kWh'),
+          concat('Amount Paid: NGN ', CAST(1000 + k % 1000 AS STRING), '.00'), concat('Transaction Date: ', CAST(d AS STRING), ' 19:05:49'))
+        WHEN 1 THEN concat_ws(chr(10), 'Biller', 'Abuja Electricity Distribution', concat('Beneficiary ID: ', CAST(20000000000 + k AS STRING)), concat('Meter Token ', CAST(k AS STRING), 'TT'),
+          'Address:', concat('Plot', CAST(k AS STRING), ' Sample'), 'Road Kubwa', concat('Date: ', CAST(day(d) AS STRING), '/', CAST(month(d) AS STRING), '/', CAST(year(d) AS STRING)))
+        WHEN 2 THEN concat_ws(chr(10), 'EKO ELECTRICITY', concat(CAST(k AS STRING), ' Marina Road'), 'Current charges and arrears', concat('Due date ', CAST(d AS STRING)))
+        ELSE 'nothing to see' END AS text
+        FROM (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS form, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders) q""",
+        ("orders",),
+    ),
+    "provider_names": (
+        "SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'Ikeja Electric plc' WHEN 1 THEN 'ABUJA ELECTRICTY' WHEN 2 THEN 'Kano Elektricity'"
+        " WHEN 3 THEN 'something else' ELSE '' END AS name FROM customer",
+        ("customer",),
+    ),
+    "customers_as_images": (
+        "SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'FFFFFF' WHEN 1 THEN 'F0F0F0' ELSE '2060A0' END AS light,"
+        " CASE c_custkey % 2 WHEN 0 THEN '101010' ELSE 'FAFAFA' END AS dark FROM customer",
+        ("customer",),
+    ),
 }
 
 
