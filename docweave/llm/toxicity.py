@@ -87,7 +87,8 @@ class ToxicityModel:
 def fit_noisy_or(rows: list[tuple[str | None, int]], share: float, settings: Training = Training()) -> ToxicityModel:
     """Fit on (text, label) rows; share is the part of label 1 in the data the rows were drawn from.
 
-    Features are those that occur in enough documents of label 1 and far more often than in label 0. Their weights
+    Features are those that occur in enough documents of label 1, far more often than in label 0, and more often than
+    chance gives to any of so many features (a Chernoff bound over all that were looked at). Their weights
     start at their log-odds and follow the gradient of the noisy-or's document likelihood (Adam, fixed steps).
     Without rows of both labels the model has no features and scores every text near 0.
     """
@@ -110,7 +111,19 @@ def fit_noisy_or(rows: list[tuple[str | None, int]], share: float, settings: Tra
         for f, c in toxic.items()
         if c >= settings.least_documents
     }
-    chosen = sorted((f for f, o in odds.items() if o >= settings.least_log_odds), key=lambda f: (-odds[f] * toxic[f], f))
+    part = n[1] / sum(n)
+    needed = math.log(max(1, len(odds))) + 2
+
+    def evidence(f: bytes) -> float:
+        total = toxic[f] + clean[f]
+        x = toxic[f] / total
+        rest = (1 - x) * math.log((1 - x) / (1 - part)) if x < 1 else 0.0
+        return total * (x * math.log(x / part) + rest)
+
+    chosen = sorted(
+        (f for f, o in odds.items() if o >= settings.least_log_odds and evidence(f) >= needed),
+        key=lambda f: (-odds[f] * toxic[f], f),
+    )
     index = {f: i for i, f in enumerate(chosen[: settings.features])}
     if not index:
         return ToxicityModel({}, settings.leak)
