@@ -158,3 +158,92 @@ def parse_bank_statement(docs: DataFrame, id_col: str = "doc_id", text_col: str
         ).alias("bank_name"),
         F.coalesce(grey_address, uba_address).alias("address"),
     )
+
+
+# Fixed values of Nigerian voter cards: states in order, words of a name, words that no name line has.
+STATES = (
+    "ABIA", "ADAMAWA", "AKWA IBOM", "ANAMBRA", "BAUCHI", "BAYELSA", "BENUE", "BORNO", "CROSS RIVER", "DELTA", "EBONYI", "EDO",
+    "EKITI", "ENUGU", "GOMBE", "IMO", "JIGAWA", "KADUNA", "KANO", "KATSINA", "KEBBI", "KOGI", "KWARA", "LAGOS", "NASARAWA",
+    "NIGER", "OGUN", "ONDO", "OSUN", "OYO", "PLATEAU", "RIVERS", "SOKOTO", "TARABA", "YOBE", "ZAMFARA", "FCT",
+)
+NAME_TOKENS = "CARD|HOLDER|NAME|PERSON|SAMPLE|TEST"
+NO_NAME_WORDS = (
+    r"\b(?:FEDERAL|REPUBLIC|NIGERIA|INDEPENDENT|NATIONAL|ELECTORAL|COMMISSION|VOTER|CARD|CODE|VIN|DELIM|DATE|BIRTH|GENDER"
+    r"|OCCUPATION|ADDRESS)\b"
+)
+JOINED_WORDS = ("SAMPLE", "STREET", "LAGOS", "MAINLAND", "SOUTH")
+_VOTER_STOP = r"(?i),|^[A-Z]{2,}\.[A-Z]{2,}$|\b(DATE OF BIRTH|GENDER|OCCUPATION|ADDRESS)\b"
+_MARKS = " :;,.|-"
+
+
+def _voter_clean(value: Column) -> Column:
+    return F.btrim(collapse(value), F.lit(_MARKS))
+
+
+def _joined_words(value: Column) -> Column:
+    out = _voter_clean(value)
+    for token in JOINED_WORDS:
+        out = F.regexp_replace(out, rf"(?i)(?<!^)(?<!\s)({token})\b", " $1")
+        out = F.regexp_replace(out, rf"(?i)\b({token})(?!$)(?!\s|,)", "$1 ")
+    out = F.regexp_replace(F.regexp_replace(collapse(out), r"\s+,", ","), r",\s*", ", ")
+    return none_if_empty(F.trim(out))
+
+
+def _name_tokens(value: Column) -> Column:
+    """Known tokens at the begin of a joined name, parted; what follows the first unknown one stays as it is."""
+    text = F.upper(_voter_clean(value))
+    head = F.regexp_extract(text, f"^((?:{NAME_TOKENS})*)", 1)
+    parted = F.concat(F.regexp_replace(head, f"({NAME_TOKENS})", "$1 "), F.substr(text, F.length(head) + 1))
+    return F.when(F.contains(text, F.lit(" ")), text).otherwise(F.trim(parted))
+
+
+def parse_nigeria_voter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fields of Nigerian voter cards, with joined words parted. success: a number or a name was found."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for pattern, by in ((r"(?i)DATE ?OF ?BIRTH", "DATE OF BIRTH"), (r"(?i)VOTER'?SCARD", "VOTER'S CARD")):
+        text = F.regexp_replace(text, pattern, by)
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).withColumn(
+        "_lines", F.filter(F.transform(F.split("_text", r"\r\n?|\n"), _voter_clean), lambda x: x != "")
+    )
+    text, flat = F.col("_text"), F.regexp_replace("_text", r"\s+", " ")
+    find = lambda value, pattern: none_if_empty(_voter_clean(F.regexp_extract(value, "(?i)" + pattern, 1)))
+    commas = F.transform("_lines", lambda x: F.regexp_replace(F.upper(x), r"^([A-Z]{2,})\.([A-Z]{2,})$", "$1,$2"))
+    name_line = F.get(
+        F.filter(commas, lambda x: F.contains(x, F.lit(",")) & (F.regexp_count(x, F.lit("[A-Z]{2,}")) >= 2) & ~F.regexp_like(x, F.lit(NO_NAME_WORDS))),
+        F.lit(0),
+    )
+    name = F.concat(F.trim(F.substring_index(name_line, ",", 1)), F.lit(", "), _name_tokens(F.regexp_replace(name_line, "^[^,]*,", "")))
+    at = F.array_position(F.transform("_lines", lambda x: F.contains(F.upper(x), F.lit("DELIM"))), True).cast("int")
+    rest = F.slice("_lines", at + 1, F.size("_lines"))
+    stop = F.array_position(F.transform(rest, lambda x: F.regexp_like(F.upper(x), F.lit(_VOTER_STOP))), True).cast("int")
+    own = F.regexp_replace(F.get("_lines", at - 1), r"(?i)^.*?\bDELIM\b[:\s]*", "")
+    taken = F.concat(F.array(own), F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest))
+    place = _voter_clean(F.translate(F.array_join(F.when(at > 0, taken), " "), "|", " "))
+    parted = F.coalesce(
+        *(
+            F.when(
+                F.startswith(F.upper(place), F.lit(s.replace(" ", ""))) & ~F.startswith(F.upper(place), F.lit(s + " ")),
+                F.concat(F.lit(s + " "), F.ltrim(F.regexp_replace(F.ltrim(F.substr(place, F.lit(len(s.replace(" ", "")) + 1))), "^[iI]", ""))),
+            )
+            for s in STATES
+        ),
+        place,
+    )
+    compact = find(text, r"DATE\s*OF\s*BIRTH(?:\s+GENDER)?\s*([0-9]{8})")
+    birth = F.coalesce(
+        find(text, r"DATE\s*OF\s*BIRTH(?:\s+GENDER)?\s*([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4})"),
+        F.concat_ws("-", F.substring(compact, 1, 2), F.substring(compact, 3, 2), F.when(compact.isNotNull(), F.substring(compact, 5, 4))),
+    )
+    address = F.regexp_replace(_voter_clean(F.replace(F.regexp_extract(flat, r"(?i)ADDRESS[:\s]*(.+)", 1), F.lit("."), F.lit(", "))), r"(?i)^(\d+)([A-Z])", "$1 $2")
+    address = F.regexp_replace(F.regexp_replace(address, r"(?i)([A-Z])(?=STREET\b)", "$1 "), r"(?i)\bSTREET([A-Z])", "STREET $1")
+    return base.select(
+        "doc_id",
+        find(text, r"\bCODE[:\s-]*([0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{3})").alias("code"),
+        none_if_empty(F.regexp_replace(F.upper(find(text, r"\bVIN[:\s-]*([A-Z0-9 ]{10,30})")), "[^A-Z0-9]", "")).alias("vin"),
+        _joined_words(parted).alias("delimitation"),
+        name.alias("full_name"),
+        none_if_empty(birth).alias("date_of_birth"),
+        normalize_gender(find(text, r"\bGENDER\s*(?:[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}\s*)?(MALE|FEMALE|M|F)\b")).alias("gender"),
+        _joined_words(F.regexp_replace(F.regexp_extract(flat, r"(?i)OCCUPATION[:\s]*(.+)", 1), r"(?i)\bADDRESS\b.*$", "")).alias("occupation"),
+        _joined_words(F.regexp_replace(address, r"\s*,\s*", ", ")).alias("address"),
+    ).withColumn("success", F.col("vin").isNotNull() | F.col("full_name").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import textnorm as N
-from docweave.operators import business, identifiers, labels
+from docweave.operators import business, identifiers, labels, sections
 from docweave.plans.views import view, with_view
 
 
@@ -94,6 +94,16 @@ def excerpt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def objects_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.objects_clauses(view(spark, sf_dir, "business_texts"))
+    return found.select("doc_id", F.array_join("objects", "|").alias("objects"))
+
+
+def share_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.share_capital(_known(spark, sf_dir))
+    return found.select("doc_id", "issued_amount", "authorized_amount", "paid_up_amount", "stated_amount", "amount", "currency")
+
+
 _STRIP = r"regexp_replace({x}, '^[\s:;,.\-_\x22'']+|[\s:;,.\-_\x22'']+$', '', 'g')"
 _NAME = rf"""nullif(substr(trim(regexp_replace(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')),
   '(?i)^(?:NAME\s+OF\s+(?:THE\s+)?COMPANY|COMPANY\s+NAME|ENTITY\s+NAME|BUSINESS\s+NAME)\s*[:#-]?\s*', ''),
@@ -171,8 +181,19 @@ _EXCERPTS = with_view("doc_pages", """
 e AS (SELECT doc_id, 'p' || page_number AS field, min('zz | ' || substr(text, 1, 9)) AS excerpt FROM doc_pages WHERE page_number % 2 = 0 GROUP BY ALL)
 SELECT e.doc_id, field, min(page_number) AS page_number FROM e JOIN doc_pages p ON e.doc_id = p.doc_id
 WHERE length(trim(lower(split_part(excerpt, '|', 2)))) >= 4 AND contains(lower(p.text), trim(lower(split_part(excerpt, '|', 2)))) GROUP BY e.doc_id, field""")
+_OBJECTS = with_view("business_texts", rf"""{_LINES},
+h AS (SELECT doc_id, i FROM l WHERE regexp_matches(line, '(?i)^OBJECTS? OF THE COMPANY$')),
+e AS (SELECT l.doc_id, min(l.i) AS i FROM l JOIN h ON l.doc_id = h.doc_id AND l.i > h.i WHERE regexp_matches(line, '(?i)^SHARE CAPITAL') GROUP BY l.doc_id),
+o AS (SELECT l.doc_id, string_agg(regexp_replace(line, '^[0-9]+[.]\s*', ''), '|' ORDER BY l.i) AS objects
+      FROM l JOIN h ON l.doc_id = h.doc_id AND l.i > h.i JOIN e ON l.doc_id = e.doc_id AND l.i < e.i GROUP BY l.doc_id)
+SELECT b.doc_id, coalesce(objects, '') AS objects FROM business_texts b LEFT JOIN o ON b.doc_id = o.doc_id""")
+_CAPITAL = with_view("business_texts", """x AS (SELECT doc_id, nullif(regexp_extract(text, 'Authorised Share Capital: NGN ([0-9]+) divided', 1), '') AS a FROM business_texts)
+SELECT doc_id, NULL AS issued_amount, regexp_replace(a, '^0+([0-9])', '\\1') AS authorized_amount, NULL AS paid_up_amount, NULL AS stated_amount,
+       regexp_replace(a, '^0+([0-9])', '\\1') AS amount, CASE WHEN a IS NOT NULL THEN 'NGN' END AS currency FROM x""")
 
 QUERIES = {
+    "objects_clauses": objects_clauses,
+    "share_capital": share_capital,
     "normalize_values": normalize_values,
     "parse_dates": parse_dates,
     "label_value_pairs": label_value_pairs,
@@ -186,6 +207,8 @@ QUERIES = {
     "excerpt_page_contains_join": excerpt_pages,
 }
 ORACLES = {
+    "objects_clauses": _OBJECTS,
+    "share_capital": _CAPITAL,
     "normalize_values": _VALUES,
     "parse_dates": _DATES,
     "label_value_pairs": _PAIRS_SQL,

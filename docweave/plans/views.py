@@ -162,6 +162,16 @@ _VOTER = """REPUBLIC OF GHANA
     {CASE WHEN c_custkey % 5 = 1 THEN 'BORN' ELSE 'DATE OF BIRTH' END} {c_custkey % 28 + 1}-{c_custkey % 12 + 1}-1990
     GENDER {CASE c_custkey % 2 WHEN 0 THEN 'M' ELSE 'FEMALE' END}
     POLLING STATION: SCHOOL {c_custkey % 50}, ACCRA"""
+_NIGERIAN = """FEDERAL REPUBLIC OF NIGERIA
+    {CASE WHEN c_custkey % 3 = 0 THEN 'CODE: 24-03-07-012' ELSE 'NO SUCH' END}
+    {CASE WHEN c_custkey % 4 = 0 THEN 'NUMBER' ELSE 'VIN:' END} 90F5 B0C2 {lpad(CAST(c_custkey AS STRING), 8, '0')}
+    DELIM: {CASE WHEN c_custkey % 2 = 0 THEN 'LAGOSI MAINLAND' ELSE 'CROSSRIVER' END}
+    {CASE WHEN c_custkey % 2 = 0 THEN 'WARD' ELSE 'CALABAR' END}
+    DOE{translate(CAST(c_custkey AS STRING), '0123456789', 'ABCDEFGHIJ')}{CASE WHEN c_custkey % 5 = 0 THEN '. 1' ELSE '.' END}SAMPLEHOLDER{translate(CAST(c_custkey AS STRING), '0123456789', 'ABCDEFGHIJ')}
+    DATEOFBIRTH GENDER
+    {lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0')}{CASE WHEN c_custkey % 2 = 0 THEN '121990 M' ELSE '/12/1990 FEMALE' END}
+    OCCUPATION TRADER
+    ADDRESS {c_custkey}SAMPLESTREET.LAGOS"""
 _STATEMENT = (
     """TIME PERIOD: ACCOUNT NUMBER BANK NAME
     01/08/2025 to {c_custkey % 28 + 1}/11/2025 {10000000 + c_custkey} Wema Bank CURRENCY
@@ -196,6 +206,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("customer",),
     ),
     "ghana_voters": (f"SELECT c_custkey AS doc_id, {_text(_VOTER)} AS text FROM customer", ("customer",)),
+    "nigeria_voters": (f"SELECT c_custkey AS doc_id, {_text(_NIGERIAN)} AS text FROM customer", ("customer",)),
     "statements": (f"SELECT c_custkey AS doc_id, {_cases('c_custkey', _STATEMENT)} AS text FROM customer", ("customer",)),
     "boxes": (
         "SELECT l_orderkey AS doc_id, CAST(l_linenumber * 9 + l_partkey % 7 AS DOUBLE) AS y, CAST(l_partkey % 1000 AS DOUBLE) AS x,"

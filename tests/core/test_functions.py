@@ -168,3 +168,30 @@ def test_statements_and_licences(spark):
     bills = spark.createDataFrame([(1, "Biler IKEJA ELECTRC"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in utility.parse_utility_bill(bills, F.lit("2026-06-03").cast("date")).collect()}
     assert got[1].provider_code == "IKEDC" and got[2].confidence == "REJECT" and not got[2].is_recent
+
+
+def test_nigerian_voter_cards(spark):
+    text = (
+        "FEDERAL REPUBLIC OF NIGERIA\nCODE: 24-03-07-012 \nVIN: 90F5 B0C2 1234 5678 901\nDELIM: LAGOSI MAINLAND\nWARD\n"
+        "DOE.SAMPLEHOLDER\nDATEOFBIRTH GENDER\n02121990 M\nOCCUPATION TRADER\nADDRESS 4SAMPLESTREET.LAGOS"
+    )
+    got = {r.doc_id: r for r in identity.parse_nigeria_voter(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
+    row = got[1]
+    assert (row.code, row.vin, row.full_name, row.date_of_birth) == ("24-03-07-012", "90F5B0C212345678901", "DOE, SAMPLE HOLDER", "02-12-1990")
+    assert (row.delimitation, row.occupation, row.address) == ("LAGOS MAINLAND WARD", "TRADER", "4 SAMPLE STREET, LAGOS")
+    assert not got[2].success and got[2].delimitation is None and got[2].date_of_birth is None
+
+
+def test_sections(spark):
+    from docweave.operators import sections
+
+    text = (
+        "MEMORANDUM\nOBJECTS OF THE COMPANY:\n1. To carry on trading\nand farming\n2. To own property\nSHARE CAPITAL\n"
+        "Issued share capital: NGN 500.00 and paid-up capital is NGN 0,250"
+    )
+    docs = spark.createDataFrame([(1, text, "NGA"), (2, None, None), (3, "Share capital of the company is $ 1,000,000 divided into shares", "CAN")], "doc_id long, text string, country_code string")
+    objects = {r.doc_id: r.objects for r in sections.objects_clauses(docs).collect()}
+    assert objects == {1: ["To carry on trading and farming", "To own property"], 2: [], 3: []}
+    capital = {r.doc_id: r for r in sections.share_capital(docs).collect()}
+    assert (capital[1].issued_amount, capital[1].paid_up_amount, capital[1].amount, capital[1].currency) == ("500.00", "0250".lstrip("0"), "500.00", "NGN")
+    assert (capital[3].stated_amount, capital[3].currency) == ("1000000", "CAD") and capital[2].amount is None
