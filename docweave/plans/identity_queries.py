@@ -175,7 +175,8 @@ FROM f""",
 _NIGERIA = with_view("nigeria_voters", """
 w AS (SELECT doc_id, translate(CAST(doc_id AS STRING), '0123456789', 'ABCDEFGHIJ') AS w, lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0') AS d FROM nigeria_voters)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '24-03-07-012' END AS code, CASE WHEN doc_id % 4 <> 0 THEN '90F5B0C2' || lpad(CAST(doc_id AS STRING), 8, '0') END AS vin,
-  CASE WHEN doc_id % 2 = 0 THEN 'LAGOS MAINLAND WARD' ELSE 'CROSS RIVER CALABAR' END AS delimitation,
+  CASE WHEN doc_id % 2 = 0 THEN 'LAGOS MAINLAND WARD' ELSE 'CROSS RIVER CALABAR' END
+    || CASE WHEN doc_id % 5 = 0 THEN ' DOE' || w || '. 1SAMPLEHOLDER' || w ELSE '' END AS delimitation,
   CASE WHEN doc_id % 5 <> 0 THEN 'DOE' || w || ', SAMPLE HOLDER ' || w END AS full_name, CASE WHEN doc_id % 2 = 0 THEN d || '-12-1990' ELSE d || '/12/1990' END AS date_of_birth,
   CASE WHEN doc_id % 2 = 1 THEN 'FEMALE' END AS gender, 'TRADER' AS occupation, CAST(doc_id AS STRING) || ' SAMPLE STREET, LAGOS' AS address,
   doc_id % 4 <> 0 OR doc_id % 5 <> 0 AS success FROM w""")
