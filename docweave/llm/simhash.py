@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import without_ids
 from docweave.llm.components import connected_components
 from docweave.session import materialize
 
@@ -133,15 +132,8 @@ def near_duplicates(
     answer = distinct.join(of_linked, distinct["fp"] == of_linked["node"], "left").select(
         "fp", F.coalesce("lowest", "least").alias("component_id")
     )
+    # Written first, so that both sides of the last join are fresh exchanges, whose hot keys can be split.
+    answer = materialize(answer, "answers")
     return rows.join(answer, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42
-) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the smallest id. Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, seed)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "gone")
-    return without_ids(docs, id_col, gone)
