@@ -2,7 +2,8 @@
 
 A fingerprint of 64 bits cannot tell a similarity of .8 from chance: its copies differ in ten bits on average. WORDS of
 64 bits each estimate it well (the standard error is about .02 at .8), so that the Hamming check leaves few pairs to the
-exact comparison of their shingles.
+exact comparison of their shingles. What the filter misses, in crowded segments and among short texts, an exact prefix
+join of the shingles finds: see missed_pairs().
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ RINGS = tuple((64 * WORDS - start) // SEGMENT for start in OFFSETS)
 BUCKET = 4
 #: By how much less similarity a pair may seem to have in its fingerprints.
 SLACK = 0.06
+#: Texts looked at for common shingles: so many or so great a part of all; and how many of these shingles are noted.
+SAMPLE, PART, COMMON = 8000, 50, 1 << 14
 _CHUNK = 1 << 14
+#: Texts at a time in Python, for bounded memory.
+_TEXTS = 256
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _LANES = np.uint64(0x0101010101010101)
@@ -39,6 +44,10 @@ def bits_for(similarity: float) -> int:
     return math.floor(64 * WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS))
+
+
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; fewer words are one shingle, none give none."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
@@ -54,7 +63,11 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
 
 def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
     """SimHash over the distinct word shingles of a text, WORDS numbers. Without words all are zero."""
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of shingle_hashes()."""
     if not len(hashes):
         return np.zeros(WORDS, np.uint64)
     counts = np.zeros((WORDS, 8, 8), np.int64)  # word, byte, shift
@@ -71,12 +84,58 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(WORDS)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, fp array<long>, segments array<long>): no shuffle."""
+def least_shared(size: Column | int, similarity: float) -> Column | int:
+    """How many shingles a set of this size has in common with any set that is similar enough."""
+    if isinstance(size, int):
+        return math.ceil(similarity * size - 1e-9)
+    return F.ceil(similarity * size - 1e-9).cast("int")
+
+
+def common_shingles(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles of a sample of docs, and how many of its texts have each.
+
+    They only set the order of shingles in prefix_of(): any order gives the same pairs, this one keeps buckets small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), shingle).view(np.int64))], ["shingle"])
+
+    rows = docs.count()
+    every = max(1, rows // max(SAMPLE, rows // PART))
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(text_col).alias("text"))
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    hashes = np.array([r.shingle for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n for r in found], np.int64)[order]
+
+
+def prefix_of(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in one order for all sets, rare before common: similar sets share one of them."""
+    n = len(hashes)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        rank = np.where(common[0][at] == hashes, common[1][at], 0)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[: n - least_shared(n, similarity) + 1]
+
+
+def wide_fingerprints(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64)),
+) -> DataFrame:
+    """(doc_id, fp array<long>, segments array<long>, size int, prefix array<long>): no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)]
+        for batch in _slices(batches):
+            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
+            fps = [fingerprint_of(x) for x in sets]
             table = np.array(fps, np.uint64).reshape(len(fps), WORDS)
             bits = np.unpackbits(table.view(np.uint8).reshape(len(fps), 8 * WORDS), axis=1, bitorder="little")
             weights = np.int64(1) << np.arange(SEGMENT, dtype=np.int64)
@@ -86,16 +145,18 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ]
             parts = np.concatenate(parts, axis=1)
             arrays = [pa.array(list(x), pa.list_(pa.int64())) for x in (table.view(np.int64), parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "fp", "segments"])
+            prefixes = [prefix_of(x, similarity, common).view(np.int64) for x in sets]
+            arrays += [pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "fp", "segments", "size", "prefix"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {id_type}, fp array<long>, segments array<long>")
+    return narrow.mapInArrow(run, f"doc_id {id_type}, fp array<long>, segments array<long>, size int, prefix array<long>")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -118,7 +179,8 @@ def candidates(nodes: DataFrame, budget: int) -> DataFrame:
     Pigeonring: within the budget some chain of segments keeps its proportional share at every length. Chains that
     begin with an equal segment are found by a join; the next two segments, carried along, prune a pair before its
     fingerprints meet. Of more than BUCKET nodes that share a segment each meets the smallest, so that a hot
-    group makes links in proportion to its size; its members share many other segments. There are two rings, half a segment apart, so that more chains are tried.
+    group makes links in proportion to its size; missed_pairs() finds what they leave out. There are two rings, half a
+    segment apart, so that more chains are tried.
     """
     parts, first = [], 0
     for size in RINGS:
@@ -145,36 +207,70 @@ def candidates(nodes: DataFrame, budget: int) -> DataFrame:
     return found.union(starred.select(F.col("low.node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
+def missed_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that may be similar, from (node, size, prefix).
+
+    Exact: similar sets share a shingle of their prefixes, and sizes, places and the number of shared ones bound the
+    overlap from above. Nodes that roots already connects need no comparison, so a large group of near copies costs
+    no pairs, and buckets of any size are paired in full.
+    """
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    bucket = Window.partitionBy("key")
+    shared = materialize(rows.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1").drop("n"), "prefixes")
+    parted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = parted.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").drop("low", "high")
+    mixed = materialize(mixed, "mixed")
+    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "place", "root"))) for n in "ab")
+    # The overlap that the similarity asks of both sizes.
+    need = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6)
+    before = F.least("place_a", "place_b")
+    after = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (before + after >= need))
+    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
+    # Shared shingles beyond the prefix that ends first are at most those that its set has left.
+    left = F.greatest(least_shared(F.col("size_a"), similarity), least_shared(F.col("size_b"), similarity)) - 1
+    return pairs.where(F.col("n") + left >= need).select("a", "b")
+
+
+def _alike(docs: DataFrame, near: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of near whose shingles are similar enough, by exact comparison."""
+    # Only the texts of these pairs are shingled; a bitmap keeps the others out of the shuffle.
+    ids = near.select(F.col("a").alias("node")).union(near.select("b"))
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    asked = with_bitmap_flag(texts, "node", key_bitmap(ids, "node"), "_asked").where("_asked").select("node", "text")
+    sets = materialize(_shingle_sets(asked, shingle).join(ids.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    all_ = F.size("set_a") + F.size("set_b") - both
+    return near.join(a, "a").join(b, "b").where((all_ == 0) | (both >= similarity * all_ - 1e-9)).select("a", "b")
+
+
 def similar_documents(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near-duplicate: the smallest id of their component.
 
     Documents link when the Jaccard similarity of their distinct word shingles is enough; texts without words link
-    with each other. The Hamming budget is that of a similarity SLACK lower, so that its error loses few pairs, and
-    the exact comparison follows. Rows without an id are left out; a repeated id counts once, with one of its texts.
-    A pair is found with a probability that grows with its similarity: about .97 at .8 and over .99 from .85 on.
+    with each other. Rows without an id are left out; a repeated id counts once, with one of its texts.
+
+    1. Fingerprints find most links, those of large groups in proportion to their size. The Hamming budget is that of
+       a similarity SLACK lower, and the exact comparison follows.
+    2. missed_pairs() finds all other pairs that could still join two components; they are compared exactly too.
     """
     budget = bits_for(similarity - SLACK)
-    fps = materialize(wide_fingerprints(docs, id_col, text_col, shingle), "wide").where("doc_id is not null")
+    common = common_shingles(docs, shingle, id_col, text_col)
+    fps = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity, common), "wide").where("doc_id is not null")
     # Equal fingerprints are one node, named by its smallest id.
-    nodes = materialize(
-        fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes"
-    )
+    carried = (F.min_by(c, "doc_id").alias(c) for c in ("segments", "size", "prefix"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), *carried), "nodes")
     pairs = candidates(nodes.select("node", "segments"), budget)
     a, b = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
     near = materialize(pairs.join(a, "a").join(b, "b").where(distance <= budget).select("a", "b"), "near")
-    # Only the texts of these pairs are shingled; a bitmap keeps the others out of the shuffle.
-    ids = near.select(F.col("a").alias("node")).union(near.select("b"))
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    asked = with_bitmap_flag(texts, "node", key_bitmap(ids, "node"), "_asked").where("_asked").select("node", "text")
-    sets = materialize(_shingle_sets(asked, shingle).join(ids.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    all_ = F.size("set_a") + F.size("set_b") - both
-    links = near.join(a, "a").join(b, "b").where((all_ == 0) | (both >= similarity * all_)).select("a", "b")
-    roots = connected_components(links)
+    roots = connected_components(_alike(docs, near, similarity, shingle, id_col, text_col))
+    missed = materialize(missed_pairs(nodes, roots, similarity), "missed")
+    links = _alike(docs, missed, similarity, shingle, id_col, text_col)
+    roots = connected_components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = fps.join(nodes.select("fp", "node"), "fp").select("doc_id", "node")
     root = named.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
     return root

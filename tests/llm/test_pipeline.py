@@ -95,6 +95,19 @@ def test_similar_documents_match_brute_force(spark, monkeypatch, bucket):
     assert W.similar_documents(docs.where("false")).collect() == []
 
 
+def test_pair_in_crowded_segments_of_unrelated_texts(spark, monkeypatch):
+    # Segments of four bits: each of their values is shared by many texts, and the smallest of these is unrelated.
+    for name, value in (("SEGMENT", 4), ("OFFSETS", (0, 2)), ("RINGS", (256, 255))):
+        monkeypatch.setattr(W, name, value)
+    rng = random.Random(6)
+    rows = [(i, words(rng, 80)) for i in range(150)]
+    for i in range(200, 240, 2):
+        rows += [(i, base := words(rng, 120)), (i + 1, edited(rng, base, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.component_id, r.doc_id) for r in W.similar_documents(docs).collect() if r.doc_id != r.component_id}
+    assert got == {(i, i + 1) for i in range(200, 240, 2)}
+
+
 def write(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
 
