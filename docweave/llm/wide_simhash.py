@@ -261,17 +261,20 @@ def similar_documents(
     common = common_shingles(docs, shingle, id_col, text_col)
     fps = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity, common), "wide").where("doc_id is not null")
     # Equal fingerprints are one node, named by its smallest id.
-    carried = (F.min_by(c, "doc_id").alias(c) for c in ("segments", "size", "prefix"))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), *carried), "nodes")
+    nodes = materialize(
+        fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes"
+    )
+    named = materialize(fps.select("doc_id", "fp").join(nodes.select("fp", "node"), "fp").select("doc_id", "node"), "named")
     pairs = candidates(nodes.select("node", "segments"), budget)
     a, b = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
     near = materialize(pairs.join(a, "a").join(b, "b").where(distance <= budget).select("a", "b"), "near")
     roots = connected_components(_alike(docs, near, similarity, shingle, id_col, text_col))
-    missed = materialize(missed_pairs(nodes, roots, similarity), "missed")
+    # Prefixes are not grouped by fingerprint, which would shuffle them as arrays: those of other rows are left out.
+    prefixes = without_ids(fps.select("doc_id", "size", "prefix"), "doc_id", named.where("doc_id <> node").select("doc_id"))
+    missed = materialize(missed_pairs(prefixes.withColumnRenamed("doc_id", "node"), roots, similarity), "missed")
     links = _alike(docs, missed, similarity, shingle, id_col, text_col)
     roots = connected_components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = fps.join(nodes.select("fp", "node"), "fp").select("doc_id", "node")
     root = named.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
     return root
 

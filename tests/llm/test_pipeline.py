@@ -108,6 +108,34 @@ def test_pair_in_crowded_segments_of_unrelated_texts(spark, monkeypatch):
     assert got == {(i, i + 1) for i in range(200, 240, 2)}
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 9, 14, 24, 60])
+def test_all_pairs_of_short_texts(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(0, 120, 3):
+        base = words(rng, n)
+        rows += [(i, base), (i + 1, base + " " + words(rng, 1)), (i + 2, base + " " + words(rng, max(1, n // 8)))]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    root = {i: i for i in sets}
+    for a, b in links:  # ascending, so that a has its root already
+        root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in W.similar_documents(docs).collect()}
+    assert {i: got.get(i, i) for i in sets} == root
+
+
+def test_prefix_holds_a_shared_shingle():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 12, 300):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((rng.permutation(a)[: W.least_shared(n, 0.8)], np.zeros(0, np.uint64))))
+            common = np.sort(rng.permutation(a)[: n // 2])
+            common = common, rng.integers(1, 9, len(common))
+            assert set(W.prefix_of(a, 0.8, common).tolist()) & set(W.prefix_of(b, 0.8, common).tolist())
+
+
 def write(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
 
