@@ -94,6 +94,18 @@ def excerpt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def excerpt_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of every page: its whole text, and all from its middle on."""
+    pages = view(spark, sf_dir, "doc_pages")
+    middle = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.length("text"))
+    kinds = F.array(F.struct(F.lit("p").alias("kind"), F.col("text").alias("part")), F.struct(F.lit("m").alias("kind"), middle.alias("part")))
+    parts = pages.select("doc_id", "page_number", F.explode(kinds).alias("x"))
+    excerpts = parts.select(
+        "doc_id", F.concat("x.kind", F.col("page_number").cast("string")).alias("field"), F.concat(F.lit("zz | "), "x.part").alias("excerpt")
+    )
+    return business.first_pages(excerpts, pages)
+
+
 def objects_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sections.objects_clauses(view(spark, sf_dir, "business_texts"))
     return found.select("doc_id", F.array_join("objects", "|").alias("objects"))
@@ -205,6 +217,7 @@ QUERIES = {
     "merge_candidates": merge_candidates,
     "overall_confidence": overall_confidence,
     "excerpt_page_contains_join": excerpt_pages,
+    "excerpt_pages_whole": excerpt_pages_whole,
 }
 ORACLES = {
     "objects_clauses": _OBJECTS,

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from docweave.plans import registry
+from docweave.plans.views import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,21 @@ def test_rows_match(spark, oracle, name):
 
 def test_entry(spark):
     assert registry.flagship(spark, SF).columns[0] == "doc_id"
+
+
+def test_excerpts_of_every_page(spark):
+    pages = [(r.doc_id, r.page_number, r.text) for r in view(spark, SF, "doc_pages").collect()]
+    of_doc = {}
+    for doc, page, text in pages:
+        of_doc.setdefault(doc, []).append((page, " ".join(text.split()).lower()))
+    want = {}  # a page number may occur twice: the first page of either
+    for doc, page, text in pages:
+        for kind, part in (("p", text), ("m", text[len(text) // 2 :])):
+            part = " ".join(part.split()).lower()
+            found = [n for n, whole in of_doc[doc] if len(part) >= 4 and part in whole]
+            if found:
+                key = doc, f"{kind}{page}"
+                want[key] = min([*found, *([want[key]] if key in want else [])])
+    got = [(r.doc_id, r.field, r.page_number) for r in registry.queries()["excerpt_pages_whole"](spark, SF).collect()]
+    assert {f for _, f in want} >= {"p1", "m1", "p2", "m2"}
+    assert sorted(got) == sorted((*key, page) for key, page in want.items())
