@@ -13,7 +13,7 @@ _TODAY = "2026-06-03"
 
 
 def utility_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = utility.parse_utility_bill(view(spark, sf_dir, "receipts"), F.lit(_TODAY).cast("date"), fuzzy=False)
+    found = utility.parse_utility_bill(view(spark, sf_dir, "receipts"), F.lit(_TODAY).cast("date"))
     return found.select(
         "doc_id", "utility_type", "receipt_type", "provider", "provider_code", "service_address", "meter_number", "token", "units_purchased_kwh",
         "amount_paid", "document_date", "document_date_label", F.col("days_old").cast("long").alias("days_old"),

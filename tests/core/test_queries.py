@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docweave.plans import registry
+from docweave.plans import registry, utility_queries
 from docweave.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,11 @@ def test_excerpts_of_every_page(spark):
     got = [(r.doc_id, r.field, r.page_number) for r in registry.queries()["excerpt_pages_whole"](spark, SF).collect()]
     assert {f for _, f in want} >= {"p1", "m1", "p2", "m2"}
     assert sorted(got) == sorted((*key, page) for key, page in want.items())
+
+
+def test_misspelt_provider_of_a_receipt(spark, monkeypatch):
+    text = "Biller\nABUJA ELECTRICTY\nBeneficiary ID: 20000000001\nAddress:\nPlot 1 Sample\nRoad Kubwa\nDate: 1/6/2026"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    monkeypatch.setattr(utility_queries, "view", lambda *_: docs)
+    (row,) = utility_queries.utility_fields(spark, SF).collect()
+    assert row.provider == "ABUJA ELECTRICTY" and row.provider_code == "AEDC"
