@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,13 +59,32 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/docweave/".split(":")[-1].lstrip("/")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        root = f"{shared_dir(spark)}/docweave/".split(":")[-1].lstrip("/")
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if root in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes inside the block, for steps that are run within it."""
+    wanted = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": size}
+    names = {f"spark.sql.execution.arrow.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
