@@ -9,7 +9,7 @@ from docweave.llm.exact_dedup import drop_exact_duplicates
 from docweave.llm.mixing import mix_sources
 from docweave.llm.toxicity import drop_toxic, train_toxicity
 from docweave.llm.wide_simhash import drop_similar
-from docweave.session import materialize
+from docweave.session import discard, materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the row with the smallest id stays."""
     return drop_exact_duplicates(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike in .8 or more of their five-word shingles the smallest id stays."""
+    """Of each group of texts alike in .8 or more of their five-word shingles the row with the smallest id stays."""
     return drop_similar(docs, similarity=0.8, shingle=5)
 
 
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits in one block of a bitmap_construct_agg() bitmap.
 _BLOCK_BITS = 32768
+#: The largest bitmap has so many bits, as a power of two.
+MOST_BITS = 28
 
 
 def ascii_lower(text: Column) -> Column:
@@ -24,43 +28,70 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def key_bitmap(keys: DataFrame, key: str, bits: int = 26) -> DataFrame:
-    """A bitmap of the hashes of keys[key]: at most 2**bits / 8 bytes, however many keys there are."""
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    return (
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that it is none of df's columns (which differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """Hashes of keys as bits, in blocks; without a frame it marks every row."""
+
+    frame: DataFrame | None
+    bits: int
+
+
+def key_bitmap(keys: DataFrame, key: str, n: int) -> Bitmap:
+    """A bitmap of the hashes of keys[key], of which there are n: at least 16 bits for each, so that few others hit.
+
+    It is broadcast, so it has MOST_BITS at most (32 MB). Of more keys than a quarter of that there is no bitmap: then
+    every row is marked, and what a caller does with marked rows it does with all of them.
+    """
+    bits = max(16, min(MOST_BITS, (16 * n).bit_length()))
+    if 4 * n > 1 << MOST_BITS:
+        return Bitmap(None, bits)
+    slot = f"pmod(xxhash64(`{key}`), {1 << bits})"
+    blocks = (
         keys.select(
-            F.floor(slot / _BLOCK_BITS).cast("int").alias("_block"),
-            F.expr(f"pmod(xxhash64(`{key}`), {1 << bits}) % {_BLOCK_BITS}").alias("_pos"),
+            F.expr(f"cast({slot} div {_BLOCK_BITS} as int)").alias("_block"),
+            F.expr(f"{slot} % {_BLOCK_BITS}").alias("_pos"),
         )
         .groupBy("_block")
         .agg(F.bitmap_construct_agg("_pos").alias("_bitmap"))
     )
+    return Bitmap(blocks, bits)
 
 
-def with_bitmap_flag(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits: int = 26) -> DataFrame:
-    """Add flag: false only where df[key] is surely not among the bitmap's keys. No shuffle.
-
-    The bitmap is broadcast: its size is bounded by key_bitmap().
-    """
-    slot = F.expr(f"pmod(xxhash64(`{key}`), {1 << bits})")
-    marked = df.withColumn("_block", F.floor(slot / _BLOCK_BITS).cast("int")).withColumn("_pos", slot % _BLOCK_BITS)
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("cast(_pos % 8 as int)")
+def with_bitmap_flag(df: DataFrame, key: Column, bitmap: Bitmap, flag: str) -> DataFrame:
+    """Add flag: false only where key, an expression over df, is surely not among the bitmap's keys. No shuffle."""
+    if bitmap.frame is None:
+        return df.withColumn(flag, F.lit(True))
+    slot, block, bits = (unused(df, name) for name in ("_slot", "_block", "_bitmap"))
+    blocks = bitmap.frame.select(F.col("_block").alias(block), F.col("_bitmap").alias(bits))
+    marked = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(1 << bitmap.bits)))
+    marked = marked.withColumn(block, F.expr(f"cast(`{slot}` div {_BLOCK_BITS} as int)"))
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, cast((`{slot}` % {_BLOCK_BITS}) div 8 as int) + 1, 1)")), 16, 10)
+    bit = F.call_function("shiftright", F.coalesce(byte.cast("int"), F.lit(0)), F.expr(f"cast(`{slot}` % 8 as int)"))
     return (
-        marked.join(F.broadcast(bitmap), "_block", "left")
-        .withColumn("_byte", F.coalesce(byte, F.lit(0)))
-        .withColumn(flag, F.call_function("shiftright", F.col("_byte"), bit).bitwiseAND(1) == 1)
-        .drop("_block", "_pos", "_byte", "_bitmap")
+        marked.join(F.broadcast(blocks), block, "left")
+        .withColumn(flag, bit.bitwiseAND(1) == 1)
+        .select(*(F.col(f"`{c}`") for c in df.columns), flag)
     )
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not among gone[id_col], with all their columns. Rows without an id stay.
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, n: int) -> DataFrame:
+    """The rows of docs whose id is not among the n ids gone[id_col], with all their columns.
 
     Only rows that a bitmap of the ids marks meet gone in a join, so the texts of the others are not shuffled.
     """
-    bitmap = key_bitmap(gone, id_col)
-    marked = with_bitmap_flag(docs, id_col, bitmap, "_maybe_gone")
-    sure = marked.where("not _maybe_gone").drop("_maybe_gone")
-    rest = marked.where("_maybe_gone").drop("_maybe_gone").join(gone.select(id_col).distinct(), id_col, "left_anti")
-    return sure.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    if not n:
+        return docs
+    flag, other = unused(docs, "_maybe_gone"), unused(docs, "_gone_id")
+    marked = with_bitmap_flag(docs, F.col(f"`{id_col}`"), key_bitmap(gone, id_col, n), flag)
+    sure = marked.where(~F.coalesce(F.col(flag), F.lit(False))).drop(flag)
+    ids = gone.select(F.col(f"`{id_col}`").alias(other)).distinct()
+    rest = marked.where(F.col(flag)).drop(flag)
+    return sure.unionByName(rest.join(ids, F.col(f"`{id_col}`") == F.col(other), "left_anti"))

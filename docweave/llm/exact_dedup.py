@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import ascii_lower, key_bitmap, with_bitmap_flag, without_ids
+from docweave.llm.common import Bitmap, ascii_lower, key_bitmap, unused, with_bitmap_flag
 from docweave.session import materialize
 
 
@@ -26,7 +26,7 @@ def exact_duplicates(
     rows have kept = false. An empty table gives an empty result; other columns of docs are not read.
 
     1. Hashes and ids alone are grouped (one row per hash and map task is shuffled). Hashes that occur twice set
-       bits of a bitmap of fixed size, which is broadcast.
+       bits of a bitmap, broadcast within its bound; of more hashes than it can tell apart every text counts as marked.
     2. Only texts whose bit is set are shuffled, grouped by (hash, text): the grouping compares bytes, so texts that
        merely share a hash part here. Partial aggregation keeps one copy of a text per map task, however hot.
     3. Each row looks its group up by hash. Hashes with several texts, if there are any, go by (hash, text) instead.
@@ -38,10 +38,8 @@ def exact_duplicates(
     texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("hash", content_hash(F.col("norm")))
     narrow = texts.select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
 
-    repeated = narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bitmap = materialize(key_bitmap(repeated, "hash"), "repeats")
     equal = (
-        with_bitmap_flag(texts, "hash", bitmap, "maybe")
+        with_bitmap_flag(texts, F.col("hash"), _repeats(narrow), "maybe")
         .where("maybe")
         .groupBy("hash", "norm")
         .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -81,10 +79,37 @@ def exact_duplicates(
     )
 
 
+def _repeats(hashed: DataFrame) -> Bitmap:
+    """A bitmap of the values that occur twice in the column hash."""
+    repeated = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    repeated = materialize(repeated, "repeats")
+    return key_bitmap(repeated, "hash", repeated.count())
+
+
 def drop_exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "smallest",
+    content_hash: Callable[[Column], Column] = F.md5,
 ) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows without an id stay."""
-    found = exact_duplicates(docs, id_col, text_col, keep)
-    gone = materialize(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)), "gone")
-    return without_ids(docs, id_col, gone)
+    """One row of docs for each text, with all its columns: the one with the smallest (or largest) id.
+
+    Rows are told apart by their texts, not by ids: rows that share an id but differ in text all stay. Of a repeated
+    row (same id and text) one stays; a row without an id stays only if no row with its text has one. Equality, nulls
+    and empty tables are as in exact_duplicates(). Columns may have any names.
+
+    The bitmap of repeated hashes lets single texts pass without a shuffle. The others are grouped by (hash, text),
+    which compares bytes, and one row is kept per group already before the shuffle.
+    """
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep must be 'smallest' or 'largest', not {keep!r}")
+    norm, hash_, maybe, row = (unused(docs, name) for name in ("_norm", "_hash", "_maybe", "_row"))
+    own, ident = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{id_col}`")
+    hashed = docs.withColumn(norm, ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    hashed = hashed.withColumn(hash_, content_hash(F.col(norm)))
+    flagged = with_bitmap_flag(hashed, F.col(hash_), _repeats(hashed.select(F.col(hash_).alias("hash"))), maybe)
+    # Smallest: rows without an id come last. Largest: nulls are smallest anyway.
+    order, best = (F.struct(ident.isNull(), ident), F.min_by) if keep == "smallest" else (F.struct(ident), F.max_by)
+    stay = flagged.where(maybe).groupBy(hash_, norm).agg(best(F.struct(*own), order).alias(row)).select(f"{row}.*")
+    return flagged.where(~F.col(maybe)).select(*own).union(stay)

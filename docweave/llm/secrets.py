@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,8 @@ from docweave.session import materialize
 
 #: Documents to a block of the index: no posting list is longer.
 BLOCK_DOCS = 4096
-#: Bits of a rule's candidate bitmap (2 MB).
-CANDIDATE_BITS = 24
+#: Matches of one text that are placed at a time.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,11 @@ def _tagged(kind: str, ids: Column) -> Column:
     return F.transform(ids, lambda x: F.struct(F.lit(kind).alias("kind"), x["doc_id"].alias("doc_id")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(rule: Rule, text: Column, number: int) -> Column:
     """Array of (start, number, end) in code points: the text between matches and the matches add up to positions."""
     pattern = F.lit(rule.pattern)
@@ -88,25 +93,44 @@ def _spans(rule: Rule, text: Column, number: int) -> Column:
         ),
     )
     none = F.expr("cast(array() as array<struct<start:int,number:int,end:int,tested:int>>)")
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        F.lit(number).alias("number"),
-                        (acc["at"] + x["gap"] + x["size"]).alias("end"),
-                        x["tested"].alias("tested"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda acc: F.filter(acc["spans"], lambda s: s["tested"] >= rule.least),
-    )
+    # In runs of RUN matches: an array that grows by one element at a time is copied each time.
+    def in_runs(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_) + 1, F.lit(RUN))
+        return F.transform(starts, lambda i: F.slice(all_, i, F.lit(RUN)))
+
+    def begins(runs: Column) -> Column:
+        return F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda acc, run: F.struct(
+                F.aggregate(run, acc["at"], lambda n, x: n + x["gap"] + x["size"]).alias("at"),
+                F.concat(acc["all"], F.array(acc["at"])).alias("all"),
+            ),
+            lambda acc: acc["all"],
+        )
+
+    def walk(run: Column, begin: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(begin.alias("at"), none.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["size"]).alias("at"),
+                F.concat(
+                    acc["spans"],
+                    F.array(
+                        F.struct(
+                            (acc["at"] + x["gap"]).alias("start"),
+                            F.lit(number).alias("number"),
+                            (acc["at"] + x["gap"] + x["size"]).alias("end"),
+                            x["tested"].alias("tested"),
+                        )
+                    ),
+                ).alias("spans"),
+            ),
+            lambda acc: F.filter(acc["spans"], lambda s: s["tested"] >= rule.least),
+        )
+
+    walked = _let(lengths, lambda all_: _let(in_runs(all_), lambda runs: F.flatten(F.zip_with(runs, begins(runs), walk))))
     return F.when(F.regexp_like(text, pattern), walked).otherwise(none)
 
 
@@ -129,7 +153,7 @@ def scan_secrets(
     1. A Boolean trigram query is derived from each pattern. One scan builds an inverted index of the trigrams that
        the queries mention, in blocks of a bounded number of documents.
     2. Within each block the posting lists are intersected and united as the query says. A rule's candidates set
-       bits of a bitmap of fixed size, which is broadcast: no text is shuffled.
+       bits of a bitmap, which is broadcast within its bound: no text is shuffled.
     3. A second scan verifies candidates with the pattern itself. Rules without mandatory trigrams scan every text.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -146,9 +170,10 @@ def scan_secrets(
             ),
             "candidates",
         )
+        size = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}  # one row a rule
         for kind in asked:
-            bitmap = key_bitmap(found.where(F.col("kind") == kind), "doc_id", CANDIDATE_BITS)
-            flagged = with_bitmap_flag(flagged, "doc_id", bitmap, f"may_{kind}", CANDIDATE_BITS)
+            bitmap = key_bitmap(found.where(F.col("kind") == kind), "doc_id", size.get(kind, 0))
+            flagged = with_bitmap_flag(flagged, F.col("doc_id"), bitmap, f"may_{kind}")
     none = F.expr("cast(array() as array<struct<start:int,number:int,end:int,tested:int>>)")
     columns = {}
     for number, rule in enumerate(rules):

@@ -19,8 +19,8 @@ from docweave.llm.decontaminate import words_of
 _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Word beginnings that count as features besides the word itself, in bytes.
 _PREFIXES = (4, 5, 6)
-#: Words whose weights a worker remembers.
-_CACHE = 500_000
+#: Words whose weights a worker remembers, and bytes of the longest of them.
+_CACHE, _CACHED_BYTES = 100_000, 64
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,9 @@ class ToxicityModel:
         if found is None:
             if len(self._known) >= _CACHE:
                 self._known.clear()
-            found = self._known[word] = sum(self.weights.get(f, 0.0) for f in features_of(word))
+            found = sum(self.weights.get(f, 0.0) for f in features_of(word))
+            if len(word) <= _CACHED_BYTES:
+                self._known[word] = found
         return found
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:

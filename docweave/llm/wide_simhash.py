@@ -3,7 +3,7 @@
 A fingerprint of 64 bits cannot tell a similarity of .8 from chance: its copies differ in ten bits on average. WORDS of
 64 bits each estimate it well (the standard error is about .02 at .8), so that the Hamming check leaves few pairs to the
 exact comparison of their shingles. What the filter misses, in crowded segments and among short texts, an exact prefix
-join of the shingles finds: see missed_pairs().
+join of the shingles finds, at any number of documents: see missed_pairs().
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import key_bitmap, with_bitmap_flag, without_ids
+from docweave.llm.common import key_bitmap, unused, with_bitmap_flag, without_ids
 from docweave.llm.components import connected_components
-from docweave.session import materialize
+from docweave.llm.exact_dedup import drop_exact_duplicates
+from docweave.session import bounded_batches, discard, materialize
 
-#: 64-bit words of a fingerprint; bits of a segment; where the rings of segments begin and how many each has.
-WORDS, SEGMENT = 16, 20
-OFFSETS = (0, SEGMENT // 2)
-RINGS = tuple((64 * WORDS - start) // SEGMENT for start in OFFSETS)
+#: 64-bit words of a fingerprint, and the least and most bits of a segment; see segment_bits().
+WORDS, LEAST_BITS, MOST_BITS = 16, 16, 40
 #: Up to so many fingerprints that share a segment are paired; of more, each meets one of them. See candidates().
-BUCKET = 4
+BUCKET = 16
+#: Of each of the next two segments so many bits are carried along: both fit one number.
+NEAR = 31
+#: Fingerprints whose segments a task looks at together, before the shuffle.
+LOCAL = 4096
+#: Rounds of missed_pairs() with one partner a row, while its buckets would make over CROWDED pairs for each of their rows.
+ROUNDS, CROWDED = 3, 16
 #: By how much less similarity a pair may seem to have in its fingerprints.
 SLACK = 0.06
 #: Texts looked at for common shingles: so many or so great a part of all; and how many of these shingles are noted.
@@ -53,12 +58,17 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_digest
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(len(words), shingle) - 1 :]
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts.tolist(), last.tolist(), strict=False)], np.uint64))
+    del words
+    parts = []
+    for at in range(0, len(last), _CHUNK):
+        places = zip(starts[at : at + _CHUNK].tolist(), last[at : at + _CHUNK].tolist(), strict=False)
+        parts.append(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in places]), ">u8"))
+    return np.unique(np.concatenate(parts).astype(np.uint64))
 
 
 def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -130,28 +140,88 @@ def wide_fingerprints(
     similarity: float = 0.8,
     common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64)),
 ) -> DataFrame:
-    """(doc_id, fp array<long>, segments array<long>, size int, prefix array<long>): no shuffle."""
+    """(doc_id, fp array<long>, size int, prefix array<long>): no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
-            fps = [fingerprint_of(x) for x in sets]
-            table = np.array(fps, np.uint64).reshape(len(fps), WORDS)
-            bits = np.unpackbits(table.view(np.uint8).reshape(len(fps), 8 * WORDS), axis=1, bitorder="little")
-            weights = np.int64(1) << np.arange(SEGMENT, dtype=np.int64)
-            parts = [
-                bits[:, start : start + n * SEGMENT].reshape(len(fps), n, SEGMENT) @ weights
-                for start, n in zip(OFFSETS, RINGS, strict=True)
-            ]
-            parts = np.concatenate(parts, axis=1)
-            arrays = [pa.array(list(x), pa.list_(pa.int64())) for x in (table.view(np.int64), parts)]
+            table = [fingerprint_of(x).view(np.int64) for x in sets]
             prefixes = [prefix_of(x, similarity, common).view(np.int64) for x in sets]
-            arrays += [pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "fp", "segments", "size", "prefix"])
+            arrays = [pa.array(table, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32())]
+            arrays.append(pa.array(prefixes, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "fp", "size", "prefix"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {id_type}, fp array<long>, segments array<long>, size int, prefix array<long>")
+    return narrow.mapInArrow(run, f"doc_id {id_type}, fp array<long>, size int, prefix array<long>")
+
+
+def segment_bits(nodes: int) -> int:
+    """Bits of a segment for so many fingerprints: four more than number them, so that few share one by chance."""
+    return max(LEAST_BITS, min(MOST_BITS, max(1, nodes).bit_length() + 3))
+
+
+def rings(bits: int) -> tuple[tuple[int, int], ...]:
+    """(first bit, number of segments) of the two rings, half a segment apart."""
+    return tuple((start, (64 * WORDS - start) // bits) for start in (0, bits // 2))
+
+
+def segments_of(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of fingerprints (rows of WORDS): slots (which segment, and its value) and the two segments after each."""
+    table = np.unpackbits(fps.view(np.uint8).reshape(len(fps), 8 * WORDS), axis=1, bitorder="little")
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+    low, slots, more, first = np.int64((1 << NEAR) - 1), [], [], 0
+    for start, n in rings(bits):
+        values = table[:, start : start + n * bits].reshape(len(fps), n, bits) @ weights
+        slots.append(values | (np.arange(first, first + n, dtype=np.int64) << MOST_BITS))
+        more.append((np.roll(values, -1, axis=1) & low) | ((np.roll(values, -2, axis=1) & low) << NEAR))
+        first += n
+    return np.concatenate(slots, axis=1), np.concatenate(more, axis=1)
+
+
+def segment_rows(nodes: DataFrame, budget: int, bits: int) -> DataFrame:
+    """(slot, node, more, hub) from (node, fp): a row for each segment of a fingerprint.
+
+    Where over BUCKET of a task's fingerprints share a slot, only one goes on: the others become candidate pairs with
+    it at once (hub), as they would after the shuffle, so that no slot gets a third of all rows.
+    """
+    two, three = _budgets(budget, bits)
+
+    def emit(ids: pa.Array, fps: np.ndarray) -> pa.RecordBatch:
+        slots, more = segments_of(fps, bits)
+        row = np.repeat(np.arange(len(fps)), slots.shape[1])
+        slots, more = slots.reshape(-1), more.reshape(-1)
+        order = np.argsort(slots, kind="stable")
+        slots, more, row = slots[order], more[order], row[order]
+        edge = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
+        sizes = np.diff(np.concatenate((edge, [len(slots)])))
+        head = np.repeat(edge, sizes)
+        starred = np.repeat(sizes > BUCKET, sizes) & (head != np.arange(len(slots)))
+        differ = more ^ more[head]
+        near = np.bitwise_count(differ & np.int64((1 << NEAR) - 1)) <= two
+        keep = ~starred | (near & (np.bitwise_count(differ) <= three))
+        # A pair needs no slot; these negative ones spread pairs over the tasks.
+        slots = np.where(starred, ~(more ^ row), slots)[keep]
+        hub = pa.array(row[head][keep], mask=~starred[keep])
+        arrays = [pa.array(slots), ids.take(pa.array(row[keep])), pa.array(more[keep]), ids.take(hub)]
+        return pa.RecordBatch.from_arrays(arrays, ["slot", "node", "more", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fps, n = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, LOCAL):
+                part = batch.slice(at, LOCAL)
+                ids.append(part.column(0))
+                fps.append(part.column(1).flatten().to_numpy().reshape(-1, WORDS))
+                n += part.num_rows
+                if n >= LOCAL:
+                    yield emit(pa.concat_arrays(ids), np.concatenate(fps))
+                    ids, fps, n = [], [], 0
+        if n:
+            yield emit(pa.concat_arrays(ids), np.concatenate(fps))
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    return nodes.select("node", "fp").mapInArrow(run, f"slot long, node {kind}, more long, hub {kind}")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -163,69 +233,87 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, f"node {texts.schema['node'].dataType.simpleString()}, shingles array<long>")
 
 
-def _within(a: Column, b: Column, budget: int) -> Column:
-    """Whether the two segments after the equal one keep the cumulative budgets of chains of two and three.
-
-    a and b hold both segments, the nearer one in the low bits.
-    """
-    differ = a.bitwiseXOR(b)
-    near = F.bit_count(differ.bitwiseAND((1 << SEGMENT) - 1))
-    return (near <= 2 * budget // min(RINGS)) & (F.bit_count(differ) <= 3 * budget // min(RINGS))
+def _budgets(budget: int, bits: int) -> tuple[int, int]:
+    """How much chains of two and three segments may differ after their equal first one: their share of the budget."""
+    fewest = min(n for _, n in rings(bits))
+    return 2 * budget // fewest, 3 * budget // fewest
 
 
-def candidates(nodes: DataFrame, budget: int) -> DataFrame:
-    """Pairs (a, b) of nodes worth the full check, from (node, segments).
+def candidates(nodes: DataFrame, budget: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes worth the full check, from (node, fp).
 
     Pigeonring: within the budget some chain of segments keeps its proportional share at every length. Chains that
-    begin with an equal segment are found by a join; the next two segments, carried along, prune a pair before its
-    fingerprints meet. Of more than BUCKET nodes that share a segment each meets the smallest, so that a hot
-    group makes links in proportion to its size; missed_pairs() finds what they leave out. There are two rings, half a
-    segment apart, so that more chains are tried.
+    begin with an equal segment are found by grouping; the next two segments, carried along, prune a pair before its
+    fingerprints meet. Of more than BUCKET nodes that share a segment each meets one, so that a hot group makes links
+    in proportion to its size; missed_pairs() finds what they leave out. There are two rings, half a segment apart, so
+    that more chains are tried.
     """
-    parts, first = [], 0
-    for size in RINGS:
-        for i in range(size):
-            next1, next2 = (F.get("segments", F.lit(first + (i + k) % size)) for k in (1, 2))
-            more = next1.bitwiseOR(F.call_function("shiftleft", next2, F.lit(SEGMENT)))
-            key = F.get("segments", F.lit(first + i))
-            parts.append(F.struct(F.lit(first + i).alias("ring"), key.alias("key"), more.alias("more")))
-        first += size
-    rings = F.array(*parts)
-    keyed = nodes.select("node", F.explode(rings).alias("s")).select("node", "s.ring", "s.key", "s.more")
-    bucket = Window.partitionBy("ring", "key")
+    two, three = _budgets(budget, bits)
+
+    def within(a: Column, b: Column) -> Column:
+        differ = a.bitwiseXOR(b)
+        return (F.bit_count(differ.bitwiseAND((1 << NEAR) - 1)) <= two) & (F.bit_count(differ) <= three)
+
+    bucket = Window.partitionBy("slot")
     me = F.struct("node", "more")
-    shared = materialize(
-        keyed.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min(me).over(bucket)}).where("n > 1"),
-        "segments",
-    )
-    small = shared.where(F.col("n") <= BUCKET).select("ring", "key", "node", "more")
-    other = small.select("ring", "key", F.col("node").alias("node2"), F.col("more").alias("more2"))
-    pairs = small.join(other, ["ring", "key"]).where((F.col("node") < F.col("node2")) & _within(F.col("more"), F.col("more2"), budget))
-    large = shared.where(F.col("n") > BUCKET)
-    starred = large.where((F.col("node") != F.col("low.node")) & _within(F.col("more"), F.col("low.more"), budget))
+    counted = segment_rows(nodes, budget, bits).withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min(me).over(bucket)})
+    shared = materialize(counted.where("hub is not null or (slot >= 0 and n > 1)"), "segments")
+    local = shared.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    met = shared.where("hub is null")
+    small = met.where(F.col("n") <= BUCKET).select("slot", "node", "more")
+    other = small.select("slot", F.col("node").alias("node2"), F.col("more").alias("more2"))
+    pairs = small.join(other, "slot").where((F.col("node") < F.col("node2")) & within(F.col("more"), F.col("more2")))
+    large = met.where((F.col("n") > BUCKET) & (F.col("node") != F.col("low.node")))
+    starred = large.where(within(F.col("more"), F.col("low.more")))
     found = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    return found.union(starred.select(F.col("low.node").alias("a"), F.col("node").alias("b"))).distinct()
+    found = found.union(starred.select(F.col("low.node").alias("a"), F.col("node").alias("b")))
+    return found.union(local.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def missed_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of nodes of different components that may be similar, from (node, size, prefix).
-
-    Exact: similar sets share a shingle of their prefixes, and sizes, places and the number of shared ones bound the
-    overlap from above. Nodes that roots already connects need no comparison, so a large group of near copies costs
-    no pairs, and buckets of any size are paired in full.
-    """
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, place): the prefix shingles that other nodes have too, from (node, size, prefix)."""
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    return materialize(shared, "prefixes")
+
+
+def mixed_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shared_prefixes() in buckets of more than one component, with root, n (rows) and hub (one of them)."""
     bucket = Window.partitionBy("key")
-    shared = materialize(rows.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1").drop("n"), "prefixes")
     parted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = parted.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").drop("low", "high")
-    mixed = materialize(mixed, "mixed")
-    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "place", "root"))) for n in "ab")
-    # The overlap that the similarity asks of both sizes.
-    need = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6)
-    before = F.least("place_a", "place_b")
-    after = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    met = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (before + after >= need))
+    me = F.struct(F.xxhash64("root", "node").alias("draw"), "node", "size", "place", "root")
+    facts = {"low": F.min("root"), "high": F.max("root"), "n": F.count(F.lit(1)), "hub": F.min(me)}
+    return materialize(parted.withColumns({k: c.over(bucket) for k, c in facts.items()}).where("low < high").drop("low", "high"), "mixed")
+
+
+def _overlap(a: str, b: str, similarity: float) -> tuple[Column, Column]:
+    """What two sets must share, and at most share given the places of one shared shingle; names end in a and b."""
+    need = F.ceil((F.col(f"size{a}") + F.col(f"size{b}")) * (similarity / (1 + similarity)) - 1e-6)
+    before = F.least(F.col(f"place{a}"), F.col(f"place{b}"))
+    after = F.least(F.col(f"size{a}") - F.col(f"place{a}"), F.col(f"size{b}") - F.col(f"place{b}"))
+    return need, before + after
+
+
+def hub_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each row of a bucket of over BUCKET with the bucket's hub, if of another component."""
+    rows = mixed.where((F.col("n") > BUCKET) & (F.col("root") != F.col("hub.root"))).select(
+        *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "place")),
+        *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "size", "place")),
+    )
+    need, most = _overlap("_a", "_b", similarity)
+    return rows.where(most >= need).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def missed_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that may be similar, from mixed_buckets().
+
+    Exact: similar sets share a shingle of their prefixes, and sizes, places and the number of shared ones bound the
+    overlap from above. Nodes that are connected already need no comparison, and buckets of any size are paired.
+    """
+    columns = ("node", "size", "place", "root")
+    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{n}") for c in columns)) for n in "ab")
+    need, most = _overlap("_a", "_b", similarity)
+    met = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (most >= need))
     pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
     # Shared shingles beyond the prefix that ends first are at most those that its set has left.
     left = F.greatest(least_shared(F.col("size_a"), similarity), least_shared(F.col("size_b"), similarity)) - 1
@@ -235,54 +323,102 @@ def missed_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataF
 def _alike(docs: DataFrame, near: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of near whose shingles are similar enough, by exact comparison."""
     # Only the texts of these pairs are shingled; a bitmap keeps the others out of the shuffle.
-    ids = near.select(F.col("a").alias("node")).union(near.select("b"))
+    ids = materialize(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "asked")
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    asked = with_bitmap_flag(texts, "node", key_bitmap(ids, "node"), "_asked").where("_asked").select("node", "text")
-    sets = materialize(_shingle_sets(asked, shingle).join(ids.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    asked = with_bitmap_flag(texts, F.col("node"), key_bitmap(ids, "node", ids.count()), "_asked").where("_asked").select("node", "text")
+    sets = materialize(_shingle_sets(asked, shingle).join(ids, "node", "left_semi").dropDuplicates(["node"]), "sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     all_ = F.size("set_a") + F.size("set_b") - both
-    return near.join(a, "a").join(b, "b").where((all_ == 0) | (both >= similarity * all_ - 1e-9)).select("a", "b")
+    alike = near.join(a, "a").join(b, "b").where((all_ == 0) | (both >= similarity * all_ - 1e-9)).select("a", "b")
+    alike = materialize(alike, "alike")
+    discard(sets, ids)
+    return alike
 
 
 def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    similarity: float = 0.8,
+    shingle: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    segment: int | None = None,
 ) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near-duplicate: the smallest id of their component.
 
+    A component's smallest document may be left out where all others have its fingerprint.
     Documents link when the Jaccard similarity of their distinct word shingles is enough; texts without words link
-    with each other. Rows without an id are left out; a repeated id counts once, with one of its texts.
+    with each other. Rows without an id are left out; a repeated id counts once, with one of its texts. segment is the
+    width of a segment in bits, if not segment_bits().
 
     1. Fingerprints find most links, those of large groups in proportion to their size. The Hamming budget is that of
        a similarity SLACK lower, and the exact comparison follows.
-    2. missed_pairs() finds all other pairs that could still join two components; they are compared exactly too.
+    2. missed_pairs() finds all other pairs that could still join two components; they are compared exactly too. While
+       their number would be out of proportion, rounds of hub_pairs() connect more components first.
     """
+    with bounded_batches(docs.sparkSession):
+        return _similar(docs, similarity, shingle, id_col, text_col, segment)
+
+
+def _similar(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str, segment: int | None) -> DataFrame:
     budget = bits_for(similarity - SLACK)
     common = common_shingles(docs, shingle, id_col, text_col)
-    fps = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity, common), "wide").where("doc_id is not null")
+    fps = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity, common), "wide")
+    with_id = fps.where("doc_id is not null")
     # Equal fingerprints are one node, named by its smallest id.
-    nodes = materialize(
-        fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes"
-    )
-    named = materialize(fps.select("doc_id", "fp").join(nodes.select("fp", "node"), "fp").select("doc_id", "node"), "named")
-    pairs = candidates(nodes.select("node", "segments"), budget)
+    nodes = materialize(with_id.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    several = materialize(nodes.where("n > 1").select("fp", F.col("node").alias("root")), "several")
+    # Documents whose fingerprint is that of a smaller id: prefixes are compared once for each fingerprint.
+    same = with_id.select("doc_id", "fp").join(F.broadcast(several) if several.count() < 10_000 else several, "fp")
+    same = materialize(same.where("doc_id <> root").select("doc_id", "root").distinct(), "same")
+    pairs = candidates(nodes, budget, segment or segment_bits(nodes.count()))
     a, b = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
     near = materialize(pairs.join(a, "a").join(b, "b").where(distance <= budget).select("a", "b"), "near")
-    roots = connected_components(_alike(docs, near, similarity, shingle, id_col, text_col))
-    # Prefixes are not grouped by fingerprint, which would shuffle them as arrays: those of other rows are left out.
-    prefixes = without_ids(fps.select("doc_id", "size", "prefix"), "doc_id", named.where("doc_id <> node").select("doc_id"))
-    missed = materialize(missed_pairs(prefixes.withColumnRenamed("doc_id", "node"), roots, similarity), "missed")
-    links = _alike(docs, missed, similarity, shingle, id_col, text_col)
-    roots = connected_components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    root = named.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
-    return root
+    discard(nodes, several)
+    links = _alike(docs, near, similarity, shingle, id_col, text_col)
+    roots = connected_components(links)
+    prefixes = with_id.select("doc_id", "size", "prefix")
+    if same.count():
+        prefixes = without_ids(prefixes, "doc_id", same, same.count())
+    shared = shared_prefixes(prefixes.withColumnRenamed("doc_id", "node"))
+    discard(fps)
+    for turn in range(ROUNDS + 1):
+        mixed = mixed_buckets(shared, roots)
+        rows, crowd = mixed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        last = crowd <= CROWDED * rows or turn == ROUNDS
+        missed = materialize(missed_pairs(mixed, similarity) if last else hub_pairs(mixed, similarity), "missed")
+        discard(mixed)
+        more = _alike(docs, missed, similarity, shingle, id_col, text_col)
+        roots = connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if last:
+            break
+    # Every document of a fingerprint follows the one that names it.
+    of_same = same.join(roots, same["root"] == roots["node"], "left").select("doc_id", F.coalesce(roots["root"], same["root"]).alias("component_id"))
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")).union(of_same)
 
 
 def drop_similar(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the smallest id. Rows without an id stay."""
-    found = similar_documents(docs, similarity, shingle, id_col, text_col)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "gone")
-    return without_ids(docs, id_col, gone)
+    """The rows of docs that stay, with all their columns: of each component of near-duplicates the smallest id.
+
+    If ids are null or repeated, rows are told apart by id and text: of equal texts one row stays first (a row
+    without an id only if no row with its text has one), and rows without an id come after all others. Rows that share
+    an id but differ in text are judged each for itself. Columns may have any names.
+    """
+    ident = F.col(f"`{id_col}`")
+    some, twice = docs.select(F.count(F.lit(1)) > F.count(ident)).first()[0], False
+    if not some:
+        twice = not docs.groupBy(ident).count().where("count > 1").isEmpty()
+    if not some and not twice:
+        found = similar_documents(docs, similarity, shingle, id_col, text_col)
+        gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "gone")
+        return without_ids(docs, id_col, gone, gone.count())
+    single = materialize(drop_exact_duplicates(docs, id_col, text_col), "single")
+    key = unused(docs, "_row_key")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = single.withColumn(key, F.struct(ident.isNull().alias("last"), ident.alias("id"), F.md5(text).alias("hash")))
+    found = similar_documents(keyed, similarity, shingle, key, text_col)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "gone")
+    return without_ids(keyed, key, gone, gone.count()).drop(key)

@@ -7,10 +7,12 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docweave.llm import oracles, queries
 from docweave.llm import wide_simhash as W
+from docweave.llm.exact_dedup import drop_exact_duplicates
 from docweave.llm.mixing import mix_sources
 from docweave.llm.toxicity import train_toxicity
 
@@ -91,23 +93,83 @@ def test_similar_documents_match_brute_force(spark, monkeypatch, bucket):
     assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
     kept = W.drop_similar(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*{str(find(i)) for i in sets}, "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in {find(i) for i in sets})
     assert W.similar_documents(docs.where("false")).collect() == []
 
 
-def test_pair_in_crowded_segments_of_unrelated_texts(spark, monkeypatch):
+def test_pair_in_crowded_segments_of_unrelated_texts(spark):
     # Segments of four bits: each of their values is shared by many texts, and the smallest of these is unrelated.
-    for name, value in (("SEGMENT", 4), ("OFFSETS", (0, 2)), ("RINGS", (256, 255))):
-        monkeypatch.setattr(W, name, value)
     rng = random.Random(6)
     rows = [(i, words(rng, 80)) for i in range(150)]
     for i in range(200, 240, 2):
         rows += [(i, base := words(rng, 120)), (i + 1, edited(rng, base, 1))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.component_id, r.doc_id) for r in W.similar_documents(docs).collect() if r.doc_id != r.component_id}
+    got = {(r.component_id, r.doc_id) for r in W.similar_documents(docs, segment=4).collect() if r.doc_id != r.component_id}
     assert got == {(i, i + 1) for i in range(200, 240, 2)}
 
 
+@pytest.mark.parametrize("occupancy", [0, 1, 4, 16, 100])
+def test_recall_at_every_occupancy(spark, occupancy):
+    """Pairs at a similarity of about .8, with so many unrelated texts on each value of a segment of five bits."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 40)) for i in range(32 * occupancy)]
+    pairs = []
+    while len(pairs) < 60:
+        a = words(rng, 110)
+        b = edited(rng, a, 3)
+        if 0.8 <= jaccard(shingles(a), shingles(b)) < 0.84:
+            pairs.append((10_000 + 2 * len(pairs), 10_001 + 2 * len(pairs)))
+            rows += [(pairs[-1][0], a), (pairs[-1][1], b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.component_id, r.doc_id) for r in W.similar_documents(docs, segment=5).collect() if r.doc_id != r.component_id}
+    assert got == set(pairs)
+
+
+def test_pigeonring_finds_most_pairs_by_itself(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for i in range(0, 600, 2):
+        a = words(rng, 110)
+        b = edited(rng, a, rng.choice((2, 2, 3)))
+        rows += [(i, a), (i + 1, b)]
+        if jaccard(shingles(a), shingles(b)) >= 0.8:
+            want.add((i, i + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = W.wide_fingerprints(docs).select(F.col("doc_id").alias("node"), "fp")
+    found = {(r.a, r.b) for r in W.candidates(nodes, W.bits_for(0.8 - W.SLACK), 20).collect()}
+    assert len(found & want) >= 0.93 * len(want) > 100
+
+
+def test_large_group_makes_pairs_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(W, "LOCAL", 64)
+    rng = random.Random(10)
+    base = words(rng, 200)
+    rows = [(i, edited(rng, base, 1)) for i in range(600)] + [(i, words(rng, 60)) for i in range(600, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = W.wide_fingerprints(docs).select(F.col("doc_id").alias("node"), "fp")
+    slots = 102
+    assert W.candidates(nodes, W.bits_for(0.74), 20).count() < 20 * slots * 600
+    got = W.similar_documents(docs).collect()
+    assert {r.doc_id for r in got} | {0} == set(range(600)) and {r.component_id for r in got} == {0}
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rng = random.Random(11)
+    long = words(rng, 200)
+    rows = [(1, "a b"), (2, "a b"), (2, "unique words"), (2, "unique words"), (3, long), (3, edited(rng, long, 1))]
+    rows += [(None, "a b"), (None, "nobody"), (None, long + " end"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, 0, 0, 0, "") for r in rows], "doc_id long, text string, _pos int, _row int, _maybe int, _NORM string")
+    kept = [(r.doc_id, r.text) for r in drop_exact_duplicates(docs).collect()]
+    want = [(1, "a b"), (2, "unique words"), *rows[4:6], (None, "nobody"), (None, long + " end"), (4, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    near = W.drop_similar(docs)
+    assert near.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in near.collect()]
+    of_long = [r for r in kept if r[1] and len(r[1]) > 100]
+    assert len(of_long) == 1 and of_long[0][0] == 3
+    assert sorted(set(kept) - set(of_long), key=str) == sorted([want[0], want[1], want[4], want[6]], key=str)
+
+
 @pytest.mark.parametrize("n", [1, 4, 5, 8, 9, 14, 24, 60])
 def test_all_pairs_of_short_texts(spark, n):
     rng = random.Random(n)
