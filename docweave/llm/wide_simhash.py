@@ -24,14 +24,14 @@ from docweave.session import bounded_batches, discard, materialize
 
 #: 64-bit words of a fingerprint, and the least and most bits of a segment; see segment_bits().
 WORDS, LEAST_BITS, MOST_BITS = 16, 16, 40
-#: Up to so many fingerprints that share a segment are paired; of more, each meets one of them. See candidates().
+#: Of more rows than this in one bucket each meets a partner: segments before the shuffle, prefixes in hub_pairs().
 BUCKET = 16
 #: Of each of the next two segments so many bits are carried along: both fit one number.
 NEAR = 31
 #: Fingerprints whose segments a task looks at together, before the shuffle.
 LOCAL = 4096
 #: Rounds of missed_pairs() with one partner a row, while its buckets would make over CROWDED pairs for each of their rows.
-ROUNDS, CROWDED = 3, 16
+ROUNDS, CROWDED = 3, 4
 #: By how much less similarity a pair may seem to have in its fingerprints.
 SLACK = 0.06
 #: Texts looked at for common shingles: so many or so great a part of all; and how many of these shingles are noted.
@@ -244,9 +244,9 @@ def candidates(nodes: DataFrame, budget: int, bits: int) -> DataFrame:
 
     Pigeonring: within the budget some chain of segments keeps its proportional share at every length. Chains that
     begin with an equal segment are found by grouping; the next two segments, carried along, prune a pair before its
-    fingerprints meet. Of more than BUCKET nodes that share a segment each meets one, so that a hot group makes links
-    in proportion to its size; missed_pairs() finds what they leave out. There are two rings, half a segment apart, so
-    that more chains are tried.
+    fingerprints meet. Nodes that share a segment each meet the smallest of them, so links grow with the rows and not
+    with the square of a group: nodes alike share many segments, and few share one by chance (segment_bits()).
+    missed_pairs() finds what is left out. There are two rings, half a segment apart, so that more chains are tried.
     """
     two, three = _budgets(budget, bits)
 
@@ -259,14 +259,8 @@ def candidates(nodes: DataFrame, budget: int, bits: int) -> DataFrame:
     counted = segment_rows(nodes, budget, bits).withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min(me).over(bucket)})
     shared = materialize(counted.where("hub is not null or (slot >= 0 and n > 1)"), "segments")
     local = shared.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    met = shared.where("hub is null")
-    small = met.where(F.col("n") <= BUCKET).select("slot", "node", "more")
-    other = small.select("slot", F.col("node").alias("node2"), F.col("more").alias("more2"))
-    pairs = small.join(other, "slot").where((F.col("node") < F.col("node2")) & within(F.col("more"), F.col("more2")))
-    large = met.where((F.col("n") > BUCKET) & (F.col("node") != F.col("low.node")))
-    starred = large.where(within(F.col("more"), F.col("low.more")))
-    found = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    found = found.union(starred.select(F.col("low.node").alias("a"), F.col("node").alias("b")))
+    met = shared.where(F.col("hub").isNull() & (F.col("node") != F.col("low.node")) & within(F.col("more"), F.col("low.more")))
+    found = met.select(F.col("low.node").alias("a"), F.col("node").alias("b"))
     return found.union(local.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
@@ -277,47 +271,52 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
     return materialize(shared, "prefixes")
 
 
-def mixed_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of shared_prefixes() in buckets of more than one component, with root, n (rows) and hub (one of them)."""
+def mixed_buckets(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The rows of shared_prefixes() that may belong to a pair of two components, with root, n and hub.
+
+    A shingle that a pair shares first, in the order of all shingles, leaves both sets at least their overlap: the
+    sizes behind it are need or more, each. So the slacks of both rows, size behind less their part of need, add up to
+    no less than 0, and a row whose slack even the best of its bucket cannot make up is left out: texts that share a
+    long passage but are not similar do not meet. n: rows with a slack of 0 or more, one of which every pair has.
+    """
     bucket = Window.partitionBy("key")
-    parted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    part = similarity / (1 + similarity)
+    slack = F.col("size") - F.col("place") - 2 * part * F.col("size") + 1e-6
+    parted = shared.join(roots, "node", "left").withColumns({"root": F.coalesce("root", "node"), "slack": slack})
     me = F.struct(F.xxhash64("root", "node").alias("draw"), "node", "size", "place", "root")
-    facts = {"low": F.min("root"), "high": F.max("root"), "n": F.count(F.lit(1)), "hub": F.min(me)}
-    return materialize(parted.withColumns({k: c.over(bucket) for k, c in facts.items()}).where("low < high").drop("low", "high"), "mixed")
+    free = F.col("slack") >= 0
+    facts = {"low": F.min("root"), "high": F.max("root"), "most": F.max("slack"), "n": F.sum(free.cast("long")), "hub": F.min(F.when(free, me))}
+    marked = parted.withColumns({k: c.over(bucket) for k, c in facts.items()})
+    return materialize(marked.where("low < high and slack + most >= 0").drop("low", "high", "most", "slack"), "mixed")
 
 
-def _overlap(a: str, b: str, similarity: float) -> tuple[Column, Column]:
-    """What two sets must share, and at most share given the places of one shared shingle; names end in a and b."""
+def _enough_behind(a: str, b: str, similarity: float) -> Column:
+    """Whether both sets have as many shingles from this one on as they must share; names end in a and b."""
     need = F.ceil((F.col(f"size{a}") + F.col(f"size{b}")) * (similarity / (1 + similarity)) - 1e-6)
-    before = F.least(F.col(f"place{a}"), F.col(f"place{b}"))
-    after = F.least(F.col(f"size{a}") - F.col(f"place{a}"), F.col(f"size{b}") - F.col(f"place{b}"))
-    return need, before + after
+    return F.least(F.col(f"size{a}") - F.col(f"place{a}"), F.col(f"size{b}") - F.col(f"place{b}")) >= need
 
 
 def hub_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each row of a bucket of over BUCKET with the bucket's hub, if of another component."""
+    """Pairs (a, b) of each row of a bucket with over BUCKET in n with the bucket's hub, if of another component."""
     rows = mixed.where((F.col("n") > BUCKET) & (F.col("root") != F.col("hub.root"))).select(
         *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "place")),
         *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "size", "place")),
     )
-    need, most = _overlap("_a", "_b", similarity)
-    return rows.where(most >= need).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    near = rows.where(_enough_behind("_a", "_b", similarity))
+    return near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def missed_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of nodes of different components that may be similar, from mixed_buckets().
 
-    Exact: similar sets share a shingle of their prefixes, and sizes, places and the number of shared ones bound the
-    overlap from above. Nodes that are connected already need no comparison, and buckets of any size are paired.
+    Exact: similar sets share a shingle of their prefixes, and from the first one they share on both have all of their
+    overlap left. Nodes that are connected already need no comparison, and buckets of any size are paired.
     """
     columns = ("node", "size", "place", "root")
     a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{n}") for c in columns)) for n in "ab")
-    need, most = _overlap("_a", "_b", similarity)
-    met = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (most >= need))
-    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
-    # Shared shingles beyond the prefix that ends first are at most those that its set has left.
-    left = F.greatest(least_shared(F.col("size_a"), similarity), least_shared(F.col("size_b"), similarity)) - 1
-    return pairs.where(F.col("n") + left >= need).select("a", "b")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    met = a.join(b, "key").where(apart & _enough_behind("_a", "_b", similarity))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _alike(docs: DataFrame, near: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -384,7 +383,7 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
     shared = shared_prefixes(prefixes.withColumnRenamed("doc_id", "node"))
     discard(fps)
     for turn in range(ROUNDS + 1):
-        mixed = mixed_buckets(shared, roots)
+        mixed = mixed_buckets(shared, roots, similarity)
         rows, crowd = mixed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         last = crowd <= CROWDED * rows or turn == ROUNDS
         missed = materialize(missed_pairs(mixed, similarity) if last else hub_pairs(mixed, similarity), "missed")
