@@ -41,19 +41,26 @@ _MARKS = frozenset(
     "pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+_NOWHERE = (-1,)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Lines(HTMLParser):
-    """Collects one line per block: words, tags, characters inside links, containers around it, and its marks."""
+    """Collects one line per block: words, tags, characters inside links, the container around it.
+
+    Containers are numbered as they open, so those inside one are the numbers from its own to its last. Open elements
+    are found by tag without a walk: time and memory grow with the page, however deep it is nested.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, marked, container number or -1
-        self.path: tuple[int, ...] = ()
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+        self.around = [-1]  # the containers that are open
         self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.last: list[int] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.pieces: list[str] = []
         self.tags = self.linked = self.marked = self.links = self.articles = 0
 
@@ -63,7 +70,8 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.path, self.marked > 0))
+            if not self.marked:
+                self.lines.append((text, self.tags, self.linked, self.around[-1]))
             self.tags = 0
         self.pieces.clear()
         self.linked = 0
@@ -92,7 +100,9 @@ class _Lines(HTMLParser):
         if tag in _CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(tag)
-            self.path += (number,)
+            self.last.append(number)
+            self.around.append(number)
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, marked, number))
         self.marked += marked
         self.links += tag == "a"
@@ -112,22 +122,22 @@ class _Lines(HTMLParser):
 
     def _close_open(self, tag: str, bounds: frozenset[str] | tuple[str, ...]) -> None:
         """Close the innermost open element of this kind with all inside it, unless a boundary lies between."""
-        for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth][0]
-            if name == tag:
-                break
-            if name in bounds:
-                return
-        else:
+        open_ = self.places.get(tag)
+        if not open_:
+            return
+        depth = open_[-1]
+        if any(self.places.get(b, _NOWHERE)[-1] > depth for b in bounds if self.places.get(b)):
             return
         if tag not in _INLINE:
             self.flush()
         for name, marked, number in reversed(self.stack[depth:]):
+            self.places[name].pop()
             self.marked -= marked
             self.links -= name == "a"
             self.articles -= name in ("article", "main")
             if number >= 0:
-                self.path = self.path[:-1]
+                self.around.pop()
+                self.last[number] = len(self.kinds) - 1
         del self.stack[depth:]
 
 
@@ -175,9 +185,11 @@ def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.8) -> str:
 
     Parser events become lines, one per block. Lines inside menus, headers, footers, sidebars, notices, adverts,
     forms, comments and the like are no candidates. Each line's ratio of unlinked text to tags is smoothed and the
-    lines are clustered by a threshold. The deepest container that covers most of the upper cluster's text is the
-    content region, widened to the article or main element around it; all its candidate lines are kept, short ones
-    too. Outside such an element a line of mostly links is kept only if it is in the upper cluster itself.
+    lines are clustered by a threshold; the upper cluster is content. The content region is the deepest article or
+    main element with most of its text, else the deepest container with all of it, and where that is the page itself
+    the lines from the first to the last of the cluster. Lines of the region are kept, short ones too, but a line of
+    mostly links only if it is in the upper cluster: a block of links in an article falls, a link between paragraphs
+    stays. Time and memory grow with the page, however it is nested.
     """
     if not html:
         return ""
@@ -187,38 +199,44 @@ def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.8) -> str:
         page.rawdata = ""
     page.close()
     page.flush()
-    lines = [x for x in page.lines if not x[4]]
+    lines = page.lines
     if not lines:
         return ""
     plain = np.array([len(x[0]) - min(x[2], len(x[0])) for x in lines], float)
     ratio = _smooth(np.log1p(plain / np.array([max(1, x[1]) for x in lines])), sigma)
     chosen = ratio >= _threshold(ratio)
-    total = plain[chosen].sum()
-
-    inside: dict[int, float] = {}
-    for x, size, use in zip(lines, plain, chosen, strict=True):
-        if use:
-            for c in x[3]:
-                inside[c] = inside.get(c, 0.0) + size
-    region, article = -1, -1
-    # Containers are numbered from the outside in, so the last that covers enough is the deepest.
-    for c in sorted(inside):
-        if inside[c] >= cover * total:
-            region = c
-            if page.kinds[c] in ("article", "main"):
-                article = c
-    if article >= 0:
-        region = article
+    first, last = _region(page, np.array([x[3] for x in lines]), plain, chosen, cover)
     kept = []
-    for x, size, use in zip(lines, plain, chosen, strict=True):
-        if region >= 0 and region not in x[3]:
-            continue
-        if article < 0 and not use and size < len(x[0]) / 2:
-            continue
-        kept.append(x[0])
+    for i, x in enumerate(lines):
+        inside = first <= x[3] <= last if first >= 0 else first < 0 and -first - 1 <= i <= last
+        if inside and (chosen[i] or plain[i] >= len(x[0]) / 2):
+            kept.append(x[0])
     return "\n".join(kept)
 
 
+def _region(page: _Lines, of: np.ndarray, plain: np.ndarray, chosen: np.ndarray, cover: float) -> tuple[int, int]:
+    """The containers (first, last) of the content region; for the whole page -1 - the first line, and the last line.
+
+    of: the container of each line, -1 outside all.
+    """
+    size = np.bincount(of[chosen] + 1, plain[chosen], minlength=len(page.kinds) + 1)
+    count = np.bincount(of[chosen] + 1, minlength=len(page.kinds) + 1)
+    # What is in a container: the sums over its numbers.
+    sizes, counts = np.concatenate(([0.0], np.cumsum(size))), np.concatenate(([0], np.cumsum(count)))
+    for wanted, least in (("article main", cover), ("", 1.0)):
+        for c in range(len(page.kinds) - 1, -1, -1):
+            if wanted and page.kinds[c] not in wanted.split():
+                continue
+            if not wanted and page.kinds[c] == "body":
+                break
+            some = sizes[page.last[c] + 2] - sizes[c + 1]
+            every = counts[page.last[c] + 2] - counts[c + 1] == counts[-1]
+            if (wanted and some >= least * sizes[-1]) or every:
+                return c, page.last[c]
+    at = np.flatnonzero(chosen)
+    return -1 - int(at[0]), int(at[-1])
+
+
 def extract_pages(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
