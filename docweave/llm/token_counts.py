@@ -33,8 +33,8 @@ N = 12
 HERE, BEFORE = 1, 2
 #: Characters to a chunk of the scan, and to a batch of texts.
 CHUNK, BATCH = 256, 1 << 20
-#: Bounds of what a worker remembers: merger states, and pieces with their counts.
-MOST_STATES, MOST_PIECES = 150_000, 400_000
+#: Bounds of what a worker remembers: merger states, and the counts of pieces up to so many bytes.
+MOST_STATES, MOST_PIECES, PIECE_BYTES = 150_000, 400_000, 64
 
 
 def _fresh(c: int) -> int:
@@ -132,10 +132,11 @@ class Merger:
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._own: dict[bytes, bool] = {}
+        self.pieces: dict[bytes, int] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces: dict[bytes, int] = {}
+        self.pieces.clear()
         # A state: the suffix, and for the positions from its begin to its end the last token and the tokens since.
         start = (b"", (None,), (0,))
         self.states = [start]
@@ -204,10 +205,18 @@ class Merger:
         for byte in piece:
             move = get(state << 8 | byte)
             if move is None:
+                if len(self.states) > 2 * MOST_STATES:  # within one long piece
+                    here = self.states[state]
+                    self._reset()
+                    state = self.numbers.setdefault(here, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(here)
+                    get = self.moves.get
                 move = self._move(state, byte)
             state = move >> 8
             total += (move & 255) - 128
-        self.pieces[piece] = total
+        if len(piece) <= PIECE_BYTES:
+            self.pieces[piece] = total
         return total
 
 
