@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import crc_mod
@@ -177,7 +177,7 @@ def train_toxicity(
     """Fit a model on a bounded sample of the labelled rows that satisfy learn_from (a condition on doc_id).
 
     Class shares are counted over all of them; the sample holds the first rows_per_class ids of each class in md5
-    order, and their whole texts up to sample_bytes. Labels other than 0 and 1 and rows without an id are left out;
+    order, and of these the first whose whole texts fit half of sample_bytes together. Labels other than 0 and 1 and rows without an id are left out;
     ids labelled twice count as toxic if any label says so.
     """
     known = (
@@ -193,13 +193,12 @@ def train_toxicity(
     picked = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(settings.rows_per_class) for y in (0, 1)]
     ids = picked[0].union(picked[1])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows, used = [], 0
     # At most 2 * rows_per_class ids: a proven bound for the broadcast.
-    for row in texts.join(F.broadcast(ids), "doc_id").select("text", "label").toLocalIterator():
-        used += len(row[0] or "")
-        if used > settings.sample_bytes:
-            break
-        rows.append((row[0], row[1]))
+    found = texts.join(F.broadcast(ids), "doc_id")
+    ahead = Window.partitionBy("label").orderBy(order, "doc_id", F.md5(F.coalesce("text", F.lit(""))))
+    used = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
+    sample = found.withColumn("_used", used).where(F.col("_used") <= settings.sample_bytes // 2)
+    rows = [(row[0], row[1]) for row in sample.select("text", "label").toLocalIterator()]
     return fit_noisy_or(rows, size.get(1, 0) / max(1, sum(size.values())), settings)
 
 

@@ -3,11 +3,13 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.llm import html_text, token_counts
 from docweave.llm import toxicity as tox
 from docweave.llm.automaton import SuffixAutomaton
 from docweave.llm.chat import chat_format
@@ -296,3 +298,69 @@ def test_queries_and_oracles_agree_on_names():
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
     assert set(oracles.oracle_sql()) <= names
     json.dumps(sorted(names))
+
+
+PARAGRAPH = "Plain sentences about one matter follow each other here and go on for a while, as articles do."
+
+
+def test_pages_lines_by_the_smoothed_ratio(monkeypatch):
+    """Unmarked blocks of links in an article fall, a link between paragraphs stays; without the method both stay."""
+    farm = "".join(f"<p><a href='/{i}'>More {i}</a></p>" for i in range(12))
+    prose = f"<p>{PARAGRAPH}</p>" * 5
+    html = f"<body><article><h1>Title</h1>{prose}<p><a href='/x'>See there</a></p>{prose}{farm}</article></body>"
+    want = ["Title", *[PARAGRAPH] * 5, "See there", *[PARAGRAPH] * 5]
+    assert html_text.main_text(html).split("\n") == want
+    monkeypatch.setattr(html_text, "_threshold", lambda values: -1.0)
+    assert len(html_text.main_text(html).split("\n")) == len(want) + 12
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "_smooth", lambda values, sigma: values)
+    assert "See there" not in html_text.main_text(html)
+
+
+def test_pages_without_article():
+    prose = [f"{PARAGRAPH} {i}" for i in range(8)]
+    junk = "".join(f"<div><b>x{i}</b> <i>y</i> <u>z</u></div>" for i in range(6))
+    body = "".join(f"<p>{p}</p>" for p in prose)
+    # Siblings with parts of the text: the region is the container of all of them, or the lines between them.
+    one = f"<body>{junk}<div class='x'><div><p>{prose[0]}</p></div><div>{''.join(f'<p>{p}</p>' for p in prose[1:])}</div></div>{junk}</body>"
+    assert html_text.main_text(one).split("\n") == prose
+    two = f"<body>{junk}{body}{junk}</body>"
+    found = html_text.main_text(two).split("\n")
+    assert set(prose) <= set(found) and len(found) <= len(prose) + 4
+
+
+def test_deeply_nested_pages_in_linear_time():
+    started = time.monotonic()
+    for html in ("<div>a " * 180_000, "<span>" * 20_000 + "x </b>" * 100_000, "<b><div>" + "<i>" * 20_000 + "x </b>" * 100_000):
+        assert html_text.main_text(html)
+    assert time.monotonic() - started < 40
+
+
+def test_token_counts_of_long_unbroken_texts(monkeypatch):
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abab", b"cd"]
+    merges = {(b"a", b"b"): 0, (b"ab", b"ab"): 1, (b"c", b"d"): 2}
+    monkeypatch.setattr(token_counts, "MOST_STATES", 2)
+    tokenizer = token_counts.Tokenizer(tokens, merges, [])
+    text = "ababcdabx" * 3000
+    merger = token_counts.Merger(tokens, merges)
+    assert tokenizer.counts([text, "ab", text]) == [3000 * 4, 1, 3000 * 4]
+    assert len(merger.merged(b"ababcdabx")) == 4 and text.encode() not in tokenizer._merger.pieces
+
+
+def test_chat_of_repeated_and_tied_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", None), (2, 0, "user", None), (2, 0, "user", "a")]
+    rows += [(3, i, "user", f"t{i}") for i in range(3000)] + [(4, i, "user", f"t{i}") for i in range(2500)] + [(None, 0, "user", "x"), (None, 1, None, None)]
+    turns = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, block int").repartition(5)
+    got = {r.conv_id: (r.n_turns, r.rendered) for r in chat_format(turns).collect()}
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>"
+    assert got[1] == (4, "\n".join(line("user", t) for t in ("", "a", "a", "b")))
+    assert got[3] == (3000, "\n".join(line("user", f"t{i}") for i in range(3000)))
+    assert got[None] == (2, line("user", "x") + "\n" + line("user", "")) and set(got) == {None, 1, 3}
+
+
+def test_toxicity_sample_in_md5_order(spark):
+    docs = spark.createDataFrame([(i, f"vilescum{i % 2} word{i}. plain") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, toxic int")
+    small = tox.Training(rows_per_class=100, sample_bytes=2000)
+    models = [tox.train_toxicity(docs.repartition(n), labels, settings=small) for n in (1, 7)]
+    assert models[0].weights == models[1].weights != {}
