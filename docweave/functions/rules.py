@@ -216,3 +216,11 @@ US_SPECIAL_REGISTRIES = {
     "MA": "Massachusetts Secretary of the Commonwealth",
     "NY": "New York Department of State, Division of Corporations",
 }
+
+#: Kinds of labels that company documents have; see business_text_score().
+COMPANY_LABELS = (
+    r"\b(?:COMPANY|ENTITY|BUSINESS)\s+(?:NAME|NUMBER|STATUS|TYPE)\b",
+    r"\b(?:REGISTERED\s+OFFICE|PRINCIPAL\s+PLACE\s+OF\s+BUSINESS)\b",
+    r"\b(?:DIRECTORS?|SHAREHOLDERS?|BENEFICIAL\s+OWNERS?|SHARE\s+CAPITAL)\b",
+    r"\b(?:REGISTRATION|INCORPORATION|FORMATION)\s+DATE\b",
+)

@@ -84,10 +84,11 @@ def plain_dashes(value: Column) -> Column:
     return F.translate(value, "–—", "--")
 
 
-def normalize_business_text(value: Column) -> Column:
+def normalize_business_text(value: Column, columns: bool = False) -> Column:
     """Line ends to \\n, dashes and no-break spaces plain, pipes to spaces; joined labels parted; no empty lines.
 
-    Null gives an empty text. A joined label counts if a mark of :#.-_ follows or it is all upper case.
+    Null gives an empty text. A joined label counts if a mark of :#.-_ follows or it is all upper case. With columns,
+    runs of spaces and pipes, which part the cells of tables, stay.
     """
     spelled = lambda label: "[^A-Za-z]*".join(label.replace(" ", ""))
     joined = f"^[^A-Za-z]*({'|'.join(rf'(?i:{spelled(x)})(?=[:#.\-_])|{spelled(x)}' for x in JOINED_LABELS)})"
@@ -96,7 +97,11 @@ def normalize_business_text(value: Column) -> Column:
     text = F.translate(plain_dashes(text), " ", " ")
 
     def line(raw: Column) -> Column:
-        out = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\|+", " "), r"[ \t\f\x0B]+", " "))
+        if columns:
+            out = F.regexp_replace(F.regexp_replace(raw, r"\t+", "    "), r"\s*\|+\s*", " | ")
+            out = F.trim(F.regexp_replace(out, r"[\f\x0B]+", " "))
+        else:
+            out = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\|+", " "), r"[ \t\f\x0B]+", " "))
         out = F.regexp_replace(
             out, r"(?i)^HEAD[\s_]*OFFICE[\s_]*ADDRESS(?=$|[\s:#.\-_]|\d)[ :#._-]*", "HEAD OFFICE ADDRESS "
         )

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.profiles import REGISTRY_OF_PROFILES
 from docweave.functions.textnorm import (
     collapse,
-    confidence_level,
     first_group,
     none_if_empty,
     normalize_business_text,
@@ -21,7 +18,6 @@ from docweave.functions.textnorm import (
     parse_date,
 )
 from docweave.operators.labels import labelled, lines_of
-from docweave.operators.scoring import classify, detect_jurisdiction
 
 # Labels and patterns of the core fields, in order of precedence; confidences.
 NAME_PHRASES = (
@@ -99,8 +95,8 @@ OFFICER_HEADING = (
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 #: Fields whose presence counts as coverage of a record.
 COVERAGE = (
-    "company_name", "registration_number", "entity_type", "company_status", "incorporation_date", "registration_date",
-    "registered_address", "country_code",
+    "legal_company_name", "entity_type", "incorporation_date", "registration_date", "registered_office_address", "issuing_authority",
+    "company_status", "identifiers",
 )
 
 
@@ -158,7 +154,7 @@ def _registration_number(text: Column, country: Column) -> Column:
             regex = "(?i)" + p.regex
             number = normalize_identifier(F.regexp_extract(text, regex, 2 if "(?<prefix>" in regex else 1))
             hit = F.when(country == profile.code, number)
-            matches.append(_match(hit, F.regexp_extract(text, regex, 0), "jurisdiction_identifier_pattern", p.confidence / 100))
+            matches.append(_match(hit, F.regexp_extract(text, regex, 0), "jurisdiction_identifier_pattern", p.confidence))
             kinds.append(F.when(hit.isNotNull(), F.lit(p.number_type)))
     for regex, group, confidence in GENERIC_NUMBERS:
         number = normalize_identifier(F.regexp_replace(F.regexp_extract(text, regex, group), "[:#]", ""))
@@ -175,14 +171,14 @@ def _date(text: Column, name: str, country: Column) -> Column:
     return F.coalesce(*found)
 
 
-def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document with a struct (value, excerpt, method, confidence) for each core field, null if not found.
 
     docs has country_code and document_type beside the text. Every field takes the first of its ways that yields a
-    valid value. Null texts have no fields.
+    valid value. Null texts have no fields. keep: columns to pass on.
     """
     base = docs.select(
-        F.col(id_col).alias("doc_id"), "country_code", "document_type", normalize_business_text(F.col(text_col)).alias("_text"),
+        F.col(id_col).alias("doc_id"), *keep, "country_code", "document_type", normalize_business_text(F.col(text_col)).alias("_text"),
         lines_of(F.col(text_col)).alias("_lines"),
     )
     text, lines, country, kind = F.col("_text"), F.col("_lines"), F.col("country_code"), F.col("document_type")
@@ -239,6 +235,7 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tax, nature, number = part("tax"), part("nature"), part("number")
     return staged.select(
         "doc_id",
+        *keep,
         "country_code",
         "document_type",
         _company_name(text, lines, kind, part("name")).alias("company_name"),
@@ -262,12 +259,13 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def merge_candidates(candidates: DataFrame, margin: float = 0.02) -> DataFrame:
     """(doc_id, field, value, confidence, conflict, candidate_values) from (doc_id, field, value, confidence, parser).
 
-    Parsers are folded in order: the first value stays until a later one differs and scores over margin higher.
-    Values that differ on their letters and digits are a conflict, recorded either way. Null and empty values are no
-    candidates. A field of a document has few candidates by nature, one for each parser.
+    Parsers are folded in order: the first value stays until a later one differs and scores over margin higher. A
+    value equal in letters and digits changes nothing, whatever its score. Values that differ are a conflict, recorded
+    either way. A null confidence counts .5; null and empty values are no candidates. A field of a document has few
+    candidates by nature, one for each parser.
     """
     rows = candidates.where(F.col("value").isNotNull() & (F.trim("value") != ""))
-    ordered = F.array_sort(F.collect_list(F.struct("parser", (-F.col("confidence")).alias("minus"), "value")))
+    ordered = F.array_sort(F.collect_list(F.struct("parser", (-F.coalesce("confidence", F.lit(0.5))).alias("minus"), "value")))
     key = lambda v: F.regexp_replace(F.upper(v), "[^A-Z0-9]", "")
     start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("score"), F.lit(False).alias("conflict"))
 
@@ -276,7 +274,7 @@ def merge_candidates(candidates: DataFrame, margin: float = 0.02) -> DataFrame:
         takes = acc["value"].isNull() | (differs & (-c["minus"] > acc["score"] + margin))
         return F.struct(
             F.when(takes, c["value"]).otherwise(acc["value"]).alias("value"),
-            F.when(takes, -c["minus"]).when(differs, acc["score"]).otherwise(F.greatest(acc["score"], -c["minus"])).alias("score"),
+            F.when(takes, -c["minus"]).otherwise(acc["score"]).alias("score"),
             (acc["conflict"] | F.coalesce(differs, F.lit(False))).alias("conflict"),
         )
 
@@ -298,40 +296,6 @@ def overall_confidence(classification: Column, jurisdiction: Column, name: Colum
     return F.bround(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 3)
 
 
-def validation_warnings(record: DataFrame, today: Column) -> Column:
-    """Codes of what a reviewer should see: missing, future and misordered values."""
-    value = lambda c: F.col(f"{c}.value")
-    checks = [
-        F.when(value("company_name").isNull(), "company_name_not_found"),
-        F.when(value("registration_number").isNull(), "registration_number_not_found"),
-        F.when(value("incorporation_date").try_cast("date") > today, "incorporation_date_in_future"),
-        F.when(value("document_date").try_cast("date") > today, "document_date_in_future"),
-        F.when(value("document_date") < value("incorporation_date"), "document_before_incorporation"),
-    ]
-    return F.array_compact(F.array(*checks))
-
-
-def business_records(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str = "text", hint_col: str | None = None) -> DataFrame:
-    """One record per document: type, country, core fields, confidence with its level, warnings."""
-    kinds = classify(docs, id_col, text_col).select("doc_id", "document_type", F.col("confidence").alias("type_confidence"))
-    countries = detect_jurisdiction(docs, id_col, text_col, hint_col).select(
-        "doc_id", "country_code", "registry_name", F.col("confidence").alias("country_confidence"), "conflict"
-    )
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(kinds, "doc_id").join(countries, "doc_id")
-    fields = core_fields(known).drop("country_code", "document_type")
-    record = known.drop("text").join(fields, "doc_id")
-    covered = reduce(
-        lambda a, b: a + b,
-        ((F.col(c) if c == "country_code" else F.col(f"{c}.value")).isNotNull().cast("int") for c in COVERAGE),
-    )
-    score = overall_confidence(
-        F.col("type_confidence"), F.col("country_confidence"), F.col("company_name.confidence"), F.col("registration_number.confidence"), covered
-    )
-    return record.withColumns({"overall_confidence": score, "warnings": validation_warnings(record, today)}).withColumn(
-        "confidence_level", confidence_level(F.col("overall_confidence"))
-    )
-
-
 def field_candidates(records: DataFrame, fields: tuple[str, ...], parser: int = 0) -> DataFrame:
     """Core fields as rows (doc_id, field, value, confidence, parser) for merge_candidates()."""
     parts = F.array(

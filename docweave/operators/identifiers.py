@@ -71,7 +71,7 @@ def _matches(text: Column, p: Pattern, country: str | None, order: int) -> Colum
             normalize_value(shown(x), F.lit(p.kind), F.lit(p.number_type)).alias("normalized_value"),
             F.lit(country).cast("string").alias("country_code"),
             F.lit(p.authority).cast("string").alias("issuing_authority"),
-            F.lit(p.confidence / 100).alias("confidence"),
+            F.lit(p.confidence).alias("confidence"),
             F.lit("jurisdiction_profile" if country else "generic_fallback").alias("source"),
             F.lit(p.label).alias("pattern_label"),
             x["start"].alias("start"),
@@ -137,10 +137,14 @@ def resolve_identifiers(candidates: DataFrame) -> DataFrame:
 
 
 def identifier_conflicts(identifiers: DataFrame) -> DataFrame:
-    """Designations (type, number type, country) with two or more values in a document; OTHER is left out."""
+    """Designations (type, number type, country, jurisdiction) with two or more values in a document; OTHER is left out.
+
+    jurisdiction is a column of identifiers, if they have it: the subdivision that a document was found to be of.
+    """
+    keys = ["doc_id", "identifier_type", "number_type", "country_code", *(c for c in ("jurisdiction",) if c in identifiers.columns)]
     return (
         identifiers.where("identifier_type <> 'OTHER'")
-        .groupBy("doc_id", "identifier_type", "number_type", "country_code")
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("normalized_value")).alias("candidate_values"))
         .where(F.size("candidate_values") > 1)
     )

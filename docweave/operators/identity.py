@@ -38,13 +38,15 @@ _JOINED_STREETS = ("SAMPLE", "CUSTOMER", "ROAD", "STREET", "MAINLAND", "LAGOS",
 def parse_drivers_license(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", country_col: str = "country"
 ) -> DataFrame:
-    """Fields of Nigerian and Ghanaian licences; rows of other countries have no parser and are left out.
+    """One row per licence: fields, success, message. Other countries than Nigeria and Ghana have no parser.
 
-    Each field is the first match of its label, null without one. success: a number or a name was found.
+    A null or empty country counts as NGA. Each field is the first match of its label, null without one, and all are
+    null where there is no parser: then success is false and message says so. success: a number or a name was found.
     """
-    text, country = F.coalesce(F.col(text_col), F.lit("")), F.col(country_col)
+    country = F.upper(F.coalesce(none_if_empty(F.trim(F.col(country_col))), F.lit("NGA")))
+    text = F.when(country.isin("NGA", "GHA"), F.coalesce(F.col(text_col), F.lit("")))
     nigerian = country == "NGA"
-    fields = docs.where(country.isin("NGA", "GHA")).select(
+    fields = docs.select(
         F.col(id_col).alias("doc_id"),
         country.alias("country"),
         F.when(nigerian, first_match(text, _NIGERIAN_NUMBER)).otherwise(first_match(text, _NUMBER)).alias("license_number"),
@@ -56,7 +58,13 @@ def parse_drivers_license(
         normalize_gender(first_match(text, _SEX)).alias("gender"),
         F.when(nigerian, first_match(text, _ADDRESS)).alias("address"),
     )
-    return fields.withColumn("success", F.col("license_number").isNotNull() | F.col("full_name").isNotNull())
+    missing = F.concat(F.lit("Driver's license OCR is not implemented for "), F.col("country"))
+    return fields.withColumns(
+        {
+            "success": F.col("license_number").isNotNull() | F.col("full_name").isNotNull(),
+            "message": F.when(~F.col("country").isin("NGA", "GHA"), missing),
+        }
+    )
 
 
 def parse_ghana_voter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import rules as R
-from docweave.functions.profiles import REGISTRY_OF_PROFILES, Profile, Rule
+from docweave.functions.profiles import REGISTRY_OF_PROFILES, Profile, Rule, names_of
 from docweave.functions.textnorm import collapse, confidence_level, plain_dashes
 
 _HITS = "array<struct<label:string,weight:int,anchor:boolean>>"
@@ -43,8 +45,8 @@ def _weight(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda total, h: total + h["weight"])
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: type, confidence, matched_terms, alternatives, ambiguous.
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: type, confidence, matched_terms, alternatives, ambiguous. keep: columns to pass on.
 
     A signature's score is the sum of its rules' weights, less 2 for each pattern against it. Confidence is the score
     over the signature's full score, at most .58 without an anchor and times .65 without any company wording. The
@@ -82,10 +84,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
 
     scored = (
-        docs.select(F.col(id_col).alias("doc_id"), classification_text(F.col(text_col)).alias("_text"))
+        docs.select(F.col(id_col).alias("doc_id"), *keep, classification_text(F.col(text_col)).alias("_text"))
         .withColumn("_context", F.regexp_like("_text", F.lit(R.COMPANY_CONTEXT)))
         .withColumn("_signatures", signatures)
-        .select("doc_id", "_text", F.array_sort(F.transform("_signatures", score)).alias("_scored"))
+        .select("doc_id", *keep, "_text", F.array_sort(F.transform("_signatures", score)).alias("_scored"))
     )
     best = F.col("_scored")[0]
     combined = (best["document_type"] == R.COMBINED) & F.arrays_overlap(
@@ -93,7 +95,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     others = F.slice("_scored", 2, len(R.SIGNATURES))
     others = F.when(combined, F.filter(others, lambda x: ~x["document_type"].isin(*R.COMBINED_PARTS))).otherwise(others)
-    ranked = scored.select("doc_id", "_text", best.alias("best"), others.alias("others"))
+    ranked = scored.select("doc_id", *keep, "_text", best.alias("best"), others.alias("others"))
     runner_up = F.get(F.filter("others", lambda x: x["confidence"] >= 0.40), F.lit(0))
     known = F.col("best.enough") & (F.col("best.confidence") >= 0.40)
     shown = F.when(known, F.slice("others", 1, 3)).otherwise(F.concat(F.array("best"), F.slice("others", 1, 2)))
@@ -109,6 +111,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     return ranked.select(
         "doc_id",
+        *keep,
         F.when(known, F.col("best.document_type")).otherwise(R.UNKNOWN_DOCUMENT).alias("document_type"),
         F.when(known, F.col("best.confidence")).otherwise(F.least(F.lit(0.39), F.col("best.confidence"))).alias("confidence"),
         F.col("best.matched_terms").alias("matched_terms"),
@@ -117,8 +120,28 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: code, name, confidence, matched, ambiguous.
+def classification_keywords() -> tuple[str, ...]:
+    """The labels of all rules in capitals, each once."""
+    return tuple(dict.fromkeys(r.label.upper() for s in R.SIGNATURES for r in s.rules))
+
+
+def jurisdiction_keywords() -> tuple[str, ...]:
+    return tuple(dict.fromkeys(m.label.upper() for p in REGISTRY_OF_PROFILES.list() for m in p.markers))
+
+
+def business_text_score(text: Column) -> Column:
+    """How much a page reads like a company document: 4 a keyword, 3 a kind of label, one for 20 words up to 10."""
+    upper = F.upper(F.coalesce(text, F.lit("")))
+    score = F.least(F.floor(F.regexp_count(upper, F.lit("[A-Z0-9]{2,}")) / 20), F.lit(10))
+    for word in (*classification_keywords(), *jurisdiction_keywords()):
+        score = score + F.contains(upper, F.lit(word)).cast("int") * 4
+    for pattern in R.COMPANY_LABELS:
+        score = score + F.regexp_like(upper, F.lit(pattern)).cast("int") * 3
+    return score.cast("int")
+
+
+def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: code, name, confidence, matched, ambiguous. keep: columns to pass on.
 
     The language of the highest score wins, of equals the greatest code; below 2 points there is none. A second
     language within 1 point makes it ambiguous.
@@ -143,8 +166,8 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     ranked = docs.select(
-        F.col(id_col).alias("doc_id"), collapse(F.upper(F.coalesce(F.col(text_col), F.lit("")))).alias("_text")
-    ).select("doc_id", F.sort_array(scored, asc=False).alias("_scored"))
+        F.col(id_col).alias("doc_id"), *keep, collapse(F.upper(F.coalesce(F.col(text_col), F.lit("")))).alias("_text")
+    ).select("doc_id", *keep, F.sort_array(scored, asc=False).alias("_scored"))
     best, second = F.col("_scored")[0], F.col("_scored")[1]["score"] / 10
     points = best["score"] / 10
     ambiguous = (second > 0) & (points - second < 1)
@@ -153,6 +176,7 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = points >= 2
     return ranked.select(
         "doc_id",
+        *keep,
         F.when(known, best["code"]).alias("code"),
         F.when(known, best["name"]).alias("name"),
         F.when(known, confidence).otherwise(F.least(points / 5, F.lit(0.39))).alias("confidence"),
@@ -163,31 +187,77 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _profile_score(text: Column, p: Profile) -> Column:
     hits = _hits(text, p.markers)
-    # A state's authority is evidence for its country too; only the strongest counts.
-    by_weight: dict[int, list[Rule]] = {}
-    for marker in (m for s in p.subdivisions for m in s.markers):
-        by_weight.setdefault(marker.weight, []).append(marker)
-    strongest = F.lit(0)
-    for weight, markers in sorted(by_weight.items()):
-        some = "|".join(f"(?:{m.pattern})" for m in markers)
-        strongest = F.when(F.regexp_like(text, F.lit(some)), weight).otherwise(strongest)
+    # A state's authority is evidence for its country too; only the strongest counts, the first of equals.
+    markers = sorted((m for s in p.subdivisions for m in s.markers), key=lambda m: -m.weight)
+    strongest = F.lit(None).cast("struct<label:string,weight:int>")
+    if markers:
+        hit = lambda m: F.when(F.regexp_like(text, F.lit(m.pattern)), F.struct(F.lit(m.label).alias("label"), F.lit(m.weight).alias("weight")))
+        strongest = F.when(F.regexp_like(text, F.lit(_some(markers))), F.coalesce(*map(hit, markers)))
     return F.struct(
         F.lit(p.code).alias("code"),
         F.lit(p.name).alias("name"),
         F.lit(p.registry).alias("registry"),
         F.lit(p.high).alias("high"),
         F.lit(p.least).alias("least"),
-        (_weight(hits) + strongest).alias("raw"),
-        F.transform(hits, lambda h: h["label"]).alias("terms"),
+        (_weight(hits) + F.coalesce(strongest["weight"], F.lit(0))).alias("raw"),
+        F.array_compact(F.concat(F.transform(hits, lambda h: h["label"]), F.array(strongest["label"]))).alias("terms"),
     )
 
 
+def _some(markers: Iterable[Rule]) -> str:
+    """One alternation over markers: most documents have none of them and skip the rest."""
+    return "|".join(f"(?:{m.pattern})" for m in markers)
+
+
+_SUBDIVISION = (
+    "struct<confidence:double,code:string,name:string,registry_name:string,terms:array<string>,ambiguous:boolean,"
+    "alternatives:array<string>>"
+)
+
+
+def subdivision_of(text: Column, country: Column) -> Column:
+    """The state or province of a detection text, for countries whose profile has some; null without one.
+
+    The best by (confidence, score, code) of those with enough score; others within .08 make it ambiguous, of which
+    three are listed.
+    """
+    found = F.lit(None).cast(_SUBDIVISION)
+    for profile in (p for p in REGISTRY_OF_PROFILES.list() if p.subdivisions):
+        scored = F.array(
+            *(
+                F.struct(
+                    F.round(F.least(_weight(_hits(text, s.markers)) / s.high, F.lit(1.0)), 4).alias("confidence"),
+                    F.lit(s.code).alias("code"),
+                    F.lit(s.name).alias("name"),
+                    F.lit(s.registry).alias("registry_name"),
+                    F.transform(_hits(text, s.markers), lambda h: h["label"]).alias("terms"),
+                    F.lit(s.least / s.high).alias("least"),
+                )
+                for s in profile.subdivisions
+            )
+        )
+        ranked = F.sort_array(F.filter(scored, lambda s: s["confidence"] >= s["least"]), asc=False)
+
+        def chosen(r: Column) -> Column:
+            close = F.filter(F.slice(r, F.lit(2), F.size(r)), lambda s: r[0]["confidence"] - s["confidence"] <= 0.08)
+            best = [F.get(r, F.lit(0))[c].alias(c) for c in ("confidence", "code", "name", "registry_name", "terms")]
+            codes = F.transform(F.slice(close, 1, 3), lambda s: s["code"])
+            return F.struct(*best, (F.size(close) > 0).alias("ambiguous"), codes.alias("alternatives"))
+
+        # The list is bound once: what is chosen from it refers to it many times.
+        best = F.get(F.transform(F.filter(F.array(ranked), lambda r: F.size(r) > 0), chosen), F.lit(0)).cast(_SUBDIVISION)
+        some = _some(m for s in profile.subdivisions for m in s.markers)
+        found = F.when((country == profile.code) & F.regexp_like(text, F.lit(some)), best).otherwise(found)
+    return found
+
+
 def detect_jurisdiction(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hint_col: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hint_col: str | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: country, registry, source, confidence, requested, detected, matched_terms, conflict.
+    """One row per document: country, registry, source, confidence, requested, detected, matched_terms, conflict, subdivision.
 
-    The profile of the highest (confidence, score, code) is detected if its score is enough. An agreeing hint raises
+    A subdivision of the country adds its terms, and its registry takes the country's place unless it is ambiguous.
+    keep: columns to pass on. The profile of the highest (confidence, score, code) is detected if its score is enough. An agreeing hint raises
     the confidence to .90, a conflicting one yields to the document; a hint alone counts .65, or .45 without a profile.
     """
     profiles = REGISTRY_OF_PROFILES.list()
@@ -196,7 +266,7 @@ def detect_jurisdiction(
     plain = F.trim(F.regexp_replace(F.upper(hint), "[^A-Z0-9]+", " "))
     requested = F.coalesce(F.try_element_at(known, plain), F.when(F.regexp_like(plain, F.lit("^[A-Z]{3}$")), plain))
     scored = docs.select(
-        F.col(id_col).alias("doc_id"), detection_text(F.col(text_col)).alias("_text"), requested.alias("requested")
+        F.col(id_col).alias("doc_id"), *keep, detection_text(F.col(text_col)).alias("_text"), requested.alias("requested")
     ).withColumn("_all", F.array(*(_profile_score(F.col("_text"), p) for p in profiles)))
     part = lambda s: F.round(F.least(s["raw"] / s["high"], F.lit(1.0)), 4)
     ranked = F.sort_array(
@@ -232,65 +302,51 @@ def detect_jurisdiction(
         .otherwise(0.0)
     )
     pick = lambda name: F.when(found, F.col(f"_best.{name}")).otherwise(F.col(f"_asked.{name}"))
+    best = best.withColumn("subdivision", subdivision_of(F.col("_text"), pick("code")))
+    clear = F.when(~F.col("subdivision.ambiguous"), F.col("subdivision.registry_name"))
+    none = F.expr("cast(array() as array<string>)")
+    terms = F.concat(F.when(found, F.col("_best.terms")).otherwise(none), F.coalesce(F.col("subdivision.terms"), none))
     return best.select(
         "doc_id",
+        *keep,
         F.coalesce(pick("code"), "requested").alias("country_code"),
         pick("name").alias("country_name"),
-        pick("registry").alias("registry_name"),
+        F.coalesce(clear, pick("registry")).alias("registry_name"),
         source.alias("source"),
         confidence.alias("confidence"),
         F.col("requested").alias("requested_country_code"),
         detected.alias("detected_country_code"),
-        F.when(found, F.col("_best.terms")).otherwise(F.expr("cast(array() as array<string>)")).alias("matched_terms"),
+        F.array_distinct(terms).alias("matched_terms"),
         conflict.alias("conflict"),
+        "subdivision",
     )
 
 
 def _hint_names(p: Profile) -> list[str]:
-    return sorted(n for n in REGISTRY_OF_PROFILES._names(p) if n)
+    return sorted(names_of(p))
 
 
 def detect_subdivision(docs: DataFrame, country: str = "USA", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with a subdivision of country: code, name, registry, confidence, ambiguous, alternatives.
-
-    The best by (confidence, score, code) of those with enough score; others within .08 make it ambiguous, of which
-    three are listed.
-    """
-    profile = REGISTRY_OF_PROFILES.get(country)
-    subdivisions = profile.subdivisions if profile else ()
+    """Documents with a subdivision of country: code, name, registry, confidence, ambiguous, alternatives; see subdivision_of()."""
     base = docs.select(F.col(id_col).alias("doc_id"), detection_text(F.col(text_col)).alias("_text"))
-    if not subdivisions:
-        return base.where("false").selectExpr(
-            "doc_id", "'' code", "'' name", "'' registry_name", "0D confidence", "false ambiguous", "array('') alternatives"
-        )
-    scored = F.array(
-        *(
-            F.struct(
-                F.round(F.least(_weight(_hits(F.col("_text"), s.markers)) / s.high, F.lit(1.0)), 4).alias("confidence"),
-                F.lit(s.code).alias("code"),
-                F.lit(s.name).alias("name"),
-                F.lit(s.registry).alias("registry"),
-                F.lit(s.least / s.high).alias("least"),
-            )
-            for s in subdivisions
-        )
-    )
-    # One alternation over all markers first: most documents name no state and skip the rest.
-    some = "|".join(f"(?:{m.pattern})" for s in subdivisions for m in s.markers)
-    ranked = F.sort_array(F.filter(scored, lambda s: s["confidence"] >= s["least"]), asc=False)
-    best, others = F.col("_ranked")[0], F.slice("_ranked", 2, len(subdivisions))
-    close = F.filter(others, lambda s: F.abs(F.col("_ranked")[0]["confidence"] - s["confidence"]) <= 0.08)
-    return (
-        base.where(F.regexp_like("_text", F.lit(some)))
-        .select("doc_id", ranked.alias("_ranked"))
-        .where(F.size("_ranked") > 0)
-        .select(
-            "doc_id",
-            best["code"].alias("code"),
-            best["name"].alias("name"),
-            best["registry"].alias("registry_name"),
-            best["confidence"].alias("confidence"),
-            (F.size(close) > 0).alias("ambiguous"),
-            F.transform(F.slice(close, 1, 3), lambda s: s["code"]).alias("alternatives"),
-        )
+    profile = REGISTRY_OF_PROFILES.get(country)
+    if profile is None or not profile.subdivisions:
+        base = base.where("false")
+    else:
+        base = base.where(F.regexp_like("_text", F.lit(_some(m for s in profile.subdivisions for m in s.markers))))
+    found = base.withColumn("s", subdivision_of(F.col("_text"), F.lit(profile.code if profile else country)))
+    # Kept as rows of an array: a filter on the column would be pushed down and score every document again.
+    rows = found.select("doc_id", F.explode_outer(F.array("s")).alias("s")).where("s is not null")
+    return rows.select("doc_id", *(F.col(f"s.{c}") for c in ("code", "name", "registry_name", "confidence", "ambiguous", "alternatives")))
+
+
+def jurisdiction_warnings(country: Column, source: Column, conflict: Column, ambiguous: Column) -> Column:
+    """What a reviewer should know of the country and the subdivision found."""
+    first = (
+        F.when(country.isNull(), "The country of incorporation could not be reliably determined.")
+        .when(conflict, "The supplied country hint conflicts with the country indicated by registry evidence.")
+        .when(source == "country_hint_unprofiled", "The supplied country has no registered extraction profile; generic rules will be used.")
+        .when(source == "country_hint", "The country is based only on the caller hint and was not confirmed by OCR text.")
     )
+    second = F.when(F.coalesce(ambiguous, F.lit(False)), "The state or subnational incorporation jurisdiction is ambiguous.")
+    return F.array_compact(F.array(first, second))

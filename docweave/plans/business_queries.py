@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import textnorm as N
-from docweave.operators import business, identifiers, labels, sections
+from docweave.operators import business, identifiers, labels, parties, records, sections
 from docweave.plans.views import view, with_view
 
 
@@ -67,14 +67,40 @@ def core_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def business_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = business.business_records(view(spark, sf_dir, "business_texts"), F.lit("2026-06-03").cast("date"), hint_col="hint")
-    names = ["company_name", "registration_number", "incorporation_date", "company_status", "entity_type"]
+    found = _records(spark, sf_dir)
+    names = ["legal_company_name", "incorporation_date", "document_issue_date", "company_status", "entity_type", "issuing_authority", "jurisdiction_code"]
+    joined = lambda c, part: F.array_join(F.transform(c, lambda x: x[part]), "|").alias(c)
     return found.select(
-        "doc_id", "document_type", "country_code", *(F.col(f"{n}.value").alias(n) for n in names), "overall_confidence", "confidence_level",
-        F.array_join("warnings", "|").alias("warnings"),
+        "doc_id", "document_type", "country_code", *names, joined("identifiers", "normalized_value"), joined("parties", "name"),
+        joined("conflicts", "field"), "overall_confidence", "confidence_level", F.array_join("warnings", "|").alias("warnings"),
     )
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.business_records(view(spark, sf_dir, "business_texts"), F.lit("2026-06-03").cast("date"), hint_col="hint")
+
+
+def summary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.summary_view(_records(spark, sf_dir)).withColumns(
+        {"warnings": F.array_join("warnings", "|"), "conflicts": F.array_join(F.transform("conflicts", lambda c: c["field"]), "|")}
+    )
+
+
+def party_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parties.extract_parties(view(spark, sf_dir, "registers"))
+    return found.withColumns({"position": F.col("position").cast("long"), "roles": F.array_join("roles", "|")})
+
+
+def share_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.share_capital(view(spark, sf_dir, "capital_clauses"))
+    shown = lambda c: F.concat_ws("/", c["share_count"], c["share_class"], c["nominal_value_per_share"], c["currency"], c["currency_raw"])
+    columns = ["issued_amount", "authorized_amount", "paid_up_amount", "stated_amount", "amount", "currency", "currency_raw", "share_count", "issued_share_count", "share_class"]
+    candidates = F.array_join(F.coalesce("currency_candidates", F.expr("cast(array() as array<string>)")), "|")
+    none = F.expr("cast(array() as array<string>)")
+    classes = F.array_join(F.coalesce(F.transform("share_classes", shown), none), "|")
+    return found.select("doc_id", *columns, candidates.alias("currency_candidates"), classes.alias("share_classes"))
+
+
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = business.merge_candidates(view(spark, sf_dir, "candidates"))
     return found.select("doc_id", "field", "value", F.round("confidence", 4).alias("confidence"), "conflict")
@@ -179,13 +205,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FR
   WHERE NOT EXISTS (SELECT 1 FROM known WHERE starts_with({_NORMAL.format(x='pairs.label')}, known.label)) AND NOT ({_CORE}) AND NOT suffix({_NORMAL.format(x='label')}, ' SHARES')
   AND NOT regexp_matches({_NORMAL.format(x='label')}, '{labels.NOISY_LABEL}') AND NOT regexp_matches({_NORMAL.format(x='value')}, '{labels.NOISY_VALUE}'))
 SELECT doc_id, label, value FROM r WHERE k <= 50""")
-_MERGE = with_view("candidates", """
-k AS (SELECT *, regexp_replace(upper(value), '[^A-Z0-9]', '', 'g') AS key FROM candidates),
-w AS (SELECT a.doc_id, a.field, a.value AS v1, a.confidence AS c1, b.value AS v2, b.confidence AS c2, a.key AS k1, b.key AS k2
-      FROM (SELECT * FROM k WHERE parser = 0) a LEFT JOIN (SELECT * FROM k WHERE parser = 1) b ON a.doc_id = b.doc_id AND a.field = b.field)
-SELECT doc_id, field, CASE WHEN k1 <> k2 AND c2 > c1 + 0.02::DOUBLE THEN v2 ELSE v1 END AS value,
-       round(CASE WHEN k2 IS NULL THEN c1 WHEN k1 <> k2 AND c2 > c1 + 0.02::DOUBLE THEN c2 WHEN k1 <> k2 THEN c1 ELSE greatest(c1, c2) END, 4) AS confidence,
-       coalesce(k1 <> k2, false) AS conflict FROM w""")
+_KEY = "regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
+_MERGE = with_view("candidates", f"""
+p AS (SELECT doc_id, field, max(value) FILTER (parser = 0) AS v0, max(confidence) FILTER (parser = 0) AS s0,
+             max(value) FILTER (parser = 1) AS v1, coalesce(max(confidence) FILTER (parser = 1), 0.5::DOUBLE) AS c1,
+             max(value) FILTER (parser = 2) AS v2, coalesce(max(confidence) FILTER (parser = 2), 0.5::DOUBLE) AS c2 FROM candidates GROUP BY doc_id, field),
+q AS (SELECT *, coalesce({_KEY.format(x='v0')} <> {_KEY.format(x='v1')}, false) AS d1 FROM p),
+r AS (SELECT *, CASE WHEN d1 AND c1 > s0 + 0.02::DOUBLE THEN v1 ELSE v0 END AS w, CASE WHEN d1 AND c1 > s0 + 0.02::DOUBLE THEN c1 ELSE s0 END AS s FROM q),
+t AS (SELECT *, coalesce({_KEY.format(x='w')} <> {_KEY.format(x='v2')}, false) AS d2 FROM r)
+SELECT doc_id, field, CASE WHEN d2 AND c2 > s + 0.02::DOUBLE THEN v2 ELSE w END AS value,
+       round(CASE WHEN d2 AND c2 > s + 0.02::DOUBLE THEN c2 ELSE s END, 4) AS confidence, d1 OR d2 AS conflict FROM t""")
 _OVERALL = with_view("scores", """x AS (SELECT 1)
 SELECT doc_id, round_even(least(greatest(0.25::DOUBLE * coalesce(a, 0) + 0.15::DOUBLE * coalesce(b, 0) + 0.2::DOUBLE * coalesce(c, 0) + 0.2::DOUBLE * coalesce(d, 0)
        + 0.2::DOUBLE * n / 8, 0), 1), 3) AS overall FROM scores""")
@@ -203,7 +232,30 @@ _CAPITAL = with_view("business_texts", """x AS (SELECT doc_id, nullif(regexp_ext
 SELECT doc_id, NULL AS issued_amount, regexp_replace(a, '^0+([0-9])', '\\1') AS authorized_amount, NULL AS paid_up_amount, NULL AS stated_amount,
        regexp_replace(a, '^0+([0-9])', '\\1') AS amount, CASE WHEN a IS NOT NULL THEN 'NGN' END AS currency FROM x""")
 
+_PARTIES = with_view("registers", """
+w AS (SELECT doc_id, doc_id % 4 AS k, CAST(doc_id AS STRING) AS n, translate(CAST(doc_id AS STRING), '0123456789', 'ABCDEFGHIJ') AS w FROM registers)
+SELECT doc_id, 1 AS position, 'Alex ' || w AS name, 'DIRECTOR|SHAREHOLDER' AS roles, 'ACTIVE' AS status, n AS shares, '12.5' AS share_percentage FROM w WHERE k = 0
+UNION ALL SELECT doc_id, 2, 'Morgan Sample', 'DIRECTOR', 'INACTIVE', '50', NULL FROM w WHERE k = 0
+UNION ALL SELECT doc_id, 3, 'Sample Holdings Limited', 'SHAREHOLDER', NULL, NULL, NULL FROM w WHERE k = 0
+UNION ALL SELECT doc_id, 1, 'Example Ada' || w, 'DIRECTOR', 'ACTIVE', NULL, NULL FROM w WHERE k = 1
+UNION ALL SELECT doc_id, 2, 'Example Services ' || w || ' Limited', 'SECRETARY', 'CEASED', NULL, NULL FROM w WHERE k = 1
+UNION ALL SELECT doc_id, 3, 'Holder Chi', 'SHAREHOLDER', NULL, n, '25' FROM w WHERE k = 1
+UNION ALL SELECT doc_id, 1, 'Robin ' || w || ' Sample', 'DIRECTOR|SECRETARY', NULL, NULL, NULL FROM w WHERE k = 3
+UNION ALL SELECT doc_id, 2, 'Kim Public', 'TRUSTEE', 'ACTIVE', NULL, NULL FROM w WHERE k = 3""")
+_CLASSES = with_view("capital_clauses", """
+w AS (SELECT doc_id, doc_id % 5 AS k, doc_id::VARCHAR AS n, (2 * doc_id)::VARCHAR AS n2, CASE country_code WHEN 'USA' THEN 'USD' WHEN 'CAN' THEN 'CAD' END AS own FROM capital_clauses)
+SELECT doc_id, CASE k WHEN 1 THEN n WHEN 2 THEN '600' END AS issued_amount, CASE k WHEN 0 THEN n2 WHEN 2 THEN '1000' END AS authorized_amount,
+  CASE k WHEN 2 THEN n END AS paid_up_amount, CASE k WHEN 3 THEN '1000' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS stated_amount,
+  CASE k WHEN 0 THEN n2 WHEN 1 THEN n WHEN 2 THEN '600' WHEN 3 THEN '1000' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS amount,
+  CASE k WHEN 0 THEN 'USD' WHEN 1 THEN own WHEN 3 THEN own END AS currency, CASE WHEN k = 2 THEN 'EUR' WHEN k = 1 AND own IS NULL THEN '$' END AS currency_raw,
+  CASE k WHEN 0 THEN n2 END AS share_count, CASE k WHEN 1 THEN '1' END AS issued_share_count, CASE k WHEN 0 THEN 'ORDINARY' END AS share_class,
+  CASE k WHEN 2 THEN 'EUR|USD' ELSE '' END AS currency_candidates,
+  CASE k WHEN 0 THEN n || '/ORDINARY/1/USD|' || n || '/PREFERENCE/1/USD' WHEN 1 THEN '1/' || n || '/' || coalesce(own, '$') ELSE '' END AS share_classes FROM w""")
+
 QUERIES = {
+    "parties": party_records,
+    "share_classes": share_classes,
+    "summary_view": summary_view,
     "objects_clauses": objects_clauses,
     "share_capital": share_capital,
     "normalize_values": normalize_values,
@@ -220,6 +272,8 @@ QUERIES = {
     "excerpt_pages_whole": excerpt_pages_whole,
 }
 ORACLES = {
+    "parties": _PARTIES,
+    "share_classes": _CLASSES,
     "objects_clauses": _OBJECTS,
     "share_capital": _CAPITAL,
     "normalize_values": _VALUES,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.operators import identity, mrz
+from docweave.operators import identity, mrz, nin, passport_fields
 from docweave.plans.views import view, with_view
 
 
@@ -40,6 +40,30 @@ def bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.parse_bank_statement(view(spark, sf_dir, "statements"))
 
 
+def nin_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nin.parse_nin(view(spark, sf_dir, "nin_documents")).withColumn("score", F.col("score").cast("long"))
+
+
+def passport_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passport_fields.visual_fields(view(spark, sf_dir, "data_pages"))
+
+
+_NIN = with_view("nin_documents", """
+w AS (SELECT doc_id, doc_id % 4 AS k, CAST(doc_id AS STRING) AS n, translate(CAST(doc_id AS STRING), '0123456789', 'ABCDEFGHIJ') AS w FROM nin_documents),
+f AS (SELECT doc_id, CASE k WHEN 1 THEN 'NIN_CARD' WHEN 2 THEN 'UNKNOWN' ELSE 'NIN_SLIP' END AS document_type,
+  CASE k WHEN 0 THEN CAST(10000000000 + doc_id AS STRING) WHEN 1 THEN lpad(n, 4, '1') || '5678901' WHEN 3 THEN CAST(20000000000 + doc_id AS STRING) END AS nin,
+  CASE k WHEN 0 THEN 'S7Y0' || n || 'AB12' END AS tracking_id, CASE k WHEN 0 THEN 'SAMPLE' || w WHEN 1 THEN 'TESTER' || w WHEN 3 THEN 'BEFORE' || w END AS surname,
+  CASE k WHEN 0 THEN 'HOLDER' WHEN 1 THEN 'ADA' WHEN 3 THEN 'ADA' END AS first_name, CASE k WHEN 0 THEN 'PERSON' END AS middle_name, CAST(NULL AS STRING) AS other_names,
+  CASE k WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 3 THEN 'F' END AS gender, CASE k WHEN 1 THEN '01 JAN 1990' WHEN 3 THEN CAST(doc_id % 28 + 1 AS STRING) || '-02-1991' END AS date_of_birth,
+  CASE k WHEN 1 THEN '05 MAR 2021' END AS date_issued, CASE k WHEN 0 THEN n || ' Example Street, Garden Area' END AS address,
+  CASE k WHEN 0 THEN 'HOLDER PERSON SAMPLE' || w WHEN 1 THEN 'ADA TESTER' || w WHEN 3 THEN 'ADA BEFORE' || w END AS full_name,
+  CASE k WHEN 0 THEN 20 WHEN 1 THEN 15 WHEN 2 THEN 0 ELSE 14 END::BIGINT AS score FROM w)
+SELECT *, nin IS NOT NULL AS good_enough, nin IS NOT NULL AS success, nin IS NOT NULL AS nin_format_valid FROM f""")
+_PAGES = with_view("data_pages", """
+w AS (SELECT doc_id, doc_id % 3 AS k, translate(CAST(doc_id AS STRING), '0123456789', 'ABCDEFGHIJ') AS w FROM data_pages)
+SELECT doc_id, CASE k WHEN 0 THEN 'SAMPLE' || w END AS surname, CASE k WHEN 0 THEN 'ADA TESTER' END AS given_names,
+  CASE k WHEN 0 THEN '20' || CAST(20 + doc_id % 5 AS STRING) || '-01-' || lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0') WHEN 1 THEN '2019-02-15' END AS date_of_issue FROM w""")
+
 _DIGIT = (
     "list_sum(list_transform(range(1, length({v}) + 1), lambda i: greatest(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({v}, i, 1)) - 1, 0)"
     " * CASE i % 3 WHEN 1 THEN 7 WHEN 2 THEN 3 ELSE 1 END)) % 10"
@@ -122,7 +146,10 @@ f AS (SELECT doc_id, country,
   {_GENDER_SQL} AS gender,
   CASE WHEN country = 'NGA' THEN {_first(r"\bADDRESS[:\s-]*([A-Z0-9 ,''#./-]{5,120})")} END AS address
   FROM licenses WHERE country IN ('NGA', 'GHA'))
-SELECT *, license_number IS NOT NULL OR full_name IS NOT NULL AS success FROM f""",
+SELECT *, license_number IS NOT NULL OR full_name IS NOT NULL AS success, NULL AS message FROM f
+UNION ALL
+SELECT doc_id, country, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, 'Driver''s license OCR is not implemented for ' || country
+FROM licenses WHERE country NOT IN ('NGA', 'GHA')""",
 )
 
 _VOTERS = with_view(
@@ -182,6 +209,8 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '24-03-07-012' END AS code, CASE WH
   doc_id % 4 <> 0 OR doc_id % 5 <> 0 AS success FROM w""")
 
 QUERIES = {
+    "nin_documents": nin_documents,
+    "passport_pages": passport_pages,
     "nigeria_voters": nigeria_voters,
     "mrz_records": mrz_records,
     "country_listing": country_listing,
@@ -190,6 +219,8 @@ QUERIES = {
     "bank_statements": bank_statements,
 }
 ORACLES = {
+    "nin_documents": _NIN,
+    "passport_pages": _PAGES,
     "nigeria_voters": _NIGERIA,
     "mrz_records": _MRZ,
     "country_listing": _LISTING,

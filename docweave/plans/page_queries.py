@@ -42,7 +42,7 @@ def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = policy.inspect_uploads(view(spark, sf_dir, "uploads"))
-    return found.select("doc_id", "file_type", F.col("status").cast("long").alias("status"), "warning")
+    return found.select("doc_id", "file_type", F.col("status").cast("long").alias("status"), "warning", "canonical_name")
 
 
 def webhook_ttl_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,8 @@ t AS (SELECT *, CASE substr(hex(content), 1, 4) WHEN '2550' THEN 'pdf' WHEN 'FFD
              CASE lower(regexp_extract(filename, '\.([A-Za-z0-9]{1,8})$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'png' THEN 'png' WHEN 'jpg' THEN 'jpeg' END AS e,
              regexp_extract(filename, '\.([A-Za-z0-9]{1,8})$', 1) AS x FROM uploads)
 SELECT doc_id, k AS file_type, CASE WHEN filename = '' THEN 400 WHEN octet_length(content) = 0 THEN 422 WHEN k IS NULL THEN 415
-       WHEN e <> k THEN 415 ELSE 200 END::BIGINT AS status, CASE WHEN x <> '' AND e IS NULL THEN 'unknown_extension' END AS warning FROM t""")
+       WHEN (e = 'pdf') <> (k = 'pdf') THEN 415 ELSE 200 END::BIGINT AS status, CASE WHEN x <> '' AND e IS NULL THEN 'unknown_extension' END AS warning,
+       CASE WHEN status = 200 THEN regexp_replace(filename, '\.[A-Za-z0-9]{1,8}$', '') || '.' || CASE k WHEN 'jpeg' THEN 'jpg' WHEN 'tiff' THEN 'tif' ELSE k END END AS canonical_name FROM t""")
 _DEDUPE = """
 WITH RECURSIVE o AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
 g AS (SELECT event_id, event_type, rn, t AS last, true AS accepted FROM o WHERE rn = 1

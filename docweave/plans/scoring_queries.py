@@ -34,7 +34,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_jurisdiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.detect_jurisdiction(view(spark, sf_dir, "business_texts"), hint_col="hint")
-    return found.withColumn("matched_terms", F.array_join("matched_terms", "|"))
+    return found.withColumn("matched_terms", F.array_join("matched_terms", "|")).withColumn("subdivision", F.col("subdivision.code"))
 
 
 def detect_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,9 @@ def _markers(states_only: bool) -> str:
     if states_only:
         usa = next(p for p in BUILT_IN if p.code == "USA")
         return ", ".join(
-            f"({_q(s.code)},{_q(s.name)},{_q(s.registry)},{s.high},{s.least},{_q(m.pattern)},{m.weight})"
-            for s in usa.subdivisions
-            for m in s.markers
+            f"({_q(s.code)},{_q(s.name)},{_q(s.registry)},{s.high},{s.least},{_q(m.pattern)},{m.weight},{_q(m.label)},{i * 10 + j})"
+            for i, s in enumerate(usa.subdivisions)
+            for j, m in enumerate(s.markers)
         )
     return ", ".join(
         f"({_q(p.code)},{_q(p.name)},{_q(p.registry)},{p.high},{p.least},{j},{_q(m.label)},{_q(m.pattern)},{m.weight})"
@@ -155,31 +155,42 @@ def _jurisdiction_sql() -> str:
         "business_texts",
         f"""
 rules(code, name, registry, high, least, j, label, p, w) AS (VALUES {_markers(False)}),
-states(sc, sn, sr, sh, sl, p, w) AS (VALUES {_markers(True)}),
+states(sc, sn, sr, sh, sl, p, w, label, ord) AS (VALUES {_markers(True)}),
 t AS (SELECT doc_id, {_DETECTION} AS t, CASE hint WHEN 'Nigeria' THEN 'NGA' WHEN 'US' THEN 'USA' ELSE upper(hint) END AS requested
       FROM business_texts),
-strongest AS (SELECT doc_id, max(w) AS w FROM t, states WHERE regexp_matches(t, states.p) GROUP BY doc_id),
+hits AS (SELECT doc_id, states.* FROM t, states WHERE regexp_matches(t, states.p)),
+strongest AS (SELECT doc_id, max(w) AS w, arg_max(label, w * 10000 - ord) AS label FROM hits GROUP BY doc_id),
+scored AS (SELECT doc_id, sc, sr, round(least(sum(w)::DOUBLE / sh, 1.0), 4) AS conf, list(label ORDER BY ord) AS terms FROM hits
+           GROUP BY doc_id, sc, sr, sh, sl HAVING sum(w) >= sl),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, sc DESC) AS rn, max(conf) OVER (PARTITION BY doc_id) - conf <= 0.08::DOUBLE AS near FROM scored),
+sub AS (SELECT doc_id, max(sc) FILTER (rn = 1) AS sc, max(sr) FILTER (rn = 1) AS sr, any_value(terms) FILTER (rn = 1) AS terms, count(*) FILTER (near) > 1 AS ambiguous
+        FROM placed GROUP BY doc_id),
 s AS (SELECT t.doc_id, requested, code, name, registry, high, least,
              sum(CASE WHEN regexp_matches(t, p) THEN rules.w ELSE 0 END)
                + CASE WHEN code = 'USA' THEN coalesce(any_value(strongest.w), 0) ELSE 0 END AS raw,
-             coalesce(string_agg(label, '|' ORDER BY j) FILTER (regexp_matches(t, p)), '') AS terms
+             list_concat(coalesce(list(rules.label ORDER BY j) FILTER (regexp_matches(t, p)), []),
+                         CASE WHEN code = 'USA' AND any_value(strongest.label) IS NOT NULL THEN [any_value(strongest.label)] ELSE [] END) AS terms
       FROM rules, t LEFT JOIN strongest ON t.doc_id = strongest.doc_id
       GROUP BY t.doc_id, requested, code, name, registry, high, least),
 r AS (SELECT *, round(least(raw::DOUBLE / high, 1.0), 4) AS conf,
              row_number() OVER (PARTITION BY doc_id ORDER BY round(least(raw::DOUBLE / high, 1.0), 4) DESC, raw DESC, code DESC) AS rn
       FROM s),
 b AS (SELECT r.*, raw >= least AS found, a.name AS a_name, a.registry AS a_registry FROM r
-      LEFT JOIN (SELECT DISTINCT code, name, registry FROM rules) a ON a.code = r.requested WHERE rn = 1)
+      LEFT JOIN (SELECT DISTINCT code, name, registry FROM rules) a ON a.code = r.requested WHERE rn = 1),
+e AS (SELECT b.*, sub.sc, sub.sr, sub.terms AS sub_terms, sub.ambiguous FROM b
+      LEFT JOIN sub ON sub.doc_id = b.doc_id AND CASE WHEN found THEN code ELSE requested END = 'USA')
 SELECT doc_id, CASE WHEN found THEN code ELSE requested END AS country_code, CASE WHEN found THEN name ELSE a_name END AS country_name,
-       CASE WHEN found THEN registry ELSE a_registry END AS registry_name,
+       CASE WHEN sc IS NOT NULL AND NOT ambiguous THEN sr WHEN found THEN registry ELSE a_registry END AS registry_name, sc AS subdivision,
        CASE WHEN found AND requested = code THEN 'country_hint_and_document' WHEN found AND requested <> code THEN 'document_text_conflict'
             WHEN found THEN 'document_text' WHEN a_name IS NOT NULL THEN 'country_hint'
             WHEN requested IS NOT NULL THEN 'country_hint_unprofiled' ELSE 'undetermined' END AS source,
        CASE WHEN found AND requested = code THEN greatest(0.90::DOUBLE, conf) WHEN found THEN conf WHEN a_name IS NOT NULL THEN 0.65::DOUBLE
             WHEN requested IS NOT NULL THEN 0.45::DOUBLE ELSE 0::DOUBLE END AS confidence,
        requested AS requested_country_code, CASE WHEN found THEN code END AS detected_country_code,
-       CASE WHEN found THEN terms ELSE '' END AS matched_terms, coalesce(found AND requested <> code, false) AS conflict
-FROM b""",
+       array_to_string(list_concat(CASE WHEN found THEN terms ELSE [] END,
+         list_filter(coalesce(sub_terms, []), lambda x: NOT (found AND list_contains(terms, x)))), '|') AS matched_terms,
+       coalesce(found AND requested <> code, false) AS conflict
+FROM e""",
     )
 
 
@@ -187,7 +198,7 @@ def _subdivision_sql() -> str:
     return with_view(
         "business_texts",
         f"""
-rules(code, name, registry, high, least, p, w) AS (VALUES {_markers(True)}),
+rules(code, name, registry, high, least, p, w, label, ord) AS (VALUES {_markers(True)}),
 t AS (SELECT doc_id, {_DETECTION} AS t FROM business_texts),
 s AS (SELECT doc_id, code, name, registry, round(least(sum(w)::DOUBLE / high, 1.0), 4) AS confidence
       FROM t, rules WHERE regexp_matches(t, p) GROUP BY doc_id, code, name, registry, high, least HAVING sum(w) >= least),

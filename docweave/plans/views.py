@@ -147,6 +147,93 @@ def _passports() -> str:
       FROM ({lines}) l"""
 
 
+_REGISTERS = (
+    f"""DIRECTORS
+    Alex {{{_WORD}}}    ACTIVE    {{c_custkey}} SHARES
+    Morgan Sample    INACTIVE    50 SHARES
+    Victoria Street Central
+    SHAREHOLDERS
+    Alex {{{_WORD}}}
+    Shares: 75
+    Percentage: 12.5%
+    Sample Holdings Limited
+    GENERAL DETAILS""",
+    f"""DIRECTOR'S DETAILS
+    1. ROLE TYPE DIRECTOR
+    SURNAME Example
+    FIRSTNAME Ada{{{_WORD}}}
+    OTHERNAME NIL
+    STATUS ACTIVE
+    2.F ROLE TYPE SECRETARYCOMPANY
+    COMPANY NAME Example Services {{{_WORD}}} Limited
+    STATUS CEASED
+    3. ROLE TYPE SHAREHOLDER
+    SURNAME Holder
+    FIRSTNAME Chi
+    TOTALNUMBEROFSHARES {{c_custkey}}
+    SHAREPERCENTAGE 25%""",
+    """ARTICLES OF ASSOCIATION
+    DIRECTORS
+    Directors' General Authority
+    Subject to the articles, the directors are responsible for management of the company.
+    DIRECTORS
+    Corporate Affairs Commission
+    Model articles for private companies limited by shares""",
+    f"""Secretary: Robin {{{_WORD}}} Sample
+    Director: Robin {{{_WORD}}} Sample
+    TRUSTEES
+    Kim Public | ACTIVE
+    Contact: someone@example.org""",
+)
+_NIN = (
+    f"""NATIONAL IDENTITY MANAGEMENT SYSTEM
+    Tracking ID: S7Y0{{c_custkey}}AB12
+    NIN: {{10000000000 + c_custkey}}
+    Surname: SAMPLE{{{_WORD}}}
+    First Name: HOLDER
+    Middle Name: PERSON
+    Gender: M
+    Address: {{c_custkey}} Example Street, Garden Area""",
+    f"""FEDERAL REPUBLIC OF NIGERIA
+    DIGITAL NIN
+    SURNAME/NOM
+    TESTER{{{_WORD}}}
+    GIVEN NAMES/PRENOMS
+    ADA
+    DATE OF BIRTH
+    01JAN1990
+    SEX/SEXE
+    F
+    05 MAR 2021
+    NATIONAL IDENTIFICATION NUMBER (NIN)
+    {{lpad(CAST(c_custkey AS STRING), 4, '1')}} 567 8901""",
+    """Some letter {c_custkey}
+    without a number""",
+    f"""NIN SLIP
+    BEFORE{{{_WORD}}} Surname: Given Name: ADA
+    {{20000000000 + c_custkey}} NIN: DOB: {{c_custkey % 28 + 1}}-02-1991 Sex: FEMALE""",
+)
+_DATA_PAGE = (
+    f"""PASSPORT PASSEPORT
+    SURNAME / NOM
+    SAMPLE{{{_WORD}}}
+    GIVEN NAMES / PRENOMS
+    ADA TESTER
+    DATE OF ISSUE
+    {{c_custkey % 28 + 1}} JAN/JAN {{20 + c_custkey % 5}}""",
+    """SURNAME
+    X1
+    DATE OF ISSUE DELIVRANCE 15 FEB 2019
+    16 FEB 98""",
+    """nothing {c_custkey} here""",
+)
+_CLAUSES = (
+    """Authorized share capital USD {c_custkey * 2} divided into {c_custkey} ordinary shares of USD 1 each and {c_custkey} preference shares of USD 1 each""",
+    """Issued share capital $ {c_custkey} divided into 1 share of ${c_custkey} each""",
+    """Authorized capital USD 1000. Issued share capital EUR 600. Paid-up share capital USD {c_custkey}.""",
+    """Total Share Capital 1,000,{lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')}""",
+    """no capital {c_custkey}""",
+)
 _LICENSE = """DRIVER'S LICENCE
     {CASE WHEN c_custkey % 5 = 0 THEN 'REF' ELSE 'LICENSE NO' END}: ABC-{100000 + c_custkey}
     FULL NAME: SAMPLE, {translate(CAST(c_custkey AS STRING), '0123456789', 'ABCDEFGHIJ')} HOLDER
@@ -200,6 +287,14 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("customer",),
     ),
     "passports": (_passports(), ("customer",)),
+    "registers": (f"SELECT c_custkey AS doc_id, {_cases('c_custkey', _REGISTERS)} AS text FROM customer", ("customer",)),
+    "nin_documents": (f"SELECT c_custkey AS doc_id, {_cases('c_custkey', _NIN)} AS text FROM customer", ("customer",)),
+    "data_pages": (f"SELECT c_custkey AS doc_id, {_cases('c_custkey', _DATA_PAGE)} AS text FROM customer", ("customer",)),
+    "capital_clauses": (
+        f"SELECT c_custkey AS doc_id, {_cases('c_custkey', _CLAUSES)} AS text, CASE c_custkey % 3 WHEN 0 THEN 'USA' WHEN 1 THEN 'CAN' END AS country_code"
+        " FROM customer",
+        ("customer",),
+    ),
     "licenses": (
         f"SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'NGA' WHEN 1 THEN 'GHA' ELSE 'KEN' END AS country,"
         f" {_text(_LICENSE)} AS text FROM customer",
@@ -256,8 +351,10 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "candidates": (
         """SELECT l_orderkey AS doc_id, concat('f', CAST(l_linenumber AS STRING)) AS field, CASE WHEN p = 1 AND k % 3 = 0 THEN concat('Other ', CAST(k AS STRING)) WHEN p = 1 THEN concat('va.', CAST(k AS STRING))
-        ELSE concat('VA ', CAST(k AS STRING)) END AS value, CASE WHEN p = 0 THEN 0.8 ELSE 0.6 + (k % 40) / 100.0 END * CAST(1 AS DOUBLE) AS confidence, p AS parser
-        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber) q CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 AS p) r WHERE p = 0 OR k % 5 <> 0""",
+        WHEN p = 2 AND k % 4 = 0 THEN concat('THIRD-', CAST(k AS STRING)) ELSE concat('VA ', CAST(k AS STRING)) END AS value,
+        CASE WHEN p = 0 THEN 0.8 WHEN p = 1 THEN 0.6 + (k % 40) / 100.0 WHEN k % 7 = 0 THEN NULL ELSE 0.7 + (k % 30) / 100.0 END * CAST(1 AS DOUBLE) AS confidence, p AS parser
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber) q
+        CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 AS p UNION ALL SELECT 2 AS p) r WHERE p = 0 OR (p = 1 AND k % 5 <> 0) OR (p = 2 AND k % 2 = 0)""",
         ("lineitem",),
     ),
     "scores": (

@@ -18,6 +18,7 @@ SIGNATURES = (
     ("pdf", "255044462D"), ("jpeg", "FFD8FF"), ("png", "89504E470D0A1A0A"), ("tiff", "49492A00"), ("tiff", "4D4D002A"),
     ("bmp", "424D"),
 )
+EXTENSION_OF = {"pdf": "pdf", "jpeg": "jpg", "png": "png", "tiff": "tif", "bmp": "bmp", "webp": "webp"}
 EXTENSIONS = {"pdf": "pdf", "jpg": "jpeg", "jpeg": "jpeg", "png": "png", "tif": "tiff", "tiff": "tiff", "bmp": "bmp", "webp": "webp"}
 
 
@@ -30,27 +31,44 @@ class SourcePolicy:
     allowed_ports: tuple[int, ...] = (443,)
     allowed_hosts: tuple[str, ...] = ()
     max_url_length: int = 2048
+    url_enabled: bool = True
+    connect_timeout: float = 3.0
+    read_timeout: float = 8.0
+    total_timeout: float = 20.0
+    max_redirects: int = 3
 
     @staticmethod
     def from_env() -> SourcePolicy:
+        http = boolean("DOCUMENT_URL_ALLOW_HTTP", False)
         return SourcePolicy(
-            bounded_int("DOCUMENT_MAX_UPLOAD_BYTES", 20 << 20, 1 << 10, 100 << 20),
-            os.environ.get("DOCUMENT_URL_ALLOW_HTTP", "").strip().lower() in ("1", "true", "yes", "on"),
-            port_list("DOCUMENT_URL_ALLOWED_PORTS", (443,)),
-            host_list("DOCUMENT_URL_ALLOWED_HOSTS"),
-            bounded_int("DOCUMENT_URL_MAX_LENGTH", 2048, 64, 8192),
+            max_upload_bytes=bounded("DOCUMENT_MAX_UPLOAD_BYTES", 20 << 20, 1 << 10, 100 << 20),
+            allow_http=http,
+            allowed_ports=port_list("DOCUMENT_URL_ALLOWED_PORTS", (80, 443) if http else (443,)),
+            allowed_hosts=host_list("DOCUMENT_URL_ALLOWED_HOSTS"),
+            max_url_length=bounded("DOCUMENT_URL_MAX_LENGTH", 2048, 256, 8192),
+            url_enabled=boolean("DOCUMENT_URL_ENABLED", True),
+            connect_timeout=bounded("DOCUMENT_URL_CONNECT_TIMEOUT_SECONDS", 3.0, 0.5, 30.0),
+            read_timeout=bounded("DOCUMENT_URL_READ_TIMEOUT_SECONDS", 8.0, 0.5, 60.0),
+            total_timeout=bounded("DOCUMENT_URL_TOTAL_TIMEOUT_SECONDS", 20.0, 1.0, 120.0),
+            max_redirects=bounded("DOCUMENT_URL_MAX_REDIRECTS", 3, 0, 10),
         )
 
 
-def bounded_int(name: str, default: int, least: int, most: int) -> int:
-    """An environment setting, the default if it is no number, clamped."""
+def bounded[N: (int, float)](name: str, default: N, least: N, most: N) -> N:
+    """An environment setting of the default's type, the default if it is no number, clamped."""
     try:
-        value = int(os.environ.get(name, default))
+        value = type(default)(os.environ.get(name, default))
     except ValueError:
         value = default
     return min(max(value, least), most)
 
 
+def boolean(name: str, default: bool) -> bool:
+    """An environment switch: 1, true, yes and on are true, any other text is false."""
+    raw = os.environ.get(name)
+    return default if raw is None else raw.strip().lower() in ("1", "true", "yes", "on")
+
+
 def port_list(name: str, default: tuple[int, ...]) -> tuple[int, ...]:
     """Distinct ports in order; any bad one gives the whole default."""
     parts = [p.strip() for p in os.environ.get(name, "").split(",") if p.strip()]
@@ -60,7 +78,7 @@ def port_list(name: str, default: tuple[int, ...]) -> tuple[int, ...]:
 
 
 def host_list(name: str) -> tuple[str, ...]:
-    hosts = (h.strip().lower() for h in os.environ.get(name, "").split(","))
+    hosts = (h.strip().lower().rstrip(".") for h in os.environ.get(name, "").split(","))
     return tuple(dict.fromkeys(h for h in hosts if re.fullmatch(r"(\*\.)?[a-z0-9.-]+", h)))
 
 
@@ -73,11 +91,26 @@ def file_type(content: Column) -> Column:
     return out.when(riff, "webp")
 
 
-def inspect_uploads(files: DataFrame, policy: SourcePolicy = SourcePolicy(), allow_pdf: bool = True) -> DataFrame:
-    """Add file_type, status (HTTP: 200, 400, 413, 415, 422) and warning to (filename, content).
+def canonical_filename(name: Column, kind: Column) -> Column:
+    """A plain file name with the type's extension, at most 100 characters before it; document without a usable one.
+
+    Characters other than letters, digits, dots, hyphens and underscores go, blanks and slashes become underscores.
+    """
+    plain = F.regexp_replace(F.trim(F.regexp_replace(name, r"[/\\\s]+", " ")), " ", "_")
+    plain = F.btrim(F.regexp_replace(plain, "[^A-Za-z0-9_.-]", ""), F.lit("._"))
+    stem = F.btrim(F.regexp_replace(plain, r"\.[A-Za-z0-9]{1,8}$", ""), F.lit("._-"))
+    extensions = F.create_map(*(F.lit(x) for pair in EXTENSION_OF.items() for x in pair))
+    return F.concat(F.substring(F.coalesce(F.nullif(stem, F.lit("")), F.lit("document")), 1, 100), F.lit("."), F.try_element_at(extensions, kind))
+
+
+def inspect_uploads(
+    files: DataFrame, policy: SourcePolicy = SourcePolicy(), allow_pdf: bool = True, match_extension: bool = True
+) -> DataFrame:
+    """Add file_type, status (HTTP: 200, 400, 413, 415, 422), warning and canonical_name to (filename, content).
 
-    A name is required; an empty file, one over the limit, an unknown signature, a PDF where only images go, and a
-    known extension that contradicts the content are refused in this order. An unknown extension is a warning.
+    A name is required; an empty file, one over the limit, an unknown signature and a PDF where only images go are
+    refused in this order. With match_extension so is a PDF named as an image and an image named as a PDF; images
+    under another image's name pass, and canonical_name says what they are. An unknown extension is a warning.
     """
     kind = file_type(F.col("content"))
     ext = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]{1,8})$", 1))
@@ -89,11 +122,12 @@ def inspect_uploads(files: DataFrame, policy: SourcePolicy = SourcePolicy(), all
         .when(size > policy.max_upload_bytes, 413)
         .when(kind.isNull(), 415)
         .when((kind == "pdf") & F.lit(not allow_pdf), 415)
-        .when(F.try_element_at(known, ext) != kind, 415)
+        .when(F.lit(match_extension) & F.coalesce((F.try_element_at(known, ext) == "pdf") != (kind == "pdf"), F.lit(False)), 415)
         .otherwise(200)
     )
     odd = (ext != "") & F.try_element_at(known, ext).isNull()
-    return files.withColumns({"file_type": kind, "status": status, "warning": F.when(odd, "unknown_extension")})
+    name = F.when(status == 200, canonical_filename(F.col("filename"), kind))
+    return files.withColumns({"file_type": kind, "status": status, "warning": F.when(odd, "unknown_extension"), "canonical_name": name})
 
 
 def check_urls(urls: DataFrame, policy: SourcePolicy = SourcePolicy(), url_col: str = "url") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,7 +15,10 @@ from pyspark.sql.types import StringType
 
 TTL_SECONDS = 60
 # Headers that never reach a log.
-REDACTED = ("authorization", "cookie", "x-api-key", "x-signature", "x-webhook-secret", "set-cookie")
+REDACTED = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "x-signature", "x-webhook-secret")
+SOURCE = "webhook-forwarder"
+PASSED_ON = ("Content-Type", "X-Request-Id", "X-Correlation-Id")
+EXPIRY_SECONDS = 60
 
 
 def body_key(body: Column) -> Column:
@@ -28,7 +32,9 @@ def mark_duplicates(events: DataFrame, ttl: int = TTL_SECONDS, id_col: str = "ev
     is a duplicate. Events run by (time, id). Null bodies are one body. An event without a time is never accepted.
 
     Within a body only gaps matter: an event over ttl after the one before is accepted whatever came earlier. So the
-    events of a body are cut there into runs, each run is folded on its own, and a hot body is many small groups.
+    events of a body are cut there into runs, which are spread over the tasks by (body, run) and walked in order with
+    one time in memory. A run, a body repeated within the ttl without end, is one task's stream: whether an event is
+    accepted depends on all before it. No run is gathered in memory.
     """
     key = F.coalesce(body_key(F.col(body_col)), F.lit("none"))
     at = F.unix_micros(F.col(time_col).cast("timestamp"))
@@ -37,17 +43,22 @@ def mark_duplicates(events: DataFrame, ttl: int = TTL_SECONDS, id_col: str = "ev
     timed = keyed.where("_at is not null")
     gap = F.col("_at") - F.lag("_at").over(ordered)
     runs = timed.withColumn("_run", F.sum(F.coalesce((gap > ttl * 1_000_000).cast("long"), F.lit(1))).over(ordered))
-    times = runs.groupBy("_key", "_run").agg(F.array_sort(F.collect_list(F.struct("_at", id_col))).alias("_all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<boolean>)").alias("flags"))
 
-    def step(acc: Column, e: Column) -> Column:
-        fresh = acc["last"].isNull() | (e["_at"] - acc["last"] > ttl * 1_000_000)
-        return F.struct(F.when(fresh, e["_at"]).otherwise(acc["last"]).alias("last"), F.concat(acc["flags"], F.array(fresh)).alias("flags"))
-
-    flags = F.aggregate("_all", start, step, lambda acc: acc["flags"])
-    decided = times.select(F.posexplode(F.arrays_zip(F.col("_all").alias("e"), flags.alias("f"))).alias("_n", "_x")).select(
-        F.col(f"_x.e.{id_col}").alias(id_col), F.col("_x.f").alias("accepted")
-    )
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, last = None, 0
+        for batch in batches:
+            flags = []
+            for key, run, at in zip(*(batch.column(c).to_pylist() for c in ("_key", "_run", "_at")), strict=True):
+                if (key, run) != open_ or at - last > ttl * 1_000_000:
+                    open_, last = (key, run), at
+                    flags.append(True)
+                else:
+                    flags.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(flags, pa.bool_())], [id_col, "accepted"])
+
+    sorted_ = runs.select(id_col, "_key", "_run", "_at").repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_at", id_col)
+    id_type = events.schema[id_col].dataType.simpleString()
+    decided = sorted_.mapInArrow(walk, f"{id_col} {id_type}, accepted boolean")
     # Ids are unique to events; a repeated id takes one of its answers.
     decided = decided.groupBy(id_col).agg(F.max("accepted").alias("accepted"))
     return events.join(decided, id_col, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
@@ -80,11 +91,15 @@ def accepted_stream(events: DataFrame, ttl: int = TTL_SECONDS, watermark: str =
 
 @F.pandas_udf(StringType())
 def _hmac(secret: pd.Series, message: pd.Series) -> pd.Series:
-    return pd.Series([hmac.new(s.encode(), m, hashlib.sha256).hexdigest() for s, m in zip(secret, message, strict=True)])
+    pairs = zip(secret, message, strict=True)
+    return pd.Series([None if s is None or m is None else hmac.new(s.encode(), m, hashlib.sha256).hexdigest() for s, m in pairs], dtype=object)
 
 
 def sign(secret: Column, timestamp: Column, body: Column) -> Column:
-    """HMAC-SHA256, hex, of the timestamp, a dot and the body. Spark has no such function, hence Arrow batches."""
+    """HMAC-SHA256, hex, of the timestamp, a dot and the body; null if one of them or the secret is null.
+
+    Spark has no such function, hence Arrow batches.
+    """
     return _hmac(secret, F.concat(F.concat(timestamp.cast("string"), F.lit(".")).cast("binary"), body.cast("binary")))
 
 
@@ -93,5 +108,66 @@ def safe_headers(headers: Column) -> Column:
     return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*REDACTED), "[redacted]").otherwise(v))
 
 
+def forward_headers(headers: Column, timestamp: Column, signature: Column) -> Column:
+    """The headers sent to a target: time, signature, source, and those of PASSED_ON that the event has."""
+    lower = F.transform_keys(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    own = F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in ("X-Timestamp", timestamp.cast("string"), "X-Signature", signature, "X-Source", SOURCE)))
+    passed = F.create_map(*(x for h in PASSED_ON for x in (F.lit(h), F.try_element_at(lower, F.lit(h.lower())))))
+    return F.map_concat(own, F.map_filter(passed, lambda k, v: F.coalesce(v, F.lit("")) != ""))
+
+
+def verify_requests(requests: DataFrame, secret: Column, now: Column, expiry: int = EXPIRY_SECONDS) -> DataFrame:
+    """Add status (200 or 401) and reason to (timestamp, signature, path), all texts; now is in seconds.
+
+    The signature is that of the timestamp, a dot and the path, at most expiry seconds old or ahead.
+    """
+    at = F.col("timestamp").try_cast("long")
+    missing = (F.coalesce("timestamp", F.lit("")) == "") | (F.coalesce("signature", F.lit("")) == "")
+    reason = (
+        F.when(missing, "missing_headers")
+        .when(at.isNull(), "invalid_timestamp")
+        .when(F.abs(now - at) > expiry, "expired")
+        .when(~F.coalesce(sign(secret, F.col("timestamp"), F.col("path")) == F.col("signature"), F.lit(False)), "invalid_signature")
+    )
+    return requests.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), 200).otherwise(401))
+
+
+def broadcast(events: DataFrame, targets: dict[str, str | None], post: Callable[[str, bytes, dict], tuple[int, str]]) -> DataFrame:
+    """(event_id, target, url, ok, status_code, error, response_preview): every event (event_id, body, headers) to every target.
+
+    post(url, body, headers) sends the body as it came and returns the status and the answer's text. A target without
+    a URL is reported and not asked; a failing post is an error of its row. As a sink of a stream, call it on each
+    micro-batch: stream.writeStream.foreachBatch(lambda batch, _: broadcast(batch, ...).write...).
+    """
+    names = F.array(*(F.struct(F.lit(n).alias("target"), F.lit(u).cast("string").alias("url")) for n, u in targets.items()))
+    rows = events.select("event_id", "body", "headers", F.explode(names).alias("t")).select("event_id", "body", "headers", "t.*")
+
+    def send(url: str | None, body: bytes | None, headers: list | None) -> tuple:
+        if not url:
+            return "", False, None, "Missing target URL", None
+        try:
+            status, answer = post(url, bytes(body or b""), dict(headers or []))
+        except Exception as error:
+            return url, False, None, str(error), None
+        ok = 200 <= status < 400
+        return url, ok, status, None if ok else (answer[:500] or "Non-2xx"), answer[:1000] or None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("url", "body", "headers")]
+            sent = list(zip(*map(send, *columns), strict=True)) or [()] * 5
+            arrays = [pa.array(c, t) for c, t in zip(sent, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("event_id"), batch.column("target"), *arrays],
+                ["event_id", "target", "url", "ok", "status_code", "error", "response_preview"],
+            )
+
+    id_type = rows.schema["event_id"].dataType.simpleString()
+    return rows.withColumn("body", F.col("body").cast("binary")).mapInArrow(
+        run, f"event_id {id_type}, target string, url string, ok boolean, status_code int, error string, response_preview string"
+    )
+
+
 def body_preview(body: Column, limit: int = 8192) -> Column:
     return F.make_valid_utf8(F.substring(body.cast("binary"), 1, limit).cast("string"))

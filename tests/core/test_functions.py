@@ -69,7 +69,7 @@ def test_jurisdiction_hints(spark):
 
 
 def test_registry_of_profiles():
-    registry = profiles.ProfileRegistry()
+    registry = profiles.Profiles(profiles.checked(profiles.BUILT_IN))
     assert registry.resolve("u.s.") == "USA" and registry.resolve("Atlantis") is None and registry.get("zz") is None
     fresh = profiles.Profile("FRA", "France", "Infogreffe", ("FR",), (Rule("x", r"\bINFOGREFFE\b", 60),))
     registry.register(fresh)
@@ -79,6 +79,9 @@ def test_registry_of_profiles():
     with pytest.raises(ValueError):
         registry.register(profiles.Profile("FRX", "Elsewhere", "R", ("FR",), ()))
     assert registry.unregister("fra") is fresh and len(registry.list()) == 8
+    assert registry.get("nowhere", fallback=True).code == "XXX" and len(profiles.describe(registry.get("US"))["subdivisions"]) == 51
+    with pytest.raises(ValueError):
+        registry.register(profiles.Profile("XXX", "Other", "R", (), ()))
 
 
 def test_labels_and_fields(spark):
@@ -104,9 +107,10 @@ def test_identifiers_have_offsets(spark):
 
 
 def test_candidates_merge(spark):
-    rows = [(1, "name", "ALPHA LTD", 0.94, 0), (1, "name", "Beta", 0.98, 1), (2, "name", "ALPHA", 0.94, 0), (2, "name", "Beta", 0.95, 1), (3, "name", "A-1", 0.5, 0), (3, "name", "a1", 0.9, 1), (3, "x", None, 0.9, 1)]
+    rows = [(1, "name", "ALPHA LTD", 0.94, 0), (1, "name", "Beta", 0.98, 1), (2, "name", "ALPHA", 0.94, 0), (2, "name", "Beta", 0.95, 1), (3, "name", "A-1", 0.5, 0), (3, "name", "a1", 0.9, 1), (3, "x", None, 0.9, 1), (4, "name", "ACME LTD", 0.8, 0), (4, "name", "Acme Ltd.", 0.9, 1), (4, "name", "OTHER", 0.85, 2)]
+    rows += [(5, "name", "A", None, 0), (5, "name", "B", 0.53, 1)]
     got = {r.doc_id: r for r in business.merge_candidates(spark.createDataFrame(rows, "doc_id long, field string, value string, confidence double, parser int")).collect()}
-    assert [(got[i].value, got[i].confidence, got[i].conflict) for i in (1, 2, 3)] == [("Beta", 0.98, True), ("ALPHA", 0.94, True), ("A-1", 0.9, False)]
+    assert [(got[i].value, got[i].confidence, got[i].conflict) for i in (1, 2, 3, 4, 5)] == [("Beta", 0.98, True), ("ALPHA", 0.94, True), ("A-1", 0.5, False), ("OTHER", 0.85, True), ("B", 0.53, True)]
 
 
 def test_boxes_and_pages(spark):
