@@ -34,6 +34,11 @@ LOCAL = 4096
 ROUNDS, CROWDED = 3, 4
 #: By how much less similarity a pair may seem to have in its fingerprints.
 SLACK = 0.06
+#: A missed pair of sets of LONG shingles or more is compared exactly only if its fingerprints differ by no more than
+#: SIGMAS standard errors above what similar sets do on average: one of 10^9 pairs at the limit does.
+LONG, SIGMAS = 64, 6
+#: A round of missed_pairs() that leaves more than this part of the buckets' pairs is the last before all are made.
+WORTH = 0.9
 #: Texts looked at for common shingles: so many or so great a part of all; and how many of these shingles are noted.
 SAMPLE, PART, COMMON = 8000, 50, 1 << 14
 _CHUNK = 1 << 14
@@ -49,6 +54,12 @@ def bits_for(similarity: float) -> int:
     return math.floor(64 * WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def farthest(similarity: float) -> int:
+    """How far the fingerprints of long sets that are similar enough may be apart: see SIGMAS."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * WORDS * part + SIGMAS * math.sqrt(64 * WORDS * part * (1 - part)))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS))
 
@@ -319,6 +330,14 @@ def missed_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, budget: int, least_size: int = 0) -> DataFrame:
+    """The pairs (a, b) with fingerprints within the budget, or with a set of fewer than least_size shingles."""
+    a, b = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("size").alias(f"size_{n}")) for n in "ab")
+    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    small = F.least("size_a", "size_b") < least_size
+    return pairs.join(a, "a").join(b, "b").where(small | (distance <= budget)).select("a", "b")
+
+
 def _alike(docs: DataFrame, near: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of near whose shingles are similar enough, by exact comparison."""
     # Only the texts of these pairs are shingled; a bitmap keeps the others out of the shuffle.
@@ -352,8 +371,9 @@ def similar_documents(
 
     1. Fingerprints find most links, those of large groups in proportion to their size. The Hamming budget is that of
        a similarity SLACK lower, and the exact comparison follows.
-    2. missed_pairs() finds all other pairs that could still join two components; they are compared exactly too. While
-       their number would be out of proportion, rounds of hub_pairs() connect more components first.
+    2. missed_pairs() finds all other pairs that could still join two components. Those of long sets whose fingerprints
+       are far apart (see SIGMAS) go, so that few texts are moved; the others are compared exactly too. While the
+       number of pairs would be out of proportion, rounds of hub_pairs() connect more components first.
     """
     with bounded_batches(docs.sparkSession):
         return _similar(docs, similarity, shingle, id_col, text_col, segment)
@@ -365,33 +385,38 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
     fps = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity, common), "wide")
     with_id = fps.where("doc_id is not null")
     # Equal fingerprints are one node, named by its smallest id.
-    nodes = materialize(with_id.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    facts = F.min("doc_id").alias("node"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")
+    nodes = materialize(with_id.groupBy("fp").agg(*facts), "nodes")
     several = materialize(nodes.where("n > 1").select("fp", F.col("node").alias("root")), "several")
     # Documents whose fingerprint is that of a smaller id: prefixes are compared once for each fingerprint.
     same = with_id.select("doc_id", "fp").join(F.broadcast(several) if several.count() < 10_000 else several, "fp")
     same = materialize(same.where("doc_id <> root").select("doc_id", "root").distinct(), "same")
     pairs = candidates(nodes, budget, segment or segment_bits(nodes.count()))
-    a, b = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
-    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    near = materialize(pairs.join(a, "a").join(b, "b").where(distance <= budget).select("a", "b"), "near")
-    discard(nodes, several)
+    near = materialize(_close(pairs, nodes, budget), "near")
+    discard(pairs, several)
     links = _alike(docs, near, similarity, shingle, id_col, text_col)
     roots = connected_components(links)
+    discard(near, links)
     prefixes = with_id.select("doc_id", "size", "prefix")
     if same.count():
         prefixes = without_ids(prefixes, "doc_id", same, same.count())
     shared = shared_prefixes(prefixes.withColumnRenamed("doc_id", "node"))
     discard(fps)
+    crowd_before = math.inf
     for turn in range(ROUNDS + 1):
         mixed = mixed_buckets(shared, roots, similarity)
         rows, crowd = mixed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        last = crowd <= CROWDED * rows or turn == ROUNDS
-        missed = materialize(missed_pairs(mixed, similarity) if last else hub_pairs(mixed, similarity), "missed")
+        last = crowd <= CROWDED * rows or crowd > WORTH * crowd_before or turn == ROUNDS
+        pairs = missed_pairs(mixed, similarity) if last else hub_pairs(mixed, similarity)
+        missed = materialize(_close(pairs, nodes, farthest(similarity), LONG), "missed")
         discard(mixed)
         more = _alike(docs, missed, similarity, shingle, id_col, text_col)
-        roots = connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        joined = connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(missed, more, roots)
+        roots, crowd_before = joined, crowd
         if last:
             break
+    discard(shared, nodes)
     # Every document of a fingerprint follows the one that names it.
     of_same = same.join(roots, same["root"] == roots["node"], "left").select("doc_id", F.coalesce(roots["root"], same["root"]).alias("component_id"))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")).union(of_same)

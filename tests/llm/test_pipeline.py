@@ -64,6 +64,17 @@ def test_distance_estimates_similarity():
         assert abs(distance - W.bits_for(jaccard(shingles(a), shingles(b)))) < 40
 
 
+def test_similar_long_sets_are_within_the_farthest_distance():
+    rng = np.random.default_rng(7)
+    for size in (W.LONG, 99, 400):
+        both = W.least_shared(2 * size, 0.8 / 1.8)
+        for _ in range(60):
+            x = rng.integers(0, 1 << 62, 2 * size - both, dtype=np.uint64) * np.uint64(4)
+            a, b = (W.fingerprint_of(np.unique(part)) for part in (x[:size], x[size - both :]))
+            assert int(np.bitwise_count(a ^ b).sum()) <= W.farthest(0.8) - 10
+    assert W.bits_for(0.8) < W.farthest(0.8) < W.bits_for(0.55)
+
+
 @pytest.mark.parametrize("bucket", [16, 1])
 def test_similar_documents_match_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(W, "BUCKET", bucket)
