@@ -136,7 +136,6 @@ class Merger:
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces.clear()
         # A state: the suffix, and for the positions from its begin to its end the last token and the tokens since.
         start = (b"", (None,), (0,))
         self.states = [start]
@@ -199,8 +198,11 @@ class Merger:
 
     def count(self, piece: bytes) -> int:
         """Tokens of a piece: the sum of what the transitions emit."""
-        if len(self.states) > MOST_STATES or len(self.pieces) > MOST_PIECES:
+        # Counts of pieces do not depend on the states, so each is forgotten for itself.
+        if len(self.states) > MOST_STATES:
             self._reset()
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
         get, state, total = self.moves.get, 0, 0
         for byte in piece:
             move = get(state << 8 | byte)
