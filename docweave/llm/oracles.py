@@ -120,6 +120,60 @@ FROM d LEFT JOIN x ON d.row_no = x.row_no
 """
 
 
+#: The 256 entries of the CRC-32 table, by the rule of the polynomial.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes, with the table t of _CRC_TABLE in scope."""
+    return f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}, '-')"
+
+
+def _op11() -> str:
+    leaf = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    altered = " || ".join([*(_field(c) for c in ("doc_id", "source", "lang", "n_chars")), "coalesce(strlen(low) || ':' || low, '-')"])
+    crc = _crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")
+    run = "string_agg(h, '') OVER (PARTITION BY stage, lvl, tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+             coalesce('=' || lang, '-') AS tree FROM documents),
+l AS (SELECT doc_id, tree, sha256({leaf}) AS leaf,
+             sha256(CASE WHEN {crc} % 3 = 0 THEN {altered} ELSE {leaf} END) AS altered FROM d, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY tree) AS n FROM l),
+a AS (SELECT 0 AS lvl, tree, pos, leaf AS h, n FROM p
+      UNION ALL
+      SELECT lvl + 1, tree, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8
+      FROM a WHERE n > 1 GROUP BY lvl, tree, pos // 8),
+subs AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM subs
+      UNION ALL
+      SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM b WHERE n > 1 GROUP BY lvl, pos // 8),
+nodes AS (SELECT 0 AS stage, lvl, tree, pos, h FROM a WHERE n > 1 UNION ALL SELECT 1, lvl, '', pos, h FROM b WHERE n > 1),
+steps AS (SELECT stage, lvl, tree, pos,
+                 {{'b': coalesce({run} UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+                   'a': coalesce({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')}} AS step FROM nodes),
+inner_path AS (SELECT p.tree, p.pos, list(step ORDER BY s.lvl) AS path
+               FROM p JOIN steps s ON s.stage = 0 AND s.tree = p.tree AND s.pos = p.pos // (8 ** s.lvl)::BIGINT GROUP BY ALL),
+outer_path AS (SELECT u.tree, list(step ORDER BY s.lvl) AS path
+               FROM subs u JOIN steps s ON s.stage = 1 AND s.pos = u.pos // (8 ** s.lvl)::BIGINT GROUP BY ALL),
+f AS (SELECT p.*, subs.subroot, (SELECT h FROM b WHERE n = 1) AS root,
+             list_concat(coalesce(i.path, []), coalesce(o.path, [])) AS path
+      FROM p JOIN subs ON subs.tree = p.tree
+      LEFT JOIN inner_path i ON i.tree = p.tree AND i.pos = p.pos LEFT JOIN outer_path o ON o.tree = p.tree),
+g AS (SELECT *, list_reduce(path, lambda s, x: {{'b': '', 'a': sha256(x.b || s.a || x.a)}}, {{'b': '', 'a': altered}}).a AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.b || x.a), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": OP2,
@@ -127,4 +181,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat": OP5,
         "op7_exact_dedup": OP7,
         "op9_secrets": _op9(),
+        "op11_merkle": _op11(),
     }

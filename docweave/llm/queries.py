@@ -10,6 +10,7 @@ from docweave.llm.chat import chat_format
 from docweave.llm.decontaminate import find_contamination
 from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.html_text import extract_pages
+from docweave.llm.merkle import merkle_manifest
 from docweave.llm.mixing import mix_sources
 from docweave.llm.ngram_model import lm_scores
 from docweave.llm.secrets import scan_secrets
@@ -67,6 +68,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -79,4 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
         "op10_tokens": op10_tokens,
+        "op11_merkle": op11_merkle,
     }
