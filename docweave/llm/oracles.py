@@ -174,6 +174,59 @@ FROM g
 """
 
 
+def _op13() -> str:
+    crc = _crc32("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)")
+    far = 1000000000
+    extra = "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+
+    def least(s: int, keeps: dict[str, int], changed: int) -> str:
+        """The best value of state s before a row, without inserts."""
+        parts = [f"{{'c': v[{s + 1}].c + 2, 'a': 'D' || v[{s + 1}].a}}"]
+        for initial, t in keeps.items():
+            cost = f"CASE WHEN fault NOT IN (1, 2) AND initial = '{initial}' THEN v[{t + 1}].c + {extra} ELSE {far} END"
+            parts.append(f"{{'c': {cost}, 'a': 'K' || v[{t + 1}].a}}")
+        cost = f"CASE WHEN fault NOT IN (1, 2) THEN v[{changed + 1}].c + 1 + {extra} ELSE {far} END"
+        parts.append(f"{{'c': {cost}, 'a': 'R' || v[{changed + 1}].a}}")
+        return f"list_min([{', '.join(parts)}])"
+
+    step = ", ".join(least(*x) for x in ((0, {"s": 1, "u": 2}, 2), (1, {"u": 2}, 2), (2, {"a": 3}, 3), (3, {"u": 2}, 2)))
+    insert = lambda b: "[" + ", ".join(f"list_min([{b}[{s}], {{'c': {b}[{t}].c + 5, 'a': 'I' || {b}[{t}].a}}])" for s, t in ((1, 3), (2, 3), (3, 4), (4, 3))) + "]"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT conv_id, coalesce('=' || conv_id, '-') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS draw
+      FROM conversations, crc),
+e AS (SELECT conv, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+             CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE draw <> 0),
+o AS (SELECT conv, turn, role, text, left(role, 1) AS initial,
+             row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+r AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+             lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM o),
+f AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank,
+             count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+             count_if(pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv),
+w AS (SELECT conv, n AS i, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 10, 'a': 'II'}}, {{'c': 5, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS v FROM f
+      UNION ALL
+      SELECT conv, i - 1, {insert("b")} AS v FROM (
+        SELECT conv, i, {insert("b")} AS b FROM (SELECT w.conv, w.i, [{step}] AS b FROM w JOIN r ON r.conv = w.conv AND r.i = w.i))),
+p AS (SELECT conv, v[1].c AS cost, v[1].a AS audit FROM w WHERE i = 0),
+l AS (SELECT conv, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS k FROM p WHERE audit <> ''),
+m AS (SELECT *, count_if(letter <> 'I') OVER (PARTITION BY conv ORDER BY k) AS i, count_if(letter <> 'D') OVER (PARTITION BY conv ORDER BY k) AS pos FROM l),
+t AS (SELECT m.conv, k, letter, pos, r.role, r.text, initial,
+             max(CASE WHEN letter = 'K' AND pos = 1 AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv) AS lead
+      FROM m LEFT JOIN r ON r.conv = m.conv AND r.i = m.i AND letter <> 'I'),
+h AS (SELECT conv, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (pos + lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                                     || coalesce(text, ''), chr(10) ORDER BY k)) AS digest
+      FROM t WHERE letter <> 'D' GROUP BY conv)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM d) c LEFT JOIN f ON f.conv = c.conv LEFT JOIN p ON p.conv = c.conv LEFT JOIN h ON h.conv = c.conv
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": OP2,
@@ -182,4 +235,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": OP7,
         "op9_secrets": _op9(),
         "op11_merkle": _op11(),
+        "op13_repair": _op13(),
     }

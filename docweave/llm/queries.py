@@ -13,6 +13,7 @@ from docweave.llm.html_text import extract_pages
 from docweave.llm.merkle import merkle_manifest
 from docweave.llm.mixing import mix_sources
 from docweave.llm.ngram_model import lm_scores
+from docweave.llm.repair import damage, repair_report
 from docweave.llm.secrets import scan_secrets
 from docweave.llm.simhash import near_duplicates
 from docweave.llm.token_counts import count_tokens
@@ -72,6 +73,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_report(turns, damage(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -85,4 +91,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_tokens": op10_tokens,
         "op11_merkle": op11_merkle,
+        "op13_repair": op13_repair,
     }
