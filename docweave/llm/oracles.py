@@ -174,6 +174,18 @@ FROM g
 """
 
 
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+           FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.row_no, q.vec_id AS query_id, v.vec_id,
+             list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v ON q.row_no <> v.row_no AND len(q.c) = len(v.c) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def _op13() -> str:
     crc = _crc32("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)")
     far = 1000000000
@@ -235,5 +247,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": OP7,
         "op9_secrets": _op9(),
         "op11_merkle": _op11(),
+        "op12_topk": OP12,
         "op13_repair": _op13(),
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.llm.chat import chat_format
 from docweave.llm.decontaminate import find_contamination
@@ -17,6 +18,7 @@ from docweave.llm.repair import damage, repair_report
 from docweave.llm.secrets import scan_secrets
 from docweave.llm.simhash import near_duplicates
 from docweave.llm.token_counts import count_tokens
+from docweave.llm.topk import exact_top_k
 from docweave.llm.toxicity import toxicity
 
 from docweave.session import spread
@@ -73,6 +75,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     return repair_report(turns, damage(turns))
@@ -91,5 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_tokens": op10_tokens,
         "op11_merkle": op11_merkle,
+        "op12_topk": op12_topk,
         "op13_repair": op13_repair,
     }
