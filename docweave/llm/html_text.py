@@ -33,7 +33,8 @@ _ENDS = {
     "option": (("option",), ("select",)),
 }
 _BOUNDS = frozenset("article aside body button caption div footer header main nav section table td th".split())
-# Words in class, id and role that mark what is no article text.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words in class, id and role that mark what is no article text, and words that may stand beside them.
 _MARKS = frozenset(
     "ad ads advert advertisement advertising adverts adbox advertorial alert banner breadcrumb breadcrumbs comment "
     "commentlist comments commenting consent contentinfo complementary cookie cookies dialog disclaimer disqus footer "
@@ -41,13 +42,19 @@ _MARKS = frozenset(
     "pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+_FILLERS = frozenset(
+    "area article articles bar bars block blocks body bottom box boxes btn button buttons cell col column container content "
+    "fixed form global group holder icon icons inline inner item items js label layer left link links list lists main media "
+    "message meta mobile module news outer overlay page panel post posts primary right row secondary section site slot small "
+    "sticky stories strip tag tags text the title top unit ui wrap wrapper zone".split()
+)
 _NOWHERE = (-1,)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Lines(HTMLParser):
-    """Collects one line per block: words, tags, characters inside links, the container around it.
+    """Collects one line per block: words, tags, characters inside links, the container around it, if it is a heading.
 
     Containers are numbered as they open, so those inside one are the numbers from its own to its last. Open elements
     are found by tag without a walk: time and memory grow with the page, however deep it is nested.
@@ -60,9 +67,9 @@ class _Lines(HTMLParser):
         self.around = [-1]  # the containers that are open
         self.kinds: list[str] = []
         self.last: list[int] = []
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.pieces: list[str] = []
-        self.tags = self.linked = self.marked = self.links = self.articles = 0
+        self.tags = self.linked = self.marked = self.links = self.articles = self.headings = 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)
@@ -71,7 +78,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         if text:
             if not self.marked:
-                self.lines.append((text, self.tags, self.linked, self.around[-1]))
+                self.lines.append((text, self.tags, self.linked, self.around[-1], self.headings > 0))
             self.tags = 0
         self.pieces.clear()
         self.linked = 0
@@ -106,6 +113,7 @@ class _Lines(HTMLParser):
         self.stack.append((tag, marked, number))
         self.marked += marked
         self.links += tag == "a"
+        self.headings += tag in _HEADINGS
         self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -134,6 +142,7 @@ class _Lines(HTMLParser):
             self.places[name].pop()
             self.marked -= marked
             self.links -= name == "a"
+            self.headings -= name in _HEADINGS
             self.articles -= name in ("article", "main")
             if number >= 0:
                 self.around.pop()
@@ -153,11 +162,17 @@ def _is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if key == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
         if key in ("class", "id", "role") and value:
-            if not _MARKS.isdisjoint(_TOKEN.findall(_CAMEL.sub(" ", value).lower())):
+            if any(_names_mark(token) for token in value.split()):
                 return True
     return False
 
 
+def _names_mark(token: str) -> bool:
+    """Whether a class, id or role names a mark: share-buttons does, share-class-table and related-work do not."""
+    words = set(_TOKEN.findall(_CAMEL.sub(" ", token).lower()))
+    return not words.isdisjoint(_MARKS) and words <= _MARKS | _FILLERS
+
+
 def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; beyond the ends there is nothing, and the kernel is scaled to what it covers."""
     radius = max(1, round(3 * sigma))
@@ -167,7 +182,10 @@ def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def _threshold(values: np.ndarray) -> float:
-    """The middle between the centres of two clusters (2-means from the extremes)."""
+    """The middle between the centres of two clusters (2-means from the extremes), at most half of the upper centre.
+
+    So lines that differ by less than that are one cluster.
+    """
     low, high = float(values.min()), float(values.max())
     for _ in range(30):
         cut = (low + high) / 2
@@ -177,7 +195,7 @@ def _threshold(values: np.ndarray) -> float:
         was, low, high = (low, high), float(values[~upper].mean()), float(values[upper].mean())
         if (low, high) == was:
             break
-    return (low + high) / 2
+    return min((low + high) / 2, high / 2)
 
 
 def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.8) -> str:
@@ -186,10 +204,12 @@ def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.8) -> str:
     Parser events become lines, one per block. Lines inside menus, headers, footers, sidebars, notices, adverts,
     forms, comments and the like are no candidates. Each line's ratio of unlinked text to tags is smoothed and the
     lines are clustered by a threshold; the upper cluster is content. The content region is the deepest article or
-    main element with most of its text, else the deepest container with all of it, and where that is the page itself
-    the lines from the first to the last of the cluster. Lines of the region are kept, short ones too, but a line of
-    mostly links only if it is in the upper cluster: a block of links in an article falls, a link between paragraphs
-    stays. Time and memory grow with the page, however it is nested.
+    main element with most of its text, else the whole page.
+
+    All lines of the region are kept, short ones too, but for two kinds outside the cluster: runs of lines that are mostly
+    links, unless the run as one line would be in the cluster (a list of sources between paragraphs), and lines at the ends
+    of a page with more tags than characters. Headings, and single links that open or close the region, stay. Equal
+    ratios make one cluster. Time and memory grow with the page, however it is nested.
     """
     if not html:
         return ""
@@ -203,38 +223,59 @@ def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.8) -> str:
     if not lines:
         return ""
     plain = np.array([len(x[0]) - min(x[2], len(x[0])) for x in lines], float)
-    ratio = _smooth(np.log1p(plain / np.array([max(1, x[1]) for x in lines])), sigma)
-    chosen = ratio >= _threshold(ratio)
-    first, last = _region(page, np.array([x[3] for x in lines]), plain, chosen, cover)
-    kept = []
-    for i, x in enumerate(lines):
-        inside = first <= x[3] <= last if first >= 0 else first < 0 and -first - 1 <= i <= last
-        if inside and (chosen[i] or plain[i] >= len(x[0]) / 2):
-            kept.append(x[0])
-    return "\n".join(kept)
-
-
-def _region(page: _Lines, of: np.ndarray, plain: np.ndarray, chosen: np.ndarray, cover: float) -> tuple[int, int]:
-    """The containers (first, last) of the content region; for the whole page -1 - the first line, and the last line.
-
-    of: the container of each line, -1 outside all.
+    tags = np.array([max(1, x[1]) for x in lines])
+    density = np.log1p(plain / tags)
+    cut = _threshold(smooth := _smooth(density, sigma))
+    chosen = smooth >= cut
+    of = np.array([x[3] for x in lines])
+    region = _region(page, of, plain, chosen, cover)
+    whole = region is None
+    inside = np.ones(len(lines), bool) if whole else (region[0] <= of) & (of <= region[1])
+    at = np.flatnonzero(inside)
+    heading = np.array([x[4] for x in lines])
+    linked = (plain < np.array([len(x[0]) for x in lines]) / 2) & ~heading
+    kept = np.ones(len(at), bool)
+    for start, end in _link_runs(density[at], linked[at], sigma, cut):
+        kept[start:end] = chosen[at[start:end]]
+    if whole:
+        bare = ~chosen & ~heading & (plain + np.array([x[2] for x in lines]) < tags)
+        for ends in (range(len(at)), range(len(at) - 1, -1, -1)):
+            for i in ends:
+                if not bare[at[i]] and kept[i]:
+                    break
+                kept[i] = False
+    return "\n".join(lines[i][0] for i in at[kept])
+
+
+def _link_runs(density: np.ndarray, linked: np.ndarray, sigma: float, cut: float) -> list[tuple[int, int]]:
+    """Runs (start, end) of linked lines that as one line each would be outside the cluster too; single ones at the
+    ends are none."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], linked, [0]))))
+    runs = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    if not runs:
+        return []
+    first = np.ones(len(density), bool)
+    first[1:] = ~(linked[1:] & linked[:-1])
+    at = np.cumsum(first) - 1
+    folded = np.bincount(at, density) / np.bincount(at)
+    pad = max(1, round(3 * sigma))  # beyond the region there is no text
+    value = _smooth(np.pad(folded, pad), sigma)[pad:]
+    single = lambda a, b: b - a == 1 and (a == 0 or b == len(density))
+    return [(a, b) for a, b in runs if value[at[a]] < cut and not single(a, b)]
+
+
+def _region(page: _Lines, of: np.ndarray, plain: np.ndarray, chosen: np.ndarray, cover: float) -> tuple[int, int] | None:
+    """The containers (first, last) of the deepest article or main with the share cover of the cluster's text.
+
+    of: the container of each line, -1 outside all. None if there is no such element.
     """
     size = np.bincount(of[chosen] + 1, plain[chosen], minlength=len(page.kinds) + 1)
-    count = np.bincount(of[chosen] + 1, minlength=len(page.kinds) + 1)
     # What is in a container: the sums over its numbers.
-    sizes, counts = np.concatenate(([0.0], np.cumsum(size))), np.concatenate(([0], np.cumsum(count)))
-    for wanted, least in (("article main", cover), ("", 1.0)):
-        for c in range(len(page.kinds) - 1, -1, -1):
-            if wanted and page.kinds[c] not in wanted.split():
-                continue
-            if not wanted and page.kinds[c] == "body":
-                break
-            some = sizes[page.last[c] + 2] - sizes[c + 1]
-            every = counts[page.last[c] + 2] - counts[c + 1] == counts[-1]
-            if (wanted and some >= least * sizes[-1]) or every:
-                return c, page.last[c]
-    at = np.flatnonzero(chosen)
-    return -1 - int(at[0]), int(at[-1])
+    sizes = np.concatenate(([0.0], np.cumsum(size)))
+    for c in range(len(page.kinds) - 1, -1, -1):
+        if page.kinds[c] in ("article", "main") and sizes[page.last[c] + 2] - sizes[c + 1] >= cover * sizes[-1]:
+            return c, page.last[c]
+    return None
 
 
 def extract_pages(
