@@ -13,7 +13,7 @@ itself, for each state it may be entered in. So a conversation of any length is
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -177,8 +177,7 @@ class Repair:
         else:
             behind = materialize(self._behind(several), "repair-behind")
             rows = _with(rows, behind)
-        schema = f"conv_id {self.kind}, block long, illegal long, head string, tail string, cost long, audits array<string>, exits array<int>"
-        chunks = rows.groupBy("conv_id", "block").applyInArrow(_solve_chunk, schema)
+        chunks = _by_chunk(rows, _solve_chunk, self.kind, "illegal long, head string, tail string, cost long, audits array<string>, exits array<int>")
         if alone:
             chunks = chunks.withColumns({"entry": F.lit(0), "cross": F.lit(0).cast("long"), "first": F.lit(True)})
         else:
@@ -201,7 +200,8 @@ class Repair:
     def _behind(self, several: DataFrame) -> DataFrame:
         """Distances at the end of each chunk of conversations that have several: (conv_id, block, after, last)."""
         rows = self._marked.join(several, self._marked["conv_id"].eqNullSafe(several["conv_id"]), "left_semi")
-        across = rows.groupBy("conv_id", "block").applyInArrow(_cross_chunk, f"conv_id {self.kind}, block long, costs array<long>")
+        rows = rows.withColumns({"after": F.lit(None).cast("array<long>"), "last": F.lit(True)})
+        across = _by_chunk(rows, _cross_chunk, self.kind, "costs array<long>")
         return across.groupBy("conv_id").applyInArrow(_suffixes, f"conv_id {self.kind}, block long, after array<long>, last boolean")
 
     def audits(self) -> DataFrame:
@@ -298,20 +298,43 @@ def _with(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, same, "left").drop("_conv", "_block")
 
 
-def _kinds(table: pa.Table) -> list[tuple[str, int]]:
-    table = table.sort_by("_seq")
-    return list(zip(table["initial"].to_pylist(), table["fault"].to_pylist(), strict=True))
-
-
-def _keys(table: pa.Table) -> dict[str, pa.ChunkedArray]:
-    return {"conv_id": table["conv_id"].slice(0, 1), "block": table["block"].slice(0, 1)}
+def _by_chunk(rows: DataFrame, solve: Callable[..., tuple], kind: str, columns: str) -> DataFrame:
+    """(conv_id, block) and what solve(rows' (initial, fault), after, last) gives for each chunk.
 
+    Chunks follow each other in sorted partitions, so that a stream of batches serves many short conversations at once.
+    """
+    names = ["conv_id", "block", *(c.split()[0] for c in columns.split(", "))]
+    schema = f"conv_id {kind}, block long, {columns}"
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types |= {f"array<{k}>": pa.list_(v) for k, v in types.items()}
 
-def _cross_chunk(table: pa.Table) -> pa.Table:
-    kinds = _kinds(table)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kinds, with_ = None, [], ()
+        conv_type = None
+        batch_of = lambda out: pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (conv_type, *(types[x.split()[1]] for x in schema.split(", ")[1:])), strict=True)], names
+        )
+        for batch in batches:
+            conv_type, out = batch.schema.field("conv_id").type, []
+            values = (batch.column(c).to_pylist() for c in ("conv_id", "block", "initial", "fault", "after", "last"))
+            for conv, block, initial, fault, after, last in zip(*values, strict=True):
+                if key != (conv, block):
+                    if key:
+                        out.append((*key, *solve(kinds, *with_)))
+                    key, kinds, with_ = (conv, block), [], (after, last)
+                kinds.append((initial, fault))
+            if out:
+                yield batch_of(out)
+        if key:
+            yield batch_of([(*key, *solve(kinds, *with_))])
+
+    dealt = rows.select("conv_id", "block", "_seq", "initial", "fault", "after", "last").repartition("conv_id", "block")
+    return dealt.sortWithinPartitions("conv_id", "block", "_seq").mapInArrow(run, schema)
+
+
+def _cross_chunk(kinds: list[tuple[str, int]], *_: object) -> tuple:
     to = [distances(kinds, [0 if s == t else FAR for s in STATES])[:4] for t in STATES]
-    costs = [to[t][s] for s in STATES for t in STATES]
-    return pa.table(_keys(table) | {"costs": pa.array([costs], pa.list_(pa.int64()))})
+    return ([to[t][s] for s in STATES for t in STATES],)
 
 
 def _suffixes(table: pa.Table) -> pa.Table:
@@ -324,25 +347,12 @@ def _suffixes(table: pa.Table) -> pa.Table:
     return pa.table({"conv_id": table["conv_id"], "block": table["block"], "after": pa.array(found[::-1], pa.list_(pa.int64())), "last": pa.array(last)})
 
 
-def _solve_chunk(table: pa.Table) -> pa.Table:
-    kinds = _kinds(table)
-    after = table["after"][0].as_py()
-    last = table["last"][0].as_py()
+def _solve_chunk(kinds: list[tuple[str, int]], after: list[int] | None, last: bool | None) -> tuple:
+    """illegal, head, tail, cost, audits, exits; without `after` the chunk is a whole conversation, entered in state 0."""
     dist = distances(kinds, AT_END if after is None else after)
     walks = [walk(kinds, dist, s, last is not False) for s in (STATES if after else (0,))]
-    legal = ("su", "ua", "au")
-    illegal = sum(a + b not in legal for (a, _), (b, _) in zip(kinds, kinds[1:], strict=False))
-    return pa.table(
-        _keys(table)
-        | {
-            "illegal": pa.array([illegal], pa.int64()),
-            "head": pa.array([kinds[0][0]]),
-            "tail": pa.array([kinds[-1][0]]),
-            "cost": pa.array([dist[0]], pa.int64()),
-            "audits": pa.array([[w[0] for w in walks]], pa.list_(pa.string())),
-            "exits": pa.array([[w[1] for w in walks]], pa.list_(pa.int32())),
-        }
-    )
+    illegal = sum(a + b not in ("su", "ua", "au") for (a, _), (b, _) in zip(kinds, kinds[1:], strict=False))
+    return illegal, kinds[0][0], kinds[-1][0], dist[0], [w[0] for w in walks], [w[1] for w in walks]
 
 
 def _enter(table: pa.Table) -> pa.Table:
