@@ -93,6 +93,7 @@ OFFICER_HEADING = (
     r"|PERSONS?\s+WITH\s+SIGNIFICANT\s+CONTROL|PSC\s+DETAILS|SECRETARY)\b"
 )
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+GENERIC_AUTHORITY_WORDS = ("STATE", "SECRETARY", "DIVISION", "CORPORATIONS", "REGISTRY", "REGISTRAR", "COMMISSION")
 #: Fields whose presence counts as coverage of a record.
 COVERAGE = (
     "legal_company_name", "entity_type", "incorporation_date", "registration_date", "registered_office_address", "issuing_authority",
@@ -256,12 +257,23 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def authorities_compatible(left: Column, right: Column) -> Column:
+    """Whether two authorities may be one: they share a word that says which, and each has a word that says what it is.
+
+    Words are runs of four or more letters; what they are is GENERIC_AUTHORITY_WORDS. Nulls have no words.
+    """
+    generic = F.array(*map(F.lit, GENERIC_AUTHORITY_WORDS))
+    words = lambda c: F.regexp_extract_all(F.upper(F.coalesce(c, F.lit(""))), F.lit("[A-Z]{4,}"), F.lit(0))
+    shared = F.array_except(F.array_intersect(words(left), words(right)), generic)
+    return (F.size(shared) > 0) & F.arrays_overlap(words(left), generic) & F.arrays_overlap(words(right), generic)
+
+
 def merge_candidates(candidates: DataFrame, margin: float = 0.02) -> DataFrame:
     """(doc_id, field, value, confidence, conflict, candidate_values) from (doc_id, field, value, confidence, parser).
 
     Parsers are folded in order: the first value stays until a later one differs and scores over margin higher. A
     value equal in letters and digits changes nothing, whatever its score. Values that differ are a conflict, recorded
-    either way. A null confidence counts .5; null and empty values are no candidates. A field of a document has few
+    either way, but for issuing authorities that may be one (authorities_compatible()): the better of them stays. A null confidence counts .5; null and empty values are no candidates. A field of a document has few
     candidates by nature, one for each parser.
     """
     rows = candidates.where(F.col("value").isNotNull() & (F.trim("value") != ""))
@@ -271,11 +283,12 @@ def merge_candidates(candidates: DataFrame, margin: float = 0.02) -> DataFrame:
 
     def step(acc: Column, c: Column) -> Column:
         differs = acc["value"].isNotNull() & (key(acc["value"]) != key(c["value"]))
-        takes = acc["value"].isNull() | (differs & (-c["minus"] > acc["score"] + margin))
+        same = (F.col("field") == "issuing_authority") & authorities_compatible(acc["value"], c["value"])
+        takes = acc["value"].isNull() | (differs & (-c["minus"] > acc["score"] + F.when(same, 0.0).otherwise(margin)))
         return F.struct(
             F.when(takes, c["value"]).otherwise(acc["value"]).alias("value"),
             F.when(takes, -c["minus"]).otherwise(acc["score"]).alias("score"),
-            (acc["conflict"] | F.coalesce(differs, F.lit(False))).alias("conflict"),
+            (acc["conflict"] | F.coalesce(differs & ~same, F.lit(False))).alias("conflict"),
         )
 
     merged = rows.groupBy("doc_id", "field").agg(ordered.alias("c")).withColumn("m", F.aggregate("c", start, step))

@@ -20,10 +20,11 @@ from docweave.functions.textnorm import (
     parse_date,
     unique_clean,
 )
-from docweave.operators.business import COVERAGE, core_fields, overall_confidence
+from docweave.operators.business import COVERAGE, authorities_compatible, core_fields, overall_confidence
 from docweave.operators.identifiers import identifier_candidates, identifier_conflicts, resolve_identifiers
 from docweave.operators.labels import additional_fields, canonical_field, label_values
 from docweave.operators.parties import extract_parties
+from docweave.operators.provenance import flat_pages, joined_text, normal_pages, page_of_parts, page_of_phrase, page_of_span, page_spans
 from docweave.operators.scoring import classify, detect_jurisdiction, detect_language, jurisdiction_warnings
 from docweave.operators.sections import objects_clauses, share_capital
 from docweave.session import materialize
@@ -77,7 +78,7 @@ SAID = {
 }
 MEMORANDUM, STATUS_REPORT = "MEMORANDUM_AND_ARTICLES_OF_ASSOCIATION", "COMPANY_STATUS_REPORT"
 HINT_CONFIDENCE, STATE_HINT_CONFIDENCE, MARGIN = 0.55, 0.60, 0.02
-_EVIDENCE = "array<struct<field:string,value:string,method:string,confidence:double,text:string,selected:boolean>>"
+_EVIDENCE = "array<struct<field:string,value:string,method:string,confidence:double,page:int,text:string,selected:boolean>>"
 
 
 def key(value: Column) -> Column:
@@ -85,12 +86,17 @@ def key(value: Column) -> Column:
     return F.regexp_replace(F.upper(value), "[^A-Z0-9]", "")
 
 
-def merge_field(core: Column, labelled: Column) -> Column:
-    """(value, confidence, method, excerpt, conflict) of two candidates: the first unless the other differs and is MARGIN better."""
+def merge_field(core: Column, labelled: Column, authority: bool = False) -> Column:
+    """(value, confidence, method, excerpt, conflict) of two candidates: the first unless the other differs and is MARGIN better.
+
+    Of authorities that are compatible the better one counts, by whatever margin, and they are no conflict.
+    """
     differs = F.coalesce(key(core["value"]) != key(labelled["value"]), F.lit(False))
-    second = core["value"].isNull() | (differs & (labelled["confidence"] > core["confidence"] + MARGIN))
+    same = F.lit(False) if not authority else authorities_compatible(core["value"], labelled["value"])
+    margin = F.when(same, 0.0).otherwise(MARGIN)
+    second = core["value"].isNull() | (differs & (labelled["confidence"] > core["confidence"] + margin))
     part = lambda c: F.when(second, labelled[c]).otherwise(core[c]).alias(c)
-    return F.struct(part("value"), part("confidence"), part("method"), part("excerpt"), differs.alias("conflict"))
+    return F.struct(part("value"), part("confidence"), part("method"), part("excerpt"), (differs & ~same).alias("conflict"))
 
 
 def known_value(field: str, value: Column, country: Column) -> Column:
@@ -182,7 +188,7 @@ def _lists(docs: DataFrame) -> DataFrame:
     clashes = identifier_conflicts(numbers).groupBy("doc_id").agg(
         array(F.col("identifier_type").alias("field"), F.col("candidate_values")).alias("identifier_conflicts")
     )
-    out = docs.select(F.col("_row").alias("doc_id"))
+    out = docs.select(F.col("_row").alias("doc_id"), flat_pages(F.col("_pages")).alias("_flat"), normal_pages(F.col("_pages")).alias("_normal"), page_spans(F.col("_pages")).alias("_spans"))
     for part in (pairs, others, parties, identifiers, clashes):
         out = out.join(part, "doc_id", "left")
     return out.withColumnRenamed("doc_id", "_row")
@@ -196,29 +202,36 @@ def business_records(
     hint_col: str | None = None,
     type_hint_col: str | None = None,
     state_hint_col: str | None = None,
+    pages_col: str | None = None,
 ) -> DataFrame:
     """One record per row of docs: type, country, subdivision, language, merged fields, lists, evidence, conflicts, warnings.
 
     Rows are told apart by id and text, so rows that share an id have a record each, and repeated rows equal ones. A
     null or empty text gives a record without success. Every field is the core parser's unless a labelled value
     differs and is clearly better. The texts are read once for the fields of the row and once for each list.
+
+    pages_col, an array of page texts, takes the place of text_col: the text is then the pages joined. Evidence,
+    additional fields and identifiers have the number of the page they stand on; without pages the text is page 1.
     """
     hint = lambda c: F.lit(None).cast("string") if c is None else F.col(c)
-    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    pages = F.array(F.coalesce(F.col(text_col), F.lit(""))) if pages_col is None else F.coalesce(F.col(pages_col), F.array().cast("array<string>"))
+    text = F.trim(F.coalesce(F.col(text_col), F.lit(""))) if pages_col is None else joined_text(pages)
+    cuts = F.lit("") if pages_col is None else F.array_join(F.transform(pages, lambda p: F.length(F.coalesce(p, F.lit(""))).cast("string")), ",")
     base = docs.select(
-        F.struct(F.col(id_col).alias("id"), F.md5(text).alias("hash"), hint(hint_col).alias("h"), hint(type_hint_col).alias("t"), hint(state_hint_col).alias("s")).alias("_row"),
+        F.struct(F.col(id_col).alias("id"), F.md5(text).alias("hash"), cuts.alias("cuts"), hint(hint_col).alias("h"), hint(type_hint_col).alias("t"), hint(state_hint_col).alias("s")).alias("_row"),
         text.alias("text"),
+        pages.alias("_pages"),
         hint(hint_col).alias("_hint"),
     )
     distinct = base.dropDuplicates(["_row"])
-    typed = classify(distinct, "_row", "text", ("text", "_hint")).withColumnRenamed("doc_id", "_row")
+    typed = classify(distinct, "_row", "text", ("text", "_pages", "_hint")).withColumnRenamed("doc_id", "_row")
     kind = reconcile_type(F.col("document_type"), F.col("confidence"), F.col("_row.t"))
-    typed = typed.select("_row", "text", "_hint", F.struct(kind.alias("k"), "alternatives", "matched_terms", "ambiguous").alias("classification"))
+    typed = typed.select("_row", "text", "_pages", "_hint", F.struct(kind.alias("k"), "alternatives", "matched_terms", "ambiguous").alias("classification"))
     typed = typed.withColumn("document_type", F.col("classification.k.document_type"))
-    placed = detect_jurisdiction(typed, "_row", "text", "_hint", ("text", "classification", "document_type")).withColumnRenamed("doc_id", "_row")
+    placed = detect_jurisdiction(typed, "_row", "text", "_hint", ("text", "_pages", "classification", "document_type")).withColumnRenamed("doc_id", "_row")
     place = F.struct("country_code", "country_name", "registry_name", "source", "confidence", "requested_country_code", "detected_country_code", "matched_terms", "conflict")
     state = reconcile_subdivision(F.col("subdivision"), F.col("country_code"), F.col("_row.s"))
-    placed = placed.select("_row", "text", "classification", "document_type", "country_code", place.alias("jurisdiction"), state.alias("subdivision"))
+    placed = placed.select("_row", "text", "_pages", "classification", "document_type", "country_code", place.alias("jurisdiction"), state.alias("subdivision"))
     # Written once: the fields and each of the lists start from here, and the optimizer need not unfold what came before.
     placed = materialize(placed, "placed")
     spoken = detect_language(placed, "_row", "text", ("text", "classification", "document_type", "country_code", "jurisdiction", "subdivision"))
@@ -237,7 +250,7 @@ def business_records(
     rows = objects_clauses(capital, "_row", "text", ("country_code", *carried, "share_capital")).withColumnRenamed("doc_id", "_row")
     rows = rows.withColumnRenamed("objects", "objects_or_purpose").drop("text")
 
-    lists = materialize(_lists(placed.select("_row", "text", "country_code")), "lists")
+    lists = materialize(_lists(placed.select("_row", "text", "_pages", "country_code")), "lists")
     merged = _merged(rows.join(lists, "_row"), today)
     answers = base.select("_row").join(merged, "_row")
     return answers.withColumn("doc_id", F.col("_row.id")).select("doc_id", *(c for c in merged.columns if c != "_row"))
@@ -253,6 +266,13 @@ def _merged(rows: DataFrame, today: Column) -> DataFrame:
     for name in ("pairs", "additional_fields", "parties", "identifiers", "identifier_conflicts"):
         kind = rows.schema[name].dataType.simpleString()
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.expr("array()").cast(kind)))
+    on_page = lambda i: F.coalesce(page_of_span(F.col("_spans"), i["start"], i["end"]), page_of_phrase(F.col("_flat"), i["value"]))
+    rows = rows.withColumns(
+        {
+            "identifiers": F.transform("identifiers", lambda i: i.withField("page", on_page(i))),
+            "additional_fields": F.transform("additional_fields", lambda a: a.withField("page", F.coalesce(page_of_parts(F.col("_flat"), a["excerpt"]), page_of_parts(F.col("_normal"), a["excerpt"])))),
+        }
+    )
     nothing = "struct<value:string,confidence:double,method:string,excerpt:string>"
 
     def labelled(field: str) -> Column:
@@ -274,7 +294,7 @@ def _merged(rows: DataFrame, today: Column) -> DataFrame:
         return F.when(c.isNotNull(), F.struct(c["value"].alias("value"), c["confidence"].alias("confidence"), c["method"].alias("method"), c["excerpt"].alias("excerpt"))).cast(nothing)
 
     other = lambda f: F.col(f"_l_{f}") if f in LABELLED else F.lit(None).cast(nothing)
-    rows = rows.withColumns({f"_m_{f}": merge_field(own(f), other(f)) for f in FIELDS})
+    rows = rows.withColumns({f"_m_{f}": merge_field(own(f), other(f), f == "issuing_authority") for f in FIELDS})
     value = lambda f: F.col(f"_m_{f}.value")
     state = F.col("subdivision")
     first_reference = F.get(F.filter("identifiers", lambda i: i["identifier_type"] == "DOCUMENT_REFERENCE_NUMBER"), F.lit(0))["value"]
@@ -294,21 +314,28 @@ def _merged(rows: DataFrame, today: Column) -> DataFrame:
         }
     )
 
-    def shown(field: str, c: Column, always: bool = False) -> Column:
+    flat = F.col("_flat")
+    # Excerpts are lines as the parsers read them: where the page as printed has none, the page as read may.
+    phrase = lambda c: F.coalesce(page_of_phrase(flat, c), page_of_phrase(F.col("_normal"), c))
+    of_parts = lambda c: F.coalesce(page_of_parts(flat, c), page_of_parts(F.col("_normal"), c))
+
+    def shown(field: str, c: Column, page: Column, always: bool = False) -> Column:
         chosen = F.lit(True) if always else F.coalesce(key(c["value"]) == key(F.col(field)), F.lit(False))
         text = F.substring(collapse(c["excerpt"]), 1, 240)
-        return F.when(c["value"].isNotNull(), F.struct(F.lit(field).alias("field"), c["value"].alias("value"), c["method"].alias("method"), F.round(c["confidence"], 3).alias("confidence"), text.alias("text"), chosen.alias("selected")))
+        return F.when(c["value"].isNotNull(), F.struct(F.lit(field).alias("field"), c["value"].alias("value"), c["method"].alias("method"), F.round(c["confidence"], 3).alias("confidence"), page.alias("page"), text.alias("text"), chosen.alias("selected")))
 
-    parts = [shown(f, own(f)) for f in FIELDS if FIELDS[f]] + [shown("business_activities", own("business_activities"), True)]
-    parts += [shown(f, F.col(f"_l_{f}"), f == "business_activities") for f in LABELLED]
-    as_struct = lambda field, value, method, confidence, text: F.struct(F.lit(field).alias("field"), value.alias("value"), method.alias("method"), confidence.alias("confidence"), text.alias("text"), F.lit(True).alias("selected"))
+    of_core = lambda f: shown(f, own(f), phrase(own(f)["excerpt"]), f == "business_activities")
+    of_label = lambda f: shown(f, F.col(f"_l_{f}"), of_parts(F.col(f"_l_{f}.excerpt")), f == "business_activities")
+    parts = [of_core(f) for f in (*(f for f in FIELDS if FIELDS[f]), "business_activities")] + [of_label(f) for f in LABELLED]
+    as_struct = lambda field, value, method, confidence, page, text: F.struct(F.lit(field).alias("field"), value.alias("value"), method.alias("method"), confidence.alias("confidence"), page.cast("int").alias("page"), text.alias("text"), F.lit(True).alias("selected"))
     null = F.lit(None).cast("string")
-    parts.append(F.when(F.size("objects_or_purpose") > 0, as_struct("objects_or_purpose", F.array_join("objects_or_purpose", " | "), F.lit("objects_section"), F.lit(0.88), null)))
-    parts.append(F.when(F.col("share_capital").isNotNull(), as_struct("share_capital", F.col("share_capital.amount"), F.lit("share_capital_clause"), F.lit(0.90), F.substring("share_capital.amount_text", 1, 240))))
+    parts.append(F.when(F.size("objects_or_purpose") > 0, as_struct("objects_or_purpose", F.array_join("objects_or_purpose", " | "), F.lit("objects_section"), F.lit(0.88), of_parts(F.array_join("objects_or_purpose", "|")), null)))
+    parts.append(F.when(F.col("share_capital").isNotNull(), as_struct("share_capital", F.col("share_capital.amount"), F.lit("share_capital_clause"), F.lit(0.90), of_parts(F.col("share_capital.amount_text")), F.substring("share_capital.amount_text", 1, 240))))
     roles = F.array_distinct(F.flatten(F.transform("parties", lambda p: p["roles"])))
-    of_roles = F.transform(roles, lambda r: as_struct("parties", F.array_join(F.transform(F.filter("parties", lambda p: F.array_contains(p["roles"], r)), lambda p: p["name"]), "|"), F.concat(F.lower(r), F.lit("_section")), F.lit(0.80), null))
-    of_numbers = F.transform("identifiers", lambda i: as_struct("identifiers", i["normalized_value"], i["pattern_label"], F.round(i["confidence"], 3), null))
-    of_others = F.transform("additional_fields", lambda a: as_struct("additional_fields", F.concat_ws(": ", a["label"], a["value"]), F.lit("generic_label_value"), F.round(a["confidence"], 3), F.substring(a["excerpt"], 1, 240)))
+    named = lambda r: F.array_join(F.transform(F.filter("parties", lambda p: F.array_contains(p["roles"], r)), lambda p: p["name"]), "|")
+    of_roles = F.transform(roles, lambda r: as_struct("parties", named(r), F.concat(F.lower(r), F.lit("_section")), F.lit(0.80), of_parts(named(r)), null))
+    of_numbers = F.transform("identifiers", lambda i: as_struct("identifiers", i["normalized_value"], i["pattern_label"], F.round(i["confidence"], 3), i["page"], null))
+    of_others = F.transform("additional_fields", lambda a: as_struct("additional_fields", F.concat_ws(": ", a["label"], a["value"]), F.lit("generic_label_value"), F.round(a["confidence"], 3), a["page"], F.substring(a["excerpt"], 1, 240)))
     evidence = F.concat(F.array_compact(F.array(*parts)).cast(_EVIDENCE), *(x.cast(_EVIDENCE) for x in (of_roles, of_others, of_numbers)))
     clash = lambda f: F.when(F.col(f"_m_{f}.conflict"), F.struct(F.lit(f).alias("field"), value(f).alias("selected_value"), F.array(own(f)["value"], other(f)["value"]).alias("candidate_values"), F.lit("highest_confidence_evidence").alias("resolution")))
     clashes = F.array_compact(F.array(*(clash(f) for f in FIELDS if FIELDS[f] and f in LABELLED)))
@@ -379,11 +406,11 @@ def summary_view(records: DataFrame) -> DataFrame:
         lambda i: F.struct(
             i["identifier_type"].alias("type"), i["number_type"].alias("number_type"), i["value"].alias("value"),
             F.when(i["normalized_value"] != i["value"], i["normalized_value"]).alias("normalized_value"), i["issuing_authority"].alias("issuing_authority"),
-            i["country_code"].alias("country_code"), i["confidence"].alias("confidence"), i["source"].alias("source"), i["is_primary"].alias("is_primary"),
+            i["country_code"].alias("country_code"), i["confidence"].alias("confidence"), i["source"].alias("source"), i["is_primary"].alias("is_primary"), i["page"].alias("page"),
         ),
     )
     people = F.transform("parties", lambda p: F.struct(*(p[c].alias(c) for c in ("name", "roles", "status", "shares", "share_percentage"))))
-    others = F.transform("additional_fields", lambda a: F.struct(a["label"].alias("label"), a["value"].alias("value"), a["confidence"].alias("confidence")))
+    others = F.transform("additional_fields", lambda a: F.struct(a["label"].alias("label"), a["value"].alias("value"), a["confidence"].alias("confidence"), a["page"].alias("page")))
     joint = F.col("incorporation_or_registration_date")
     repeated = F.coalesce((joint == F.col("incorporation_date")) | (joint == F.col("registration_date")), F.lit(False))
     data = F.struct(
@@ -398,7 +425,7 @@ def summary_view(records: DataFrame) -> DataFrame:
                 e["key"],
                 F.struct(
                     e["value"].alias("confidence"),
-                    F.get(F.transform(F.filter("evidence", lambda x: (x["field"] == e["key"]) & x["selected"]), lambda x: F.struct(x["method"].alias("method"), x["text"].alias("text"))), F.lit(0)).alias("evidence"),
+                    F.get(F.transform(F.filter("evidence", lambda x: (x["field"] == e["key"]) & x["selected"]), lambda x: F.struct(x["method"].alias("method"), x["page"].alias("page"), x["text"].alias("text"))), F.lit(0)).alias("evidence"),
                 ),
             ),
         )

@@ -72,7 +72,7 @@ def business_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c, part: F.array_join(F.transform(c, lambda x: x[part]), "|").alias(c)
     return found.select(
         "doc_id", "document_type", "country_code", *names, joined("identifiers", "normalized_value"), joined("parties", "name"),
-        joined("conflicts", "field"), "overall_confidence", "confidence_level", F.array_join("warnings", "|").alias("warnings"),
+        joined("conflicts", "field"), F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["field"], e["page"].cast("string"))), "|").alias("evidence_pages"), "overall_confidence", "confidence_level", F.array_join("warnings", "|").alias("warnings"),
     )
 
 
@@ -112,12 +112,10 @@ def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excerpt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every page as an excerpt."""
     pages = view(spark, sf_dir, "doc_pages")
-    excerpts = pages.where("page_number % 2 = 0").select(
-        "doc_id", F.concat(F.lit("p"), "page_number").alias("field"), F.concat(F.lit("zz | "), F.substring("text", 1, 9)).alias("excerpt")
-    )
-    found = business.first_pages(excerpts.groupBy("doc_id", "field").agg(F.min("excerpt").alias("excerpt")), pages)
-    return found
+    excerpts = pages.select("doc_id", F.concat(F.lit("p"), "page_number").alias("field"), F.concat(F.lit("zz | "), "text").alias("excerpt"))
+    return business.first_pages(excerpts.groupBy("doc_id", "field").agg(F.min("excerpt").alias("excerpt")), pages)
 
 
 def excerpt_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,10 +216,17 @@ SELECT doc_id, field, CASE WHEN d2 AND c2 > s + 0.02::DOUBLE THEN v2 ELSE w END
 _OVERALL = with_view("scores", """x AS (SELECT 1)
 SELECT doc_id, round_even(least(greatest(0.25::DOUBLE * coalesce(a, 0) + 0.15::DOUBLE * coalesce(b, 0) + 0.2::DOUBLE * coalesce(c, 0) + 0.2::DOUBLE * coalesce(d, 0)
        + 0.2::DOUBLE * n / 8, 0), 1), 3) AS overall FROM scores""")
-_EXCERPTS = with_view("doc_pages", """
-e AS (SELECT doc_id, 'p' || page_number AS field, min('zz | ' || substr(text, 1, 9)) AS excerpt FROM doc_pages WHERE page_number % 2 = 0 GROUP BY ALL)
-SELECT e.doc_id, field, min(page_number) AS page_number FROM e JOIN doc_pages p ON e.doc_id = p.doc_id
-WHERE length(trim(lower(split_part(excerpt, '|', 2)))) >= 4 AND contains(lower(p.text), trim(lower(split_part(excerpt, '|', 2)))) GROUP BY e.doc_id, field""")
+_FLAT = r"trim(lower(regexp_replace({x}, '\s+', ' ', 'g')))"
+_EXCERPTS = with_view("doc_pages", f"""
+e AS (SELECT doc_id, 'p' || page_number AS field, {_FLAT.format(x="min('zz | ' || text)")} AS excerpt FROM doc_pages GROUP BY doc_id, page_number),
+f AS (SELECT doc_id, page_number, {_FLAT.format(x='text')} AS body FROM doc_pages)
+SELECT e.doc_id, field, min(page_number) AS page_number FROM e JOIN f ON e.doc_id = f.doc_id
+WHERE length(trim(split_part(excerpt, '|', 2))) >= 4 AND contains(body, trim(split_part(excerpt, '|', 2))) GROUP BY e.doc_id, field""")
+_EXCERPTS_WHOLE = with_view("doc_pages", f"""
+f AS (SELECT doc_id, page_number, text, {_FLAT.format(x='text')} AS body FROM doc_pages),
+e AS (SELECT doc_id, 'p' || page_number AS field, body AS part FROM f
+      UNION ALL SELECT doc_id, 'm' || page_number, {_FLAT.format(x="substr(text, length(text) // 2 + 1)")} FROM f)
+SELECT e.doc_id, field, min(page_number) AS page_number FROM e JOIN f ON e.doc_id = f.doc_id WHERE length(part) >= 4 AND contains(body, part) GROUP BY e.doc_id, field""")
 _OBJECTS = with_view("business_texts", rf"""{_LINES},
 h AS (SELECT doc_id, i FROM l WHERE regexp_matches(line, '(?i)^OBJECTS? OF THE COMPANY$')),
 e AS (SELECT l.doc_id, min(l.i) AS i FROM l JOIN h ON l.doc_id = h.doc_id AND l.i > h.i WHERE regexp_matches(line, '(?i)^SHARE CAPITAL') GROUP BY l.doc_id),
@@ -283,4 +288,5 @@ ORACLES = {
     "merge_candidates": _MERGE,
     "overall_confidence": _OVERALL,
     "excerpt_page_contains_join": _EXCERPTS,
+    "excerpt_pages_whole": _EXCERPTS_WHOLE,
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import business_queries, identity_queries, page_queries, scoring_queries, utility_queries
+from docweave.plans import business_queries, identity_queries, page_queries, provenance_queries, scoring_queries, utility_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (scoring_queries, identity_queries, page_queries, business_queries, utility_queries)
+_MODULES = (scoring_queries, identity_queries, page_queries, provenance_queries, business_queries, utility_queries, provenance_queries)
 
 
 def queries() -> dict[str, Query]:

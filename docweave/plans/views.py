@@ -357,6 +357,13 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 AS p UNION ALL SELECT 2 AS p) r WHERE p = 0 OR (p = 1 AND k % 5 <> 0) OR (p = 2 AND k % 2 = 0)""",
         ("lineitem",),
     ),
+    "authorities": (
+        """SELECT c_custkey AS doc_id, 'issuing_authority' AS field, CASE WHEN p = 0 THEN CASE c_custkey % 4 WHEN 0 THEN 'Delaware Secretary of State' WHEN 1 THEN 'Corporate Affairs Commission'
+        WHEN 2 THEN 'Registrar of Companies' ELSE NULL END ELSE CASE c_custkey % 3 WHEN 0 THEN 'Delaware Division of Corporations' WHEN 1 THEN 'CORPORATE AFFAIRS COMMISSION.' ELSE 'Companies Registry' END END AS value,
+        CASE WHEN p = 0 THEN 0.8 ELSE 0.7 + (c_custkey % 23) / 100.0 END * CAST(1 AS DOUBLE) AS confidence, p AS parser
+        FROM customer CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 AS p) r""",
+        ("customer",),
+    ),
     "scores": (
         """SELECT c_custkey AS doc_id, CAST(c_custkey % 101 AS DOUBLE) / 100 AS a, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 11 AS DOUBLE) / 10 END AS b,
         CAST(c_custkey % 5 AS DOUBLE) / 5 AS c, CAST(c_custkey % 3 AS DOUBLE) / 3 AS d, c_custkey % 9 AS n FROM customer""",
