@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType
 
+from docweave.streaming.ttl import mark_accepted
+
 TTL_SECONDS = 60
 # Headers that never reach a log.
 REDACTED = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "x-signature", "x-webhook-secret")
@@ -30,38 +32,12 @@ def mark_duplicates(events: DataFrame, ttl: int = TTL_SECONDS, id_col: str = "ev
 
     Only an accepted event starts a new span; its duplicates don't prolong it, and one exactly ttl seconds old still
     is a duplicate. Events run by (time, id). Null bodies are one body. An event without a time is never accepted.
-
-    Within a body only gaps matter: an event over ttl after the one before is accepted whatever came earlier. So the
-    events of a body are cut there into runs, which are spread over the tasks by (body, run) and walked in order with
-    one time in memory. A run, a body repeated within the ttl without end, is one task's stream: whether an event is
-    accepted depends on all before it. No run is gathered in memory.
+    Repeated ids and rows are events of their own, a column accepted is replaced. A body that is repeated for ever is
+    spread over tasks by time; see mark_accepted().
     """
-    key = F.coalesce(body_key(F.col(body_col)), F.lit("none"))
-    at = F.unix_micros(F.col(time_col).cast("timestamp"))
-    ordered = Window.partitionBy("_key").orderBy("_at", id_col)
-    keyed = events.withColumns({"_key": key, "_at": at})
-    timed = keyed.where("_at is not null")
-    gap = F.col("_at") - F.lag("_at").over(ordered)
-    runs = timed.withColumn("_run", F.sum(F.coalesce((gap > ttl * 1_000_000).cast("long"), F.lit(1))).over(ordered))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, last = None, 0
-        for batch in batches:
-            flags = []
-            for key, run, at in zip(*(batch.column(c).to_pylist() for c in ("_key", "_run", "_at")), strict=True):
-                if (key, run) != open_ or at - last > ttl * 1_000_000:
-                    open_, last = (key, run), at
-                    flags.append(True)
-                else:
-                    flags.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(flags, pa.bool_())], [id_col, "accepted"])
-
-    sorted_ = runs.select(id_col, "_key", "_run", "_at").repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_at", id_col)
-    id_type = events.schema[id_col].dataType.simpleString()
-    decided = sorted_.mapInArrow(walk, f"{id_col} {id_type}, accepted boolean")
-    # Ids are unique to events; a repeated id takes one of its answers.
-    decided = decided.groupBy(id_col).agg(F.max("accepted").alias("accepted"))
-    return events.join(decided, id_col, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    key = F.coalesce(body_key(F.col(f"`{body_col}`")), F.lit("none"))
+    at = F.unix_micros(F.col(f"`{time_col}`").cast("timestamp"))
+    return mark_accepted(events, key, at, [f"`{id_col}`"], ttl * 1_000_000)
 
 
 def accepted_stream(events: DataFrame, ttl: int = TTL_SECONDS, watermark: str = "1 minute") -> DataFrame:
