@@ -23,7 +23,7 @@ def utility_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provider_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = view(spark, sf_dir, "provider_names")
-    return names.select("doc_id", utility.provider_code(F.col("name")).alias("code"))
+    return utility.with_provider_code(names, F.col("name"), "code").select("doc_id", "code")
 
 
 def image_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
