@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def collapse(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once and named, however often it is used: keeps plans and their work small."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def none_if_empty(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -105,10 +112,13 @@ def normalize_business_text(value: Column, columns: bool = False) -> Column:
         out = F.regexp_replace(
             out, r"(?i)^HEAD[\s_]*OFFICE[\s_]*ADDRESS(?=$|[\s:#.\-_]|\d)[ :#._-]*", "HEAD OFFICE ADDRESS "
         )
-        found = F.regexp_extract(out, joined, 1)
-        label = F.try_element_at(labels, F.regexp_replace(F.upper(found), "[^A-Z]", ""))
-        rest = F.ltrim(F.substr(out, F.length(found) + 1), F.lit(" :-._"))
-        return F.trim(F.when(found != "", F.concat(label, F.lit(" "), rest)).otherwise(out))
+
+        def parted(out: Column, found: Column) -> Column:
+            label = F.try_element_at(labels, F.regexp_replace(F.upper(found), "[^A-Z]", ""))
+            rest = F.ltrim(F.substr(out, F.length(found) + 1), F.lit(" :-._"))
+            return F.trim(F.when(found != "", F.concat(label, F.lit(" "), rest)).otherwise(out))
+
+        return bound(out, lambda o: bound(F.regexp_extract(o, joined, 1), lambda f: parted(o, f)))
 
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), line), lambda x: x != ""), "\n")
 
@@ -150,7 +160,10 @@ def parse_date(value: Column, country: Column | None = None) -> Column:
         (r"([A-Z])(\d)", "$1 $2"),
     ):
         text = F.regexp_replace(text, pattern, by)
-    text = collapse(text)
+    return bound(collapse(text), lambda t: _dated(t, country))
+
+
+def _dated(text: Column, country: Column | None) -> Column:
     names = "|".join(sorted(MONTHS, key=len, reverse=True))
     month_of = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
     forms = (
@@ -179,18 +192,16 @@ def parse_date(value: Column, country: Column | None = None) -> Column:
 
 def normalize_entity_type(value: Column) -> Column:
     """Printed company type to a code; spelled-together phrases first."""
-    text = F.trim(F.regexp_replace(F.upper(value), "[^A-Z0-9]+", " "))
-    joined = F.coalesce(
-        *(
-            F.when(F.contains(F.translate(text, " ", ""), F.lit(code.replace("_", ""))), F.lit(code))
-            for code in JOINED_ENTITY_TYPES
-        )
-    )
-    return F.coalesce(joined, first_rule(text, ENTITY_TYPES))
+
+    def of(text: Column) -> Column:
+        known = [F.when(F.contains(F.translate(text, " ", ""), F.lit(c.replace("_", ""))), F.lit(c)) for c in JOINED_ENTITY_TYPES]
+        return F.coalesce(*known, first_rule(text, ENTITY_TYPES))
+
+    return bound(F.trim(F.regexp_replace(F.upper(value), "[^A-Z0-9]+", " ")), of)
 
 
 def normalize_company_status(value: Column) -> Column:
-    return first_rule(F.trim(F.regexp_replace(F.upper(value), "[^A-Z]+", " ")), COMPANY_STATUSES)
+    return bound(F.trim(F.regexp_replace(F.upper(value), "[^A-Z]+", " ")), lambda text: first_rule(text, COMPANY_STATUSES))
 
 
 def normalize_gender(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.profiles import REGISTRY_OF_PROFILES
 from docweave.functions.textnorm import (
+    bound,
     collapse,
     first_group,
     none_if_empty,
@@ -17,7 +18,7 @@ from docweave.functions.textnorm import (
     normalize_identifier,
     parse_date,
 )
-from docweave.operators.labels import labelled, lines_of
+from docweave.operators.labels import labelled
 
 # Labels and patterns of the core fields, in order of precedence; confidences.
 NAME_PHRASES = (
@@ -110,12 +111,13 @@ def _match(value: Column, excerpt: Column, method: str, confidence: float) -> Co
 
 
 def looks_like_company_name(value: Column) -> Column:
-    name = normalize_company_name(value)
-    upper = F.upper(name)
-    plausible = F.length(name).between(3, 180) & (F.regexp_count(upper, F.lit("[A-Z]")) >= 3)
-    for marker in NO_NAMES:
-        plausible = plausible & ~F.contains(upper, F.lit(marker))
-    return F.coalesce(plausible & ~F.regexp_like(name, F.lit(FORM_ONLY)) & ~F.regexp_like(name, F.lit(NARRATIVE)), F.lit(False))
+    def plausible(name: Column, upper: Column) -> Column:
+        found = F.length(name).between(3, 180) & (F.regexp_count(upper, F.lit("[A-Z]")) >= 3)
+        for marker in NO_NAMES:
+            found = found & ~F.contains(upper, F.lit(marker))
+        return found & ~F.regexp_like(name, F.lit(FORM_ONLY)) & ~F.regexp_like(name, F.lit(NARRATIVE))
+
+    return F.coalesce(bound(normalize_company_name(value), lambda name: bound(F.upper(name), lambda upper: plausible(name, upper))), F.lit(False))
 
 
 def looks_like_address(value: Column) -> Column:
@@ -125,14 +127,13 @@ def looks_like_address(value: Column) -> Column:
 def _company_name(text: Column, lines: Column, kind: Column, label: Column) -> Column:
     found = []
     for pattern in NAME_PHRASES:
-        name = normalize_company_name(F.regexp_extract(text, pattern, 1))
-        found.append(_match(F.when(looks_like_company_name(name), name), F.regexp_extract(text, pattern, 0), "certificate_or_title_phrase", 0.94))
+        name = bound(normalize_company_name(F.regexp_extract(text, pattern, 1)), lambda n: F.when(looks_like_company_name(n), n))
+        found.append(bound(name, lambda n, p=pattern: _match(n, F.regexp_extract(text, p, 0), "certificate_or_title_phrase", 0.94)))
     found.append(_match(normalize_company_name(label["value"]), label["excerpt"], "company_name_label", 0.98))
     # A line with a legal suffix, best near a title; the first of the best.
     titles = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(TITLE)), i)), lambda i: i.isNotNull())
 
-    def score(line: Column, i: Column) -> Column:
-        name = normalize_company_name(line)
+    def score(line: Column, i: Column, name: Column) -> Column:
         near = F.array_min(F.transform(titles, lambda t: F.abs(t - i)))
         points = (
             F.lit(20)
@@ -140,10 +141,13 @@ def _company_name(text: Column, lines: Column, kind: Column, label: Column) -> C
             + F.coalesce(F.greatest(F.lit(0), F.lit(12) - near), F.lit(0))
             + F.when((kind == "COMPANY_STATUS_REPORT") & (i < 25), 3).otherwise(0)
         )
-        good = looks_like_company_name(line) & F.regexp_like(name, F.lit(LEGAL_SUFFIX))
-        return F.struct(F.when(good, -points).alias("rank"), i.alias("i"), name.alias("name"))
+        good = F.regexp_like(name, F.lit(LEGAL_SUFFIX)) & looks_like_company_name(line)
+        return F.when(good, F.struct((-points).alias("rank"), i.alias("i"), name.alias("name")))
 
-    best = F.get(F.array_sort(F.filter(F.transform(lines, score), lambda x: x["rank"].isNotNull())), F.lit(0))["name"]
+    # A name's suffix is one of its line, unless the name was cut.
+    may = lambda x: F.regexp_like(x, F.lit(LEGAL_SUFFIX)) | (F.length(x) > 180)
+    scored = F.transform(lines, lambda x, i: F.when(may(x), bound(normalize_company_name(x), lambda n: score(x, i, n))))
+    best = F.get(F.array_sort(F.array_compact(scored)), F.lit(0))["name"]
     return F.coalesce(*found, _match(best, best, "legal_name_line", 0.80))
 
 
@@ -180,8 +184,8 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"), *keep, "country_code", "document_type", normalize_business_text(F.col(text_col)).alias("_text"),
-        lines_of(F.col(text_col)).alias("_lines"),
     )
+    base = base.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x != ""))
     text, lines, country, kind = F.col("_text"), F.col("_lines"), F.col("country_code"), F.col("document_type")
     officers = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.lit(OFFICER_HEADING))), True)
     scope = F.when(officers > 0, F.slice(lines, F.lit(1), (officers - 1).cast("int"))).otherwise(lines)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.textnorm import collapse, normalize_business_text, normalize_label
+from docweave.functions.textnorm import bound, collapse, normalize_business_text, normalize_label
 
 # Labels of known fields, in order of precedence, and wording that is no label or no field.
 KNOWN_LABELS = (
@@ -146,6 +146,13 @@ def looks_like_heading(line: Column) -> Column:
     return (F.length(line) <= 70) & letters & (line == F.upper(line)) & ~F.regexp_like(line, F.lit(r"\d"))
 
 
+def _continued(found: Column, line: Column) -> Column:
+    """A value with one more line, unless that is a label or heading or one before it was."""
+    goes = found["open"] & F.coalesce(~F.regexp_like(line, F.lit(NEW_LABEL)) & ~looks_like_heading(line), F.lit(False))
+    more = lambda part, by: F.when(goes, F.concat(found[part], F.lit(by), line)).otherwise(found[part]).alias(part)
+    return F.struct(more("value", " "), more("excerpt", " | "), goes.alias("open"), found["next"].alias("next"))
+
+
 def labelled(lines: Column, labels: tuple[str, ...], valid: Callable[[Column], Column], more: int = 0) -> Column:
     """(value, excerpt) of the first line that begins with a label and has a valid value; null without one.
 
@@ -155,22 +162,18 @@ def labelled(lines: Column, labels: tuple[str, ...], valid: Callable[[Column], C
     pattern = rf"(?i)^\s*(?:{'|'.join(f'(?:{x})' for x in labels)})\s*(?:[:#.-]\s*|\s+)?(.*)$"
     marks = F.lit(_MARKS)
 
-    def value_at(line: Column, i: Column) -> Column:
-        inline = F.btrim(F.regexp_extract(line, pattern, 1), marks)
+    def from_(line: Column, i: Column, inline: Column) -> Column:
         below = F.get(lines, i + 1)
         takes = (inline == "") & below.isNotNull() & ~F.regexp_like(below, F.lit(NEW_LABEL))
         value = F.when(inline != "", inline).when(takes, below).otherwise("")
         excerpt = F.when(takes, F.concat(line, F.lit(" | "), below)).otherwise(line)
-        first = i + 1 + takes.cast("int")
-        open_ = F.lit(True)
+        found = F.struct(value.alias("value"), excerpt.alias("excerpt"), F.lit(True).alias("open"), (i + 1 + takes.cast("int")).alias("next"))
         for k in range(more):
-            next_ = F.get(lines, first + k)
-            open_ = open_ & F.coalesce(~F.regexp_like(next_, F.lit(NEW_LABEL)) & ~looks_like_heading(next_), F.lit(False))
-            value = F.when(open_, F.concat(value, F.lit(" "), next_)).otherwise(value)
-            excerpt = F.when(open_, F.concat(excerpt, F.lit(" | "), next_)).otherwise(excerpt)
-        return F.struct(
-            F.when(F.regexp_like(line, F.lit(pattern)), F.btrim(value, marks)).otherwise("").alias("value"), excerpt.alias("excerpt")
-        )
-
-    found = F.filter(F.transform(lines, value_at), lambda x: (x["value"] != "") & F.coalesce(valid(x["value"]), F.lit(False)))
+            found = bound(found, lambda f, k=k: _continued(f, F.get(lines, f["next"] + k)))
+        return bound(found, lambda f: F.struct(F.btrim(f["value"], marks).alias("value"), f["excerpt"].alias("excerpt")))
+
+    # Only lines with the label are looked at further, until the first valid value.
+    at = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(pattern)), i)), lambda i: i.isNotNull())
+    value_at = lambda i: bound(F.get(lines, i), lambda x: from_(x, i, F.btrim(F.regexp_extract(x, pattern, 1), marks)))
+    found = F.filter(F.transform(at, value_at), lambda x: (x["value"] != "") & F.coalesce(valid(x["value"]), F.lit(False)))
     return F.get(found, F.lit(0))
