@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.profiles import GENERIC_PATTERNS, IDENTIFIER_TYPES, REGISTRY_OF_PROFILES, Pattern
-from docweave.functions.textnorm import collapse, identifier_key
+from docweave.functions.textnorm import bound, collapse, identifier_key
 
 NO_VALUES = ("NONE", "NULL", "UNKNOWN", "NOTAVAILABLE", "PENDING")
 
@@ -15,88 +18,92 @@ def normalize_value(value: Column, kind: Column, number_type: Column) -> Column:
     """Upper case, plain dashes, tight separators; an EIN as NN-NNNNNNN, ACN and ABN as digits, RC 123 as RC123."""
     text = F.regexp_replace(F.translate(F.upper(value), "–—−", "---"), r"^[\s:#.,;]+|[\s:#.,;]+$", "")
     text = collapse(F.regexp_replace(text, r"\s*([/-])\s*", "$1"))
-    digits = F.regexp_replace(text, r"\D", "")
-    employer = ((kind == "EMPLOYER_IDENTIFIER") | number_type.isin("EIN", "FEIN")) & (F.length(digits) == 9)
-    out = (
-        F.when(employer, F.concat(F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 7)))
-        .when(number_type.isin("ACN", "ABN"), digits)
-        .when(F.regexp_like(text, F.lit(r"^(?:RC|BN|IT|LLP|LP)\s+\d{4,12}$")), F.replace(text, F.lit(" "), F.lit("")))
-        .otherwise(text)
-    )
-    return F.nullif(out, F.lit(""))
+
+    def shown(text: Column, digits: Column) -> Column:
+        employer = ((kind == "EMPLOYER_IDENTIFIER") | number_type.isin("EIN", "FEIN")) & (F.length(digits) == 9)
+        return (
+            F.when(employer, F.concat(F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 7)))
+            .when(number_type.isin("ACN", "ABN"), digits)
+            .when(F.regexp_like(text, F.lit(r"^(?:RC|BN|IT|LLP|LP)\s+\d{4,12}$")), F.replace(text, F.lit(" "), F.lit("")))
+            .otherwise(text)
+        )
+
+    return F.nullif(bound(text, lambda t: bound(F.regexp_replace(t, r"\D", ""), lambda d: shown(t, d))), F.lit(""))
 
 
 def plausible(value: Column) -> Column:
     """4 to 40 letters and digits, with a digit, not a word for nothing."""
-    key = identifier_key(value)
-    return F.length(key).between(4, 40) & ~key.isin(*NO_VALUES) & F.regexp_like(key, F.lit(r"\d"))
-
-
-def _matches(text: Column, p: Pattern, country: str | None, order: int) -> Column:
-    """All matches of a pattern with their offsets, which add up from the text between and in the matches."""
-    regex = "(?im)" + p.regex
-    value_group = 2 if "(?<prefix>" in regex else 1
-    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(regex), F.lit(value_group))
-    prefixes = F.regexp_extract_all(text, F.lit(regex), F.lit(1)) if value_group == 2 else F.transform(values, lambda v: F.lit(""))
-    between = F.split(text, regex, -1)
-    empty = F.expr("cast(array() as array<struct<m:string,v:string,p:string,start:int>>)")
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(whole) - 1),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(between, i)) + F.length(F.get(whole, i))).alias("at"),
-            F.concat(
-                acc["found"],
-                F.array(
-                    F.struct(
-                        F.get(whole, i).alias("m"),
-                        F.get(values, i).alias("v"),
-                        F.get(prefixes, i).alias("p"),
-                        (acc["at"] + F.length(F.get(between, i))).alias("start"),
-                    )
-                ),
-            ).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    found = F.when(F.regexp_like(text, F.lit(regex)), walked).otherwise(empty)
-    shown = lambda x: F.when((x["p"] != "") & ~F.startswith(F.upper(x["v"]), F.upper(x["p"])), F.concat(x["p"], F.lit(" "), x["v"])).otherwise(x["v"])
-    return F.transform(
-        found,
-        lambda x: F.struct(
-            F.lit(p.kind).alias("identifier_type"),
-            F.lit(p.number_type).alias("number_type"),
-            F.btrim(collapse(shown(x)), F.lit(":#.,;")).alias("value"),
-            normalize_value(shown(x), F.lit(p.kind), F.lit(p.number_type)).alias("normalized_value"),
-            F.lit(country).cast("string").alias("country_code"),
-            F.lit(p.authority).cast("string").alias("issuing_authority"),
-            F.lit(p.confidence).alias("confidence"),
-            F.lit("jurisdiction_profile" if country else "generic_fallback").alias("source"),
-            F.lit(p.label).alias("pattern_label"),
-            x["start"].alias("start"),
-            (x["start"] + F.length(x["m"])).alias("end"),
-            F.lit(order).alias("order"),
-        ),
-    )
+    fits = lambda key: F.length(key).between(4, 40) & ~key.isin(*NO_VALUES) & F.regexp_like(key, F.lit(r"\d"))
+    return bound(identifier_key(value), fits)
+
+
+_RAW = "array<struct<k:int,m:string,v:string,p:string,start:int>>"
+#: Matches of one pattern as (number of the pattern, match, value, prefix, start). Offsets add up from the text between.
+_MATCHES = """if(regexp_like(_text, {r}), aggregate(sequence(0, size(regexp_extract_all(_text, {r}, 0)) - 1),
+  named_struct('at', 0, 'found', cast(array() as {raw}),
+    'w', regexp_extract_all(_text, {r}, 0), 'v', regexp_extract_all(_text, {r}, {value}), 'p', {prefix}, 'b', split(_text, {r}, -1)),
+  (acc, i) -> named_struct('at', acc.at + length(acc.b[i]) + length(acc.w[i]),
+    'found', array_append(acc.found, named_struct('k', {k}, 'm', acc.w[i], 'v', acc.v[i], 'p', acc.p[i], 'start', acc.at + length(acc.b[i]))),
+    'w', acc.w, 'v', acc.v, 'p', acc.p, 'b', acc.b),
+  acc -> acc.found), cast(array() as {raw}))"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches(k: int, p: Pattern) -> str:
+    """SQL of the matches of pattern number k in the column _text; a prefix is put before values that lack it."""
+    r = _quoted("(?im)" + p.regex)
+    named = "(?<prefix>" in p.regex
+    prefix = f"regexp_extract_all(_text, {r}, 1)" if named else f"transform(regexp_extract_all(_text, {r}, 0), x -> '')"
+    return _MATCHES.format(r=r, raw=_RAW, k=k, value=2 if named else 1, prefix=prefix)
 
 
 def identifier_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", country_col: str = "country_code") -> DataFrame:
     """One row per plausible match of the generic patterns and of those of the document's country, on the raw text."""
-    text, country = F.coalesce(F.col("_text"), F.lit("")), F.col("_country")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(country_col).alias("_country"))
-    none = F.filter(_matches(text, GENERIC_PATTERNS[0], None, 0), lambda x: F.lit(False))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(country_col).alias("_country"))
+    known: list[dict] = []
     groups = []
+
+    def numbered(patterns: Iterable[Pattern], country: str | None, first: int) -> str:
+        found = []
+        for i, p in enumerate(patterns):
+            found.append(_matches(len(known), p))
+            known.append(
+                {
+                    "kind": p.kind, "number_type": p.number_type, "country": country, "authority": p.authority, "confidence": p.confidence,
+                    "source": "jurisdiction_profile" if country else "generic_fallback", "label": p.label, "order": first + i,
+                }
+            )
+        return f"concat({', '.join(found)})" if found else f"cast(array() as {_RAW})"
+
     for profile in REGISTRY_OF_PROFILES.list():
-        own = F.concat(*(_matches(text, p, profile.code, i) for i, p in enumerate((*profile.identifiers, *profile.registration))))
-        groups.append(F.when(country == profile.code, own).otherwise(none))
-    groups += [_matches(text, p, None, 1000 + i) for i, p in enumerate(GENERIC_PATTERNS)]
-    return (
-        base.select("doc_id", F.explode_outer(F.concat(*groups)).alias("c"))
-        .where("c is not null")
-        .select("doc_id", "c.*")
-        .where(plausible(F.col("normalized_value")))
+        own = numbered((*profile.identifiers, *profile.registration), profile.code, 0)
+        groups.append(f"if(_country = {_quoted(profile.code)}, {own}, cast(array() as {_RAW}))")
+    groups.append(numbered(GENERIC_PATTERNS, None, 1000))
+    schema = "array<struct<kind:string,number_type:string,country:string,authority:string,confidence:double,source:string,label:string,order:int>>"
+    table = F.from_json(F.lit(json.dumps(known)), schema)
+    # The outer form, since for the inner one the matches would be made once more, in a filter.
+    rows = base.select("doc_id", F.explode_outer(F.concat(*map(F.expr, groups))).alias("x")).where("x is not null").select("doc_id", "x.*", F.get(table, F.col("x.k")).alias("of"))
+    prefixed = (F.col("p") != "") & ~F.startswith(F.upper("v"), F.upper("p"))
+    rows = rows.withColumn("shown", F.when(prefixed, F.concat("p", F.lit(" "), "v")).otherwise(F.col("v")))
+    found = rows.select(
+        "doc_id",
+        F.col("of.kind").alias("identifier_type"),
+        F.col("of.number_type").alias("number_type"),
+        F.btrim(collapse(F.col("shown")), F.lit(":#.,;")).alias("value"),
+        normalize_value(F.col("shown"), F.col("of.kind"), F.col("of.number_type")).alias("normalized_value"),
+        F.col("of.country").alias("country_code"),
+        F.col("of.authority").alias("issuing_authority"),
+        F.col("of.confidence").alias("confidence"),
+        F.col("of.source").alias("source"),
+        F.col("of.label").alias("pattern_label"),
+        "start",
+        (F.col("start") + F.length("m")).alias("end"),
+        F.col("of.order").alias("order"),
     )
+    return found.where(plausible(F.col("normalized_value")))
 
 
 def resolve_identifiers(candidates: DataFrame) -> DataFrame:
