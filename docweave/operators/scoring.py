@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import rules as R
-from docweave.functions.profiles import REGISTRY_OF_PROFILES, Profile, Rule, names_of
-from docweave.functions.textnorm import collapse, confidence_level, plain_dashes
+from docweave.functions.literals import sql_found, sql_text
+from docweave.functions.profiles import REGISTRY_OF_PROFILES, Profile, Rule, Subdivision, names_of
+from docweave.functions.textnorm import bound, collapse, confidence_level, plain_dashes
 
 _HITS = "array<struct<label:string,weight:int,anchor:boolean>>"
 
@@ -26,19 +27,11 @@ def classification_text(value: Column) -> Column:
     return collapse(text)
 
 
-def _hits(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """The rules found in text, each once, in order."""
-    return F.array_compact(
-        F.array(
-            *(
-                F.when(
-                    F.regexp_like(text, F.lit(f"(?s){r.pattern}")),
-                    F.struct(F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.anchor).alias("anchor")),
-                )
-                for r in rules
-            )
-        )
-    ).cast(_HITS)
+def _hits(rules: Iterable[Rule]) -> Column:
+    """The rules found in the column _text, each once, in order; a rule runs only where its mandatory literal is."""
+    shown = lambda r: f"named_struct('label', {sql_text(r.label)}, 'weight', {r.weight}, 'anchor', {str(r.anchor).lower()})"
+    found = ", ".join(f"if({sql_found('_text', r.pattern, '(?s)')}, {shown(r)}, null)" for r in rules)
+    return F.expr(f"cast(array_compact(array({found})) as {_HITS})")
 
 
 def _weight(hits: Column) -> Column:
@@ -61,7 +54,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 F.lit(s.kind).alias("kind"),
                 F.lit(s.high).alias("high"),
                 F.lit(s.least).alias("least"),
-                _hits(text, s.rules).alias("hits"),
+                _hits(s.rules).alias("hits"),
                 sum((F.regexp_like(text, F.lit(p)).cast("int") for p in s.against), F.lit(0)).alias("against"),
             )
             for i, s in enumerate(R.SIGNATURES)
@@ -185,23 +178,21 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _profile_score(text: Column, p: Profile) -> Column:
-    hits = _hits(text, p.markers)
+def _profile_score(p: Profile) -> Column:
+    """(code, name, registry, high, least, raw, terms) of a profile for the column _text."""
     # A state's authority is evidence for its country too; only the strongest counts, the first of equals.
     markers = sorted((m for s in p.subdivisions for m in s.markers), key=lambda m: -m.weight)
-    strongest = F.lit(None).cast("struct<label:string,weight:int>")
-    if markers:
-        hit = lambda m: F.when(F.regexp_like(text, F.lit(m.pattern)), F.struct(F.lit(m.label).alias("label"), F.lit(m.weight).alias("weight")))
-        strongest = F.when(F.regexp_like(text, F.lit(_some(markers))), F.coalesce(*map(hit, markers)))
-    return F.struct(
-        F.lit(p.code).alias("code"),
-        F.lit(p.name).alias("name"),
-        F.lit(p.registry).alias("registry"),
-        F.lit(p.high).alias("high"),
-        F.lit(p.least).alias("least"),
-        (_weight(hits) + F.coalesce(strongest["weight"], F.lit(0))).alias("raw"),
-        F.array_compact(F.concat(F.transform(hits, lambda h: h["label"]), F.array(strongest["label"]))).alias("terms"),
-    )
+    kind = "struct<label:string,weight:int>"
+    shown = lambda m: f"if({sql_found('_text', m.pattern)}, named_struct('label', {sql_text(m.label)}, 'weight', {m.weight}), null)"
+    strongest = f"if(regexp_like(_text, {sql_text(_some(markers))}), coalesce({', '.join(map(shown, markers))}), null)" if markers else "null"
+    fixed = {"code": p.code, "name": p.name, "registry": p.registry, "high": p.high, "least": p.least}
+
+    def scored(hits: Column, state: Column) -> Column:
+        raw = _weight(hits) + F.coalesce(state["weight"], F.lit(0))
+        terms = F.array_compact(F.concat(F.transform(hits, lambda h: h["label"]), F.array(state["label"])))
+        return F.struct(*(F.lit(v).alias(k) for k, v in fixed.items()), raw.alias("raw"), terms.alias("terms"))
+
+    return bound(_hits(p.markers), lambda hits: bound(F.expr(f"cast({strongest} as {kind})"), lambda state: scored(hits, state)))
 
 
 def _some(markers: Iterable[Rule]) -> str:
@@ -221,18 +212,21 @@ def subdivision_of(text: Column, country: Column) -> Column:
     The best by (confidence, score, code) of those with enough score; others within .08 make it ambiguous, of which
     three are listed.
     """
+
+    def state_score(hits: Column, s: Subdivision) -> Column:
+        fixed = {"code": s.code, "name": s.name, "registry_name": s.registry}
+        return F.struct(
+            F.round(F.least(_weight(hits) / s.high, F.lit(1.0)), 4).alias("confidence"),
+            *(F.lit(v).alias(k) for k, v in fixed.items()),
+            F.transform(hits, lambda h: h["label"]).alias("terms"),
+            F.lit(s.least / s.high).alias("least"),
+        )
+
     found = F.lit(None).cast(_SUBDIVISION)
     for profile in (p for p in REGISTRY_OF_PROFILES.list() if p.subdivisions):
         scored = F.array(
             *(
-                F.struct(
-                    F.round(F.least(_weight(_hits(text, s.markers)) / s.high, F.lit(1.0)), 4).alias("confidence"),
-                    F.lit(s.code).alias("code"),
-                    F.lit(s.name).alias("name"),
-                    F.lit(s.registry).alias("registry_name"),
-                    F.transform(_hits(text, s.markers), lambda h: h["label"]).alias("terms"),
-                    F.lit(s.least / s.high).alias("least"),
-                )
+                bound(_hits(s.markers), lambda h, s=s: state_score(h, s))
                 for s in profile.subdivisions
             )
         )
@@ -267,7 +261,7 @@ def detect_jurisdiction(
     requested = F.coalesce(F.try_element_at(known, plain), F.when(F.regexp_like(plain, F.lit("^[A-Z]{3}$")), plain))
     scored = docs.select(
         F.col(id_col).alias("doc_id"), *keep, detection_text(F.col(text_col)).alias("_text"), requested.alias("requested")
-    ).withColumn("_all", F.array(*(_profile_score(F.col("_text"), p) for p in profiles)))
+    ).withColumn("_all", F.array(*(_profile_score(p) for p in profiles)))
     part = lambda s: F.round(F.least(s["raw"] / s["high"], F.lit(1.0)), 4)
     ranked = F.sort_array(
         F.transform(
