@@ -205,38 +205,46 @@ def fetch(url: str | None, policy: SourcePolicy = SourcePolicy(), resolver: Reso
     raise Refused(502, "too_many_redirects")
 
 
+Fetcher = Callable[[str | None, SourcePolicy, Resolver], dict]
+#: What is known of a document beside its status and reason.
+KINDS = {"content": pa.binary(), "file_type": pa.string(), "filename": pa.string(), "size": pa.int64(), "final_url": pa.string()}
+
+
+def answer(url: str | None, policy: SourcePolicy, resolver: Resolver, fetcher: Fetcher, allow_pdf: bool) -> tuple[int, str | None, dict]:
+    """(status, reason, document) of a URL; the document is empty unless the status is 200."""
+    try:
+        found = fetcher(url, policy, resolver)
+        if found["file_type"] == "pdf" and not allow_pdf:
+            raise Refused(415, "images_only")
+        return 200, None, found
+    except Refused as refused:
+        return refused.status, refused.reason, {}
+
+
 def fetch_documents(
     urls: DataFrame, policy: SourcePolicy = SourcePolicy(), id_col: str = "doc_id", url_col: str = "url", allow_pdf: bool = True,
-    resolver: Resolver = resolve,
+    resolver: Resolver = resolve, fetcher: Fetcher = fetch,
 ) -> DataFrame:
     """One row per URL: doc_id, url, status (200, else the HTTP status of the refusal), reason, and the document.
 
     Only public addresses are asked, each connection goes to an address that was checked, and every redirect is
     checked again. A task holds one document at a time. Null and empty URLs are invalid (400). No shuffle.
     """
-    kinds = {"content": pa.binary(), "file_type": pa.string(), "filename": pa.string(), "size": pa.int64(), "final_url": pa.string()}
-
-    def one(url: str | None) -> tuple[int, str | None, dict]:
-        try:
-            found = fetch(url, policy, resolver)
-            if found["file_type"] == "pdf" and not allow_pdf:
-                raise Refused(415, "images_only")
-            return 200, None, found
-        except Refused as refused:
-            return refused.status, refused.reason, {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                status, reason, found = one(batch.column(1)[i].as_py())
+                status, reason, found = answer(batch.column(1)[i].as_py(), policy, resolver, fetcher, allow_pdf)
                 row = [pa.array([status], pa.int32()), pa.array([reason], pa.string())]
-                row += [pa.array([found.get(k)], t) for k, t in kinds.items()]
+                row += [pa.array([found.get(k)], t) for k, t in KINDS.items()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *row], ["doc_id", "url", "status", "reason", *kinds]
+                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *row], ["doc_id", "url", "status", "reason", *KINDS]
                 )
 
     narrow = urls.select(F.col(id_col).alias("doc_id"), F.col(url_col).alias("url"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(
-        run, f"doc_id {id_type}, url string, status int, reason string, content binary, file_type string, filename string, size long, final_url string"
-    )
+    return narrow.mapInArrow(run, f"doc_id {id_type}, {DOCUMENT}")
+
+
+#: The columns of a fetched document after its id.
+DOCUMENT = "url string, status int, reason string, content binary, file_type string, filename string, size long, final_url string"
