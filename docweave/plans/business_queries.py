@@ -257,6 +257,48 @@ SELECT doc_id, CASE k WHEN 1 THEN n WHEN 2 THEN '600' END AS issued_amount, CASE
   CASE k WHEN 2 THEN 'EUR|USD' ELSE '' END AS currency_candidates,
   CASE k WHEN 0 THEN n || '/ORDINARY/1/USD|' || n || '/PREFERENCE/1/USD' WHEN 1 THEN '1/' || n || '/' || coalesce(own, '$') ELSE '' END AS share_classes FROM w""")
 
+# What the thirteen layouts of business_texts say, stated by layout and not read from the text.
+_CORE_FIELDS = with_view("business_texts", """
+w AS (SELECT doc_id, doc_id % 13 AS k, doc_id::VARCHAR AS n, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day FROM business_texts)
+SELECT doc_id,
+  CASE k WHEN 0 THEN 'CAC_RC' WHEN 1 THEN 'US_STATE_ENTITY_NUMBER' WHEN 6 THEN 'UK_COMPANY_NUMBER' WHEN 8 THEN 'KENYA_COMPANY_NUMBER' WHEN 10 THEN 'GHANA_REGISTRATION_NUMBER'
+         WHEN 12 THEN 'CIPC_ENTERPRISE_NUMBER' END AS registration_number_type,
+  CASE k WHEN 0 THEN 'CUSTOMER ' || n || ' GLOBAL SERVICES LIMITED' WHEN 1 THEN 'CUSTOMER ' || n || ' VENTURES LLC' WHEN 2 THEN 'CUSTOMER ' || n || ' HOLDINGS PLC'
+         WHEN 3 THEN 'CUSTOMER ' || n || ' FOODS LTD' WHEN 6 THEN 'CUSTOMER ' || n || ' TRADING PLC' WHEN 11 THEN 'CORPORATION DOCUMENT' END AS company_name,
+  CASE k WHEN 0 THEN (1000000 + doc_id)::VARCHAR WHEN 1 THEN (7000000 + doc_id)::VARCHAR WHEN 6 THEN (10000000 + doc_id)::VARCHAR WHEN 8 THEN 'PVT-' || lpad(n, 7, '0')
+         WHEN 10 THEN 'BN-' || (100000 + doc_id) WHEN 12 THEN (2000 + doc_id % 20) || '/' || (100000 + doc_id) || '/07' END AS registration_number,
+  CASE k WHEN 0 THEN 'ACTIVE' WHEN 2 THEN CASE WHEN doc_id % 5 = 0 THEN 'IN_LIQUIDATION' ELSE 'ACTIVE' END WHEN 12 THEN 'STRUCK_OFF' END AS company_status,
+  CASE k WHEN 0 THEN '2020-03-' || day END AS incorporation_date,
+  CASE k WHEN 0 THEN n || ' Broad Street, Lagos' WHEN 2 THEN n || ' Marina Road Particulars of Directors Annual returns as at 2023-01-' || day END AS registered_address,
+  CASE k WHEN 0 THEN 'Companies and Allied Matters Act' WHEN 6 THEN 'Companies Act 2006' END AS governing_law,
+  CASE k WHEN 0 THEN 'PRIVATE_COMPANY_LIMITED_BY_SHARES' WHEN 1 THEN 'LIMITED_LIABILITY_COMPANY' WHEN 2 THEN 'PUBLIC_COMPANY_LIMITED_BY_SHARES' WHEN 3 THEN 'LIMITED_COMPANY'
+         WHEN 6 THEN 'PUBLIC_COMPANY_LIMITED_BY_SHARES' WHEN 10 THEN 'BUSINESS_NAME' WHEN 11 THEN 'CORPORATION' END AS entity_type
+FROM w""")
+_EXPECTED_IDENTIFIERS = """
+w AS (SELECT doc_id, doc_id % 13 AS k, doc_id::VARCHAR AS n, text FROM business_texts),
+x AS (
+  SELECT doc_id, 'COMPANY_REGISTRATION_NUMBER' AS identifier_type, 'CAC_RC' AS number_type, 'RC' || (1000000 + doc_id) AS normalized_value, 0.97 AS confidence, 'RC ' || (1000000 + doc_id) AS mark,
+         1 AS position, text FROM w WHERE k = 0
+  UNION ALL SELECT doc_id, 'TAX_IDENTIFIER', 'NIGERIAN_TIN', (10000000 + doc_id) || '-0001', 0.94, 'Tax Identification Number', 2, text FROM w WHERE k = 0
+  UNION ALL SELECT doc_id, 'DOCUMENT_REFERENCE_NUMBER', 'CAC_DOCUMENT_REFERENCE', 'CAC/2020/ABC' || n, 0.88, 'Certificate Number', 3, text FROM w WHERE k = 0
+  UNION ALL SELECT doc_id, 'EMPLOYER_IDENTIFIER', 'EIN', '12-' || lpad(n, 7, '0'), 0.98, 'EIN:', 1, text FROM w WHERE k = 1
+  UNION ALL SELECT doc_id, 'STATE_FORMATION_IDENTIFIER', 'US_STATE_ENTITY_NUMBER', (7000000 + doc_id)::VARCHAR, 0.91, 'Entity ID', 2, text FROM w WHERE k = 1
+  UNION ALL SELECT doc_id, 'DOCUMENT_REFERENCE_NUMBER', 'US_FILING_REFERENCE', 'FN-' || n || '-2021', 0.87, 'Filing Number', 3, text FROM w WHERE k = 1
+  UNION ALL SELECT doc_id, 'REGISTRY_NUMBER', 'REGISTRY_NUMBER', 'XY-' || n, 0.82, 'Registry Identifier', 1, text FROM w WHERE k = 4 AND doc_id > 9
+  UNION ALL SELECT doc_id, 'COMPANY_REGISTRATION_NUMBER', 'UK_COMPANY_NUMBER', (10000000 + doc_id)::VARCHAR, 0.94, 'Company Number', 1, text FROM w WHERE k = 6
+  UNION ALL SELECT doc_id, 'COMPANY_REGISTRATION_NUMBER', 'KENYA_COMPANY_NUMBER', 'PVT-' || lpad(n, 7, '0'), 0.94, 'PVT-', 1, text FROM w WHERE k = 8
+  UNION ALL SELECT doc_id, 'TAX_IDENTIFIER', 'KRA_PIN', 'A' || lpad(n, 9, '0') || 'Z', 0.95, 'KRA PIN', 2, text FROM w WHERE k = 8
+  UNION ALL SELECT doc_id, 'COMPANY_REGISTRATION_NUMBER', 'GHANA_REGISTRATION_NUMBER', 'BN-' || (100000 + doc_id), 0.94, 'BN-', 1, text FROM w WHERE k = 10
+  UNION ALL SELECT doc_id, 'COMPANY_REGISTRATION_NUMBER', 'GHANA_REGISTRATION_NUMBER', 'BN' || (200000 + doc_id), 0.94, 'BN' || (200000 + doc_id), 2, text FROM w WHERE k = 10
+  UNION ALL SELECT doc_id, 'COMPANY_REGISTRATION_NUMBER', 'CIPC_ENTERPRISE_NUMBER', (2000 + doc_id % 20) || '/' || (100000 + doc_id) || '/07', 0.97, (2000 + doc_id % 20) || '/', 1, text FROM w WHERE k = 12)"""
+_TYPED = with_view("business_texts", _EXPECTED_IDENTIFIERS + """
+SELECT doc_id, identifier_type, number_type, normalized_value, confidence::DOUBLE AS confidence, CASE WHEN number_type = 'REGISTRY_NUMBER' THEN 'generic_fallback' ELSE 'jurisdiction_profile' END AS source,
+       doc_id % 13 = 10 AND position = 2 AS ambiguous, number_type IN ('CAC_RC', 'US_STATE_ENTITY_NUMBER', 'REGISTRY_NUMBER', 'UK_COMPANY_NUMBER', 'KENYA_COMPANY_NUMBER', 'CIPC_ENTERPRISE_NUMBER')
+       OR (doc_id % 13 = 10 AND position = 1) AS is_primary, position::BIGINT AS position, (strpos(text, mark) - 1)::BIGINT AS start FROM x""")
+_CLASHES = with_view("business_texts", _EXPECTED_IDENTIFIERS + """
+SELECT doc_id, identifier_type, number_type, 'GHA' AS country_code, string_agg(normalized_value, '|' ORDER BY normalized_value) AS candidate_values FROM x
+WHERE doc_id % 13 = 10 GROUP BY doc_id, identifier_type, number_type""")
+
 QUERIES = {
     "parties": party_records,
     "share_classes": share_classes,
@@ -277,6 +319,9 @@ QUERIES = {
     "excerpt_pages_whole": excerpt_pages_whole,
 }
 ORACLES = {
+    "core_fields": _CORE_FIELDS,
+    "typed_identifiers": _TYPED,
+    "identifier_conflicts": _CLASHES,
     "parties": _PARTIES,
     "share_classes": _CLASSES,
     "objects_clauses": _OBJECTS,
