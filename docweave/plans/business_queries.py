@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import textnorm as N
 from docweave.operators import business, identifiers, labels, parties, records, sections
+from docweave.plans.scoring_queries import ORACLES as _SCORING
 from docweave.plans.views import view, with_view
 
 
@@ -299,6 +300,55 @@ _CLASHES = with_view("business_texts", _EXPECTED_IDENTIFIERS + """
 SELECT doc_id, identifier_type, number_type, 'GHA' AS country_code, string_agg(normalized_value, '|' ORDER BY normalized_value) AS candidate_values FROM x
 WHERE doc_id % 13 = 10 GROUP BY doc_id, identifier_type, number_type""")
 
+# The whole record: type, country and language by the SQL of their own queries, the rest by layout, put together by the rules of
+# the merge: authorities, coverage, confidence, warnings in their order.
+_EVIDENCE_OF = {
+    0: "legal_company_name entity_type company_status incorporation_date registered_office_address governing_law issuing_authority document_reference_number document_issue_date"
+    " identifiers identifiers identifiers",
+    1: "legal_company_name entity_type incorporation_date additional_fields additional_fields additional_fields identifiers identifiers identifiers",
+    2: "legal_company_name entity_type company_status registered_office_address additional_fields",
+    3: "legal_company_name entity_type objects_or_purpose share_capital additional_fields",
+    4: "issuing_authority additional_fields additional_fields identifiers", 5: "additional_fields",
+    6: "legal_company_name entity_type governing_law issuing_authority additional_fields identifiers", 8: "additional_fields additional_fields identifiers identifiers",
+    10: "entity_type issuing_authority additional_fields additional_fields identifiers identifiers", 11: "legal_company_name entity_type issuing_authority",
+    12: "company_status company_status additional_fields identifiers",
+}
+_PAGES_OF = " ".join(f"WHEN {k} THEN '{'|'.join(f'{x}:1' for x in v.split())}'" for k, v in _EVIDENCE_OF.items())
+_RECORDS = f"""
+WITH c AS ({_SCORING['classify_documents']}), j AS ({_SCORING['detect_jurisdiction']}), l AS ({_SCORING['detect_language']}), f AS ({_CORE_FIELDS}),
+i AS (SELECT doc_id, string_agg(normalized_value, '|' ORDER BY position) AS identifiers, max(confidence) AS top FROM ({_TYPED}) GROUP BY doc_id),
+r AS (
+  SELECT f.doc_id, f.doc_id % 13 AS k, lpad((f.doc_id % 28 + 1)::VARCHAR, 2, '0') AS day, c.document_type, c.confidence AS type_score, c.ambiguous AS type_ambiguous, j.country_code, j.source,
+         j.confidence AS country_score, j.registry_name, j.subdivision AS jurisdiction_code, l.code AS language, l.ambiguous AS language_ambiguous, f.company_name AS legal_company_name,
+         f.company_status, f.entity_type, f.registered_address, coalesce(i.identifiers, '') AS identifiers, coalesce(i.top, 0) AS top
+  FROM f JOIN c ON c.doc_id = f.doc_id JOIN j ON j.doc_id = f.doc_id JOIN l ON l.doc_id = f.doc_id LEFT JOIN i ON i.doc_id = f.doc_id),
+a AS (
+  SELECT *, CASE k WHEN 0 THEN '2020-03-' || day WHEN 1 THEN '2021-04-' || day END AS incorporation_date, CASE k WHEN 0 THEN '2020-04-' || day END AS document_issue_date,
+         CASE k WHEN 0 THEN 'CORPORATE AFFAIRS COMMISSION' WHEN 4 THEN 'SECRETARY OF STATE' WHEN 6 THEN 'COMPANIES HOUSE' WHEN 10 THEN 'Registrar-General''s Department'
+                WHEN 11 THEN 'State of Florida Secretary of State' ELSE registry_name END AS issuing_authority,
+         CASE k WHEN 0 THEN 0.94 WHEN 1 THEN 0.98 WHEN 2 THEN 0.98 WHEN 3 THEN 0.94 WHEN 6 THEN 0.98 WHEN 11 THEN 0.8 ELSE 0 END::DOUBLE AS name_score FROM r),
+o AS (
+  SELECT *, round_even(0.25::DOUBLE * type_score + 0.15::DOUBLE * coalesce(country_score, 0) + 0.2::DOUBLE * name_score + 0.2::DOUBLE * top::DOUBLE
+      + 0.2::DOUBLE * ((legal_company_name IS NOT NULL)::INT + (entity_type IS NOT NULL)::INT + (incorporation_date IS NOT NULL)::INT + (registered_address IS NOT NULL)::INT
+                       + (issuing_authority IS NOT NULL)::INT + (company_status IS NOT NULL)::INT + (identifiers <> '')::INT) / 8, 3) AS overall_confidence FROM a)
+SELECT doc_id, document_type, country_code, legal_company_name, incorporation_date, document_issue_date, company_status, entity_type, issuing_authority, jurisdiction_code, identifiers,
+  '' AS parties, CASE WHEN k = 10 THEN 'COMPANY_REGISTRATION_NUMBER' ELSE '' END AS conflicts, CASE WHEN k = 4 AND identifiers = '' THEN 'issuing_authority:1|additional_fields:1|additional_fields:1' ELSE CASE k {_PAGES_OF} ELSE '' END END AS evidence_pages, overall_confidence,
+  CASE WHEN overall_confidence >= 0.85 THEN 'HIGH' WHEN overall_confidence >= 0.65 THEN 'MEDIUM' WHEN overall_confidence >= 0.4 THEN 'LOW' ELSE 'REJECT' END AS confidence_level,
+  array_to_string(list_filter([
+    CASE WHEN document_type = 'UNKNOWN_BUSINESS_DOCUMENT' THEN 'The business document type could not be reliably determined; generic extraction was used.'
+         WHEN type_ambiguous THEN 'The business document type is ambiguous; review the classification alternatives.' END,
+    CASE source WHEN 'document_text_conflict' THEN 'The supplied country hint conflicts with the country indicated by registry evidence.'
+                WHEN 'country_hint' THEN 'The country is based only on the caller hint and was not confirmed by OCR text.'
+                WHEN 'country_hint_unprofiled' THEN 'The supplied country has no registered extraction profile; generic rules will be used.'
+                WHEN 'undetermined' THEN 'The country of incorporation could not be reliably determined.' END,
+    CASE WHEN k = 11 THEN 'The state or subnational incorporation jurisdiction is ambiguous.' END,
+    CASE WHEN language IS NULL THEN 'The document language could not be reliably determined.' WHEN language_ambiguous THEN 'The document language is ambiguous.' END,
+    CASE WHEN k = 2 THEN 'No company parties were found in the status report.' END,
+    CASE WHEN legal_company_name IS NULL THEN 'The legal company name could not be reliably extracted.' END,
+    CASE WHEN identifiers = '' THEN 'No reliable registration, registry, tax, employer, or document identifier was extracted.' END,
+    CASE WHEN issuing_authority IS NULL THEN 'The issuing authority could not be reliably determined.' END], lambda x: x IS NOT NULL), '|') AS warnings
+FROM o"""
+
 QUERIES = {
     "parties": party_records,
     "share_classes": share_classes,
@@ -319,6 +369,7 @@ QUERIES = {
     "excerpt_pages_whole": excerpt_pages_whole,
 }
 ORACLES = {
+    "business_records": _RECORDS,
     "core_fields": _CORE_FIELDS,
     "typed_identifiers": _TYPED,
     "identifier_conflicts": _CLASHES,
