@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.images import image_metrics
+from docweave.functions.joined import readable_name, readable_provider
 from docweave.operators import utility
 from docweave.plans.views import view, with_view
 
@@ -26,6 +27,11 @@ def provider_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utility.with_provider_code(names, F.col("name"), "code").select("doc_id", "code")
 
 
+def readable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "joined_names")
+    return t.select("doc_id", readable_name(F.col("name")).alias("name"), readable_provider(F.col("provider")).alias("provider"))
+
+
 def image_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = view(spark, sf_dir, "customers_as_images")
     data = F.unhex(F.concat(F.repeat(F.col("light"), 60), F.repeat(F.col("dark"), 40)))
@@ -49,5 +55,11 @@ SELECT doc_id, CASE WHEN form = 3 THEN 'UNKNOWN' ELSE 'ELECTRICITY' END AS utili
   CASE WHEN form = 3 THEN 'missing_service_address|missing_document_date' WHEN days_old BETWEEN 0 AND 90 THEN '' ELSE 'outside_recency_window' END AS reasons
 FROM p""")
 
-QUERIES = {"utility_fields": utility_fields, "provider_codes": provider_codes, "image_quality_metrics": image_quality_metrics}
-ORACLES = {"utility_fields": _UTILITY}
+_NAMES = with_view("joined_names", """
+w AS (SELECT doc_id, translate(doc_id::VARCHAR, '0123456789', 'ABCDEFGHIJ') AS w FROM joined_names)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'EDWARD SAMPLE' || w WHEN 1 THEN 'EDWARD SAMPLE ' || w || 'X' WHEN 2 THEN 'SAMPLE' || w || ' SAMPLE' || w
+       WHEN 3 THEN 'MICHAEL EBUBE QQQ' || w || ' EMMANUEL' WHEN 4 THEN 'ADA' || ' ' || w || ' LEE' END AS name,
+       CASE doc_id % 3 WHEN 0 THEN 'Abuja Electricity Distribution Prepaid' WHEN 1 THEN 'IKEJA ELECTRIC' ELSE 'ABUJA ELECTRICITY plc' END AS provider FROM w""")
+
+QUERIES = {"utility_fields": utility_fields, "readable_names": readable_names, "provider_codes": provider_codes, "image_quality_metrics": image_quality_metrics}
+ORACLES = {"utility_fields": _UTILITY, "readable_names": _NAMES}

@@ -381,6 +381,12 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS form, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders) q""",
         ("orders",),
     ),
+    "joined_names": (
+        f"""SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 0 THEN concat('EDWARD', 'SAMPLE', {_WORD}) WHEN 1 THEN concat('Edward', 'Sample', {_WORD}, 'x')
+        WHEN 2 THEN concat('SAMPLE', {_WORD}, 'SAMPLE', {_WORD}) WHEN 3 THEN concat('MICHAELEBUBE', 'QQQ', {_WORD}, 'EMMANUEL') WHEN 4 THEN concat('ada', {_WORD}, '  lee') ELSE NULL END AS name,
+        CASE c_custkey % 3 WHEN 0 THEN 'AbujaElectricityDistributionPrepaid' WHEN 1 THEN 'IKEJA ELECTRIC' ELSE 'ABUJAELECTRICITY  plc' END AS provider FROM customer""",
+        ("customer",),
+    ),
     "provider_names": (
         "SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'Ikeja Electric plc' WHEN 1 THEN 'ABUJA ELECTRICTY' WHEN 2 THEN 'Kano Elektricity'"
         " WHEN 3 THEN 'something else' ELSE '' END AS name FROM customer",
