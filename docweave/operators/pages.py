@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,59 @@ def document_text(pages: DataFrame, id_col: str = "doc_id", order: str = "page_n
     parts = F.array_sort(F.collect_list(F.struct(order, F.trim("text").alias("t"))))
     kept = F.filter(F.transform(parts, lambda p: p["t"]), lambda t: t != "")
     return pages.groupBy(id_col).agg(F.trim(F.array_join(kept, "\n")).alias("text"), F.count(F.lit(1)).alias("pages"))
+
+
+#: Scores from which a text needs no other reading, and what a reader is told of an extraction.
+EMBEDDED_READABLE, OCR_READABLE, IDENTITY_ENOUGH, OCR_SURE = 60, 50, 4, 0.65
+EXTRACTION_WARNINGS = {
+    "page_limit_reached": "The document exceeded the configured page limit and was truncated.",
+    "page_text_limit_reached": "Extracted page text exceeded the configured character limit and was truncated.",
+    "no_text_extracted": "No readable text was extracted from the document.",
+}
+
+
+def embedded_text_is_sufficient(text: Column, score: Callable[[Column], Column] = identity_text_score) -> Column:
+    """Whether a page's own text is useful enough to leave the page unrendered; score tells what is wanted of it."""
+    return (score(text) >= IDENTITY_ENOUGH) & (readability_score(text) >= EMBEDDED_READABLE)
+
+
+def ocr_text_is_sufficient(text: Column, confidence: Column, score: Callable[[Column], Column] = identity_text_score) -> Column:
+    """Whether a recognised text is sure and useful enough to try no other orientation. A null confidence is not sure."""
+    sure = F.coalesce(confidence >= OCR_SURE, F.lit(False))
+    return sure & (score(text) >= IDENTITY_ENOUGH) & (readability_score(text) >= OCR_READABLE)
+
+
+def extraction_metadata(
+    pages: DataFrame, max_pages: int = 20, max_chars: int = 100_000, id_col: str = "doc_id", order: str = "page_number",
+    source: Column | None = None, confidence: Column | None = None,
+) -> DataFrame:
+    """One row per document: pages_processed, total_pages, truncated, pages and warnings.
+
+    pages lists the first max_pages with their page, source, ocr_confidence and text_length, at most max_chars. Warnings are
+    sentences, in the order of EXTRACTION_WARNINGS. Null texts are empty; pages of one number go by their text.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ranked = pages.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(order).alias("page"),
+        (F.lit(None).cast("string") if source is None else source).alias("source"),
+        (F.lit(None).cast("double") if confidence is None else confidence).alias("ocr_confidence"),
+        F.least(F.length(text), F.lit(max_chars)).alias("text_length"),
+        (F.length(text) > max_chars).alias("cut"),
+        (F.trim(text) != "").alias("some"),
+        F.row_number().over(Window.partitionBy(id_col).orderBy(order, text)).alias("rank"),
+    )
+    kept = F.col("rank") <= max_pages
+    page = F.struct("rank", "page", "source", "ocr_confidence", "text_length")
+    found = ranked.groupBy("doc_id").agg(
+        F.count_if(kept).alias("pages_processed"),
+        F.count(F.lit(1)).alias("total_pages"),
+        F.coalesce(F.max(F.when(kept, F.col("cut"))), F.lit(False)).alias("cut"),
+        F.coalesce(F.max(F.when(kept, F.col("some"))), F.lit(False)).alias("some"),
+        F.array_sort(F.collect_list(F.when(kept, page))).alias("listed"),
+    )
+    over = F.col("total_pages") > F.col("pages_processed")
+    say = lambda condition, name: F.when(condition, EXTRACTION_WARNINGS[name])
+    warnings = F.array_compact(F.array(say(over, "page_limit_reached"), say(F.col("cut"), "page_text_limit_reached"), say(~F.col("some"), "no_text_extracted")))
+    shown = F.transform("listed", lambda p: F.struct(*(p[c].alias(c) for c in ("page", "source", "ocr_confidence", "text_length"))))
+    return found.select("doc_id", "pages_processed", "total_pages", (over | F.col("cut")).alias("truncated"), shown.alias("pages"), warnings.alias("warnings"))

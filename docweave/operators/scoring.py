@@ -133,6 +133,11 @@ def business_text_score(text: Column) -> Column:
     return score.cast("int")
 
 
+def looks_like_business_document(classified: DataFrame, minimum: float = 0.40) -> Column:
+    """Whether a row of classify() has a known type with a confidence of minimum or more."""
+    return (classified["document_type"] != R.UNKNOWN_DOCUMENT) & (classified["confidence"] >= minimum)
+
+
 def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: code, name, confidence, matched, ambiguous. keep: columns to pass on.
 

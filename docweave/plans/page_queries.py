@@ -34,6 +34,21 @@ def page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_number", "text", F.col("total_pages").cast("long").alias("total_pages"), "truncated")
 
 
+def page_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "page_candidates")
+    return t.select(
+        "doc_id",
+        pages.embedded_text_is_sufficient(F.col("embedded")).alias("embedded"),
+        pages.ocr_text_is_sufficient(F.col("rendered"), F.col("ocr_confidence")).alias("rendered"),
+    )
+
+
+def extraction_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extraction_metadata(view(spark, sf_dir, "doc_pages"), max_pages=3, max_chars=120)
+    listed = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page"].cast("string"), p["text_length"].cast("string"))), "|")
+    return found.select("doc_id", "pages_processed", "total_pages", "truncated", listed.alias("pages"), F.array_join("warnings", "|").alias("warnings"))
+
+
 def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = policy.SourcePolicy(allowed_hosts=("*.example.net", "*.example.com"), allow_http=False)
     found = policy.check_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
@@ -101,6 +116,17 @@ SELECT doc_id, md5(CASE WHEN ocr THEN rendered ELSE embedded END) AS text_md5,
 _LIMITS = with_view("doc_pages", """
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, text) AS rn, count(*) OVER (PARTITION BY doc_id) AS total_pages FROM doc_pages)
 SELECT doc_id, page_number, substr(text, 1, 120) AS text, total_pages, length(text) > 120 OR total_pages > 3 AS truncated FROM r WHERE rn <= 3""")
+_SUFFICIENT = with_view("page_candidates", f"""x AS (SELECT 1)
+SELECT doc_id, {_identity('embedded')} >= 4 AND {_readability('embedded')} >= 60 AS embedded,
+       coalesce(ocr_confidence >= 0.65, false) AND {_identity('rendered')} >= 4 AND {_readability('rendered')} >= 50 AS rendered FROM page_candidates""")
+_METADATA = with_view("doc_pages", """
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, text) AS rn FROM doc_pages),
+g AS (SELECT doc_id, count_if(rn <= 3) AS pages_processed, count(*) AS total_pages, bool_or(rn <= 3 AND length(text) > 120) AS cut, bool_or(rn <= 3 AND trim(text) <> '') AS any_text,
+             string_agg(page_number || ':' || least(length(text), 120), '|' ORDER BY rn) FILTER (rn <= 3) AS pages FROM r GROUP BY doc_id)
+SELECT doc_id, pages_processed::BIGINT AS pages_processed, total_pages, cut OR total_pages > pages_processed AS truncated, pages,
+       array_to_string(list_filter([CASE WHEN total_pages > pages_processed THEN 'The document exceeded the configured page limit and was truncated.' END,
+         CASE WHEN cut THEN 'Extracted page text exceeded the configured character limit and was truncated.' END,
+         CASE WHEN NOT any_text THEN 'No readable text was extracted from the document.' END], lambda x: x IS NOT NULL), '|') AS warnings FROM g""")
 _URLS = r"""
 WITH u AS (SELECT page_id, trim(url) AS v, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
   regexp_extract(trim(url), '^[^:]+://([^/?#]*)', 1) AS netloc, regexp_extract(trim(url), '^[^:]+://[^/?#]*([^?#]*)', 1) AS path,
@@ -134,6 +160,8 @@ QUERIES = {
     "page_scores": page_scores,
     "select_page_text": select_page_text,
     "page_limits": page_limits,
+    "page_sufficiency": page_sufficiency,
+    "extraction_metadata": extraction_metadata,
     "url_policy": url_policy,
     "file_signatures": file_signatures,
     "webhook_ttl_dedupe": webhook_ttl_dedupe,
@@ -144,6 +172,8 @@ ORACLES = {
     "page_scores": _SCORES,
     "select_page_text": _SELECT,
     "page_limits": _LIMITS,
+    "page_sufficiency": _SUFFICIENT,
+    "extraction_metadata": _METADATA,
     "url_policy": _URLS,
     "file_signatures": _FILES,
     "webhook_ttl_dedupe": _DEDUPE,

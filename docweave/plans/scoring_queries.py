@@ -18,6 +18,11 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def business_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.classify(view(spark, sf_dir, "business_texts"))
+    return found.select("doc_id", scoring.looks_like_business_document(found).alias("business"))
+
+
 def classification_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.classify(view(spark, sf_dir, "business_texts"))
     # The outer form infers no filter on the array, which would be pushed down and score every document again.
@@ -213,6 +218,7 @@ FROM r LEFT JOIN l ON r.doc_id = l.doc_id WHERE rn = 1""",
 
 
 QUERIES = {
+    "business_documents": business_documents,
     "classify_documents": classify_documents,
     "classification_alternatives": classification_alternatives,
     "detect_language": detect_language,
@@ -220,6 +226,7 @@ QUERIES = {
     "detect_subdivision": detect_subdivision,
 }
 ORACLES = {
+    "business_documents": f"SELECT doc_id, document_type <> '{R.UNKNOWN_DOCUMENT}' AND confidence >= 0.4 AS business FROM ({_classify_sql()})",
     "classify_documents": _classify_sql(),
     "classification_alternatives": _alternatives_sql(),
     "detect_language": _language_sql(),
