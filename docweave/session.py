@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -51,6 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of equal keys in one task, for steps that walk sorted partitions.
+
+    By a hash of the keys, as repartition(*keys) is left out over a join by the same keys, whose rows adaptive execution
+    may then leave where they were read or part by size: a walk asks for no distribution of its own.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

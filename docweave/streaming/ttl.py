@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.session import discard, materialize
+from docweave.session import dealt, discard, materialize
 
 #: Width of a slot in times to live; functions that are composed together.
 SLOT_TTLS, RADIX = 64, 64
@@ -97,8 +97,8 @@ def _grouped(
         if out:
             yield batch_of(out)
 
-    dealt = df.select(*{*keys, order, *names}).repartition(*keys).sortWithinPartitions(*keys, order)
-    return dealt.mapInArrow(run, schema)
+    runs = dealt(df.select(*{*keys, order, *names}), *keys).sortWithinPartitions(*keys, order)
+    return runs.mapInArrow(run, schema)
 
 
 _STEPS = "key string, seg long, node long, entries array<long>, lasts array<long>"
@@ -193,7 +193,7 @@ def mark_accepted(events: DataFrame, key: Column, at: Column, order: Sequence[st
                 flags.append(new)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(flags, pa.bool_())], [*kept, flag])
 
-    dealt = joined.select(*(F.col(f"`{c}`") for c in columns)).repartition(*by).sortWithinPartitions(*by, fresh["at"], *order)
+    runs = dealt(joined.select(*(F.col(f"`{c}`") for c in columns)), *by).sortWithinPartitions(*by, fresh["at"], *order)
     schema = events.select(*(F.col(f"`{c}`") for c in kept)).withColumn(flag, F.lit(None).cast("boolean")).schema
     untimed = keyed.where(F.col(fresh["at"]).isNull()).select(*(F.col(f"`{c}`") for c in kept)).withColumn(flag, F.lit(False))
-    return dealt.mapInArrow(walk, schema).unionByName(untimed)
+    return runs.mapInArrow(walk, schema).unionByName(untimed)

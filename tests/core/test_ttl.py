@@ -89,3 +89,15 @@ def test_one_body_for_ever_is_spread(spark):
     assert len(per_task) >= 100 and per_task.max() < n / 20
     table = table.sort_values(["t", "accepted"], ascending=[True, False])
     assert table["accepted"].tolist() == walked(table["t"].tolist(), 60)
+
+
+def test_walk_keeps_its_own_shuffle_over_a_join_by_slot(spark):
+    """The planner leaves out a repartition by the keys of a sort-merge join, which then may run without a shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2_000).select("id", F.col("id").alias("t"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("body"))
+        marked = T.mark_accepted(df, F.col("body"), F.col("t"), ["id"], 10)
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
