@@ -199,3 +199,27 @@ def test_sections(spark):
     capital = {r.doc_id: r for r in sections.share_capital(docs).collect()}
     assert (capital[1].issued_amount, capital[1].paid_up_amount, capital[1].amount, capital[1].currency) == ("500.00", "0250".lstrip("0"), "500.00", "NGN")
     assert (capital[3].stated_amount, capital[3].currency) == ("1000000", "CAD") and capital[2].amount is None
+
+
+def test_receipt_date_tidies_its_text_once(spark):
+    from docweave.operators.utility import receipt_date
+
+    assert str(receipt_date(F.lit("1/2/2026"))).count("Monday") <= 2
+
+
+def test_clean_address_parts_known_words_in_order(spark):
+    import re
+
+    from docweave.operators.utility import ADDRESS_TOKENS, clean_address
+
+    texts = ["ABROADSTREETLAGOS", "LOKOGOMA LOKOGO", "XLOKOGOMAESTATEROADNEARHOTEL", "FO1AVENUE/ROAD,STREET.", "AIRPRTROADAIRPORT", "nothing", "LAGOS", "ZONELUGBE-ABUJA"]
+
+    def plain(out):
+        for token in ADDRESS_TOKENS:
+            out = re.sub(rf"(?<!^)(?<![\s,/])({token})", r" \1", out)
+            out = re.sub(rf"({token})(?!$)(?![\s,.])", r"\1 ", out)
+        return re.sub(r"\s+", " ", re.sub(r"\s*,\s*", ", ", out)).strip(" ,")
+
+    got = [r.a for r in spark.createDataFrame([(t,) for t in texts], "t string").select(clean_address(F.col("t")).alias("a")).collect()]
+    want = [plain(re.sub(r"(\d)([A-Z])", r"\1 \2", t.upper())) for t in texts]
+    assert got == want
