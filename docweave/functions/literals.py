@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 from re import _constants as c
 from re import _parser as parser
 
@@ -13,12 +15,17 @@ def mandatory_literal(pattern: str) -> str:
     Literals in a row are one text; boundaries between them don't part it, classes, choices and repeats do. What must
     be repeated holds its own literal once. Patterns with flags, or that Python cannot read, have none.
     """
+    return max(mandatory_literals(pattern), key=len, default="")
+
+
+def mandatory_literals(pattern: str) -> list[str]:
+    """All texts that every match of the pattern holds, in its order; see mandatory_literal()."""
     try:
         tree = parser.parse(pattern)
     except (re.error, OverflowError):
-        return ""
+        return []
     if tree.state.flags & re.IGNORECASE or "(?" in re.sub(r"\(\?(?::|[=!]|<[=!])", "", pattern.replace("(?<prefix>", "(")):
-        return ""
+        return []
     runs: list[str] = [""]
 
     def walk(items: parser.SubPattern) -> None:
@@ -35,7 +42,7 @@ def mandatory_literal(pattern: str) -> str:
                 runs.append("")
 
     walk(tree)
-    return max(runs, key=len)
+    return [r for r in runs if r]
 
 
 def sql_text(text: str) -> str:
@@ -44,7 +51,25 @@ def sql_text(text: str) -> str:
 
 
 def sql_found(column: str, pattern: str, flags: str = "") -> str:
-    """SQL for whether the pattern is found in the column; its mandatory literal is looked for first."""
-    literal = mandatory_literal(pattern)
-    found = f"regexp_like({column}, {sql_text(flags + pattern)})"
-    return f"(contains({column}, {sql_text(literal)}) AND {found})" if len(literal) > 1 else found
+    """SQL for whether the pattern is found in the column; its mandatory literals, longest first, are looked for before."""
+    literals = sorted({x for x in mandatory_literals(pattern) if len(x) > 1}, key=lambda x: (-len(x), x))
+    looks = [f"contains({column}, {sql_text(x)})" for x in literals]
+    found = " AND ".join([*looks, f"regexp_like({column}, {sql_text(flags + pattern)})"])
+    return f"({found})" if looks else found
+
+
+def sql_may(column: str, patterns: Iterable[str]) -> str:
+    """SQL for whether one of the patterns may be found in the column: all literals of one are there. Never false for a match.
+
+    Literals that few patterns have are looked for first, so that most patterns cost one look.
+    """
+    sets = [sorted({x for x in mandatory_literals(p) if len(x) > 1}) for p in patterns]
+    if not sets:
+        return "false"
+    if not all(sets):
+        return "true"
+    often = Counter(x for words in sets for x in words)
+    rows = dict.fromkeys(tuple(sorted(words, key=lambda x: (often[x], -len(x), x))) for words in sets)
+    listed = ", ".join(f"array({', '.join(map(sql_text, words))})" for words in rows)
+    # The column is named once: a filter that is pushed below its projection computes it once.
+    return f"exists(array({column}), value -> exists(array({listed}), words -> forall(words, word -> contains(value, word))))"

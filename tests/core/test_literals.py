@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from docweave.functions import literals as L
 from docweave.functions import rules as R
 from docweave.functions.literals import mandatory_literal, sql_found
 from docweave.functions.profiles import REGISTRY_OF_PROFILES
@@ -30,3 +31,12 @@ def test_rules_run_where_their_literal_is(spark):
         quick = df.selectExpr("i", f"{sql_found('_text', patterns[k], '(?s)')} AS hit").collect()
         pattern = patterns[k].replace("\\", "\\\\").replace("'", "\\'")
         assert quick == df.selectExpr("i", f"regexp_like(_text, '(?s){pattern}') AS hit").collect()
+
+
+def test_all_mandatory_literals_are_looked_for(spark):
+    """A state's name keeps its patterns from a text that only says secretary, and the guard is never false for a match."""
+    patterns = [r"\bALABAMA\s+SECRETARY\s+OF\s+STATE\b", r"\bOHIO\s+SECRETARY\s+OF\s+STATE\b", r"\bSTATE\s+OF\s+UTAH\b"]
+    assert "ALABAMA" in L.sql_found("t", patterns[0]).split("regexp_like")[0]
+    rows = [("THE SECRETARY OF STATE", False), ("OHIO SECRETARY OF STATE", True), ("STATE OF UTAH", True), ("UTAH STATE", False), ("", False)]
+    df = spark.createDataFrame(rows, "t string, may boolean")
+    assert [r.m for r in df.selectExpr(f"{L.sql_may('t', patterns)} as m").collect()] == [r[1] for r in rows]
