@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.textnorm import collapse, none_if_empty, normalize_business_text
+from docweave.functions.textnorm import bound, collapse, none_if_empty, normalize_business_text
 
 # Roles with their headings in order of precedence, wording that ends a section or is no name.
 ROLE_HEADINGS = (
@@ -92,25 +92,32 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
 
 def looks_like_party_name(value: Column) -> Column:
     """At least two words that are no labels; no digits unless a company form follows; no address, country or heading."""
-    name = collapse(value)
-    upper = F.upper(name)
+    fits = bound(collapse(value), lambda name: bound(F.upper(name), lambda upper: _is_name(name, upper)))
+    return F.coalesce(fits, F.lit(False))
+
+
+def _is_name(name: Column, upper: Column) -> Column:
     words = F.filter(F.regexp_extract_all(upper, F.lit(r"[A-Z][A-Z'&.-]*"), F.lit(0)), lambda w: ~w.isin(*NAME_STOP_WORDS))
     excluded = (
         F.contains(name, F.lit("@")) | _like(upper, PERSONAL_NUMBER) | upper.isin(*NO_PARTIES) | _like(upper, ADDRESS_WORD)
         | _like(upper, NO_NAME_START) | _like(name, _ANY_HEADING) | _like(name, SECTION_STOP)
     )
     shaped = (F.size(words) >= 2) & (_like(upper, LEGAL_SUFFIX) | ~_like(name, r"\d"))
-    return F.coalesce(F.length(name).between(4, 140) & shaped & ~excluded, F.lit(False))
+    return F.length(name).between(4, 140) & shaped & ~excluded
 
 
 def party_name(line: Column) -> Column:
     """The name that a line of a list begins with, null if it has none."""
     plain = F.regexp_replace(F.trim(line), r"^\s*(?:\d+[.)-]?|[A-Z][.)])\s*", "")
     plain = F.regexp_replace(plain, r"(?i)^(?:FULL\s+)?NAME\s*[:.-]\s*", "")
+    return bound(plain, _first_name)
+
+
+def _first_name(plain: Column) -> Column:
     cells = F.filter(F.transform(F.split(plain, r"\s*\|\s*|\t+|\s{2,}"), lambda x: F.btrim(x, F.lit(_MARKS))), lambda x: x != "")
     first = F.coalesce(F.get(cells, F.lit(0)), plain)
     name = F.btrim(F.split(first, AFTER_NAME, 2)[0], F.lit(_MARKS))
-    return F.when(looks_like_party_name(name), name)
+    return bound(name, lambda n: F.when(looks_like_party_name(n), n))
 
 
 def party_facts(line: Column) -> dict[str, Column]:
@@ -128,11 +135,13 @@ def party_facts(line: Column) -> dict[str, Column]:
 
 
 def _is_prose(line: Column, role: Column) -> Column:
-    text = collapse(line)
-    upper = F.upper(text)
-    director = (role == "DIRECTOR") & _like(upper, r"^(?:ALTERNATE\s+)?DIRECTORS?\b")
-    long = (F.size(F.split(text, " ")) > 12) | _like(text, "[.;]$")
-    return (text != "") & (_like(text, BULLET) | director | long | _like(upper, PROSE))
+    def prose(text: Column) -> Column:
+        upper = F.upper(text)
+        director = (role == "DIRECTOR") & _like(upper, r"^(?:ALTERNATE\s+)?DIRECTORS?\b")
+        long = (F.size(F.split(text, " ")) > 12) | _like(text, "[.;]$")
+        return (text != "") & (_like(text, BULLET) | director | long | _like(upper, PROSE))
+
+    return bound(collapse(line), prose)
 
 
 def _is_header(line: Column) -> Column:
@@ -146,8 +155,8 @@ def _record_value(line: Column, below: Column, labels: str) -> Column:
     clean = lambda x: F.btrim(x, F.lit(_MARKS))
     inline = clean(F.regexp_extract(line, pattern, 1))
     value = F.substring(collapse(F.when(inline != "", inline).otherwise(clean(F.coalesce(below, F.lit(""))))), 1, 140)
-    usable = (value != "") & ~F.upper(value).isin(*NOTHING) & ~_like(value, r"@|\d")
-    return F.when(_like(line, pattern) & usable, value)
+    usable = lambda v: (v != "") & ~F.upper(v).isin(*NOTHING) & ~_like(v, r"@|\d")
+    return F.when(_like(line, pattern), bound(value, lambda v: F.when(usable(v), v)))
 
 
 def _sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -223,3 +223,9 @@ def test_clean_address_parts_known_words_in_order(spark):
     got = [r.a for r in spark.createDataFrame([(t,) for t in texts], "t string").select(clean_address(F.col("t")).alias("a")).collect()]
     want = [plain(re.sub(r"(\d)([A-Z])", r"\1 \2", t.upper())) for t in texts]
     assert got == want
+
+
+def test_party_names_are_cut_out_once(spark):
+    from docweave.operators.parties import party_name
+
+    assert str(party_name(F.col("line"))).count("INACTIVE") == 1
