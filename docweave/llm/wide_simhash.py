@@ -39,6 +39,8 @@ SLACK = 0.06
 LONG, SIGMAS = 64, 6
 #: A round of missed_pairs() that leaves more than this part of the buckets' pairs is the last before all are made.
 WORTH = 0.9
+#: Shingles before its own that a row of a bucket carries, so that a pair with many in common is not made at each.
+BEFORE = 8
 #: Texts looked at for common shingles: so many or so great a part of all; and how many of these shingles are noted.
 SAMPLE, PART, COMMON = 8000, 50, 1 << 14
 _CHUNK = 1 << 14
@@ -323,11 +325,22 @@ def missed_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
     Exact: similar sets share a shingle of their prefixes, and from the first one they share on both have all of their
     overlap left. Nodes that are connected already need no comparison, and buckets of any size are paired.
     """
-    columns = ("node", "size", "place", "root")
-    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{n}") for c in columns)) for n in "ab")
+    return meetings(mixed, similarity).distinct()
+
+
+def meetings(mixed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of missed_pairs(), at the first shingle that both have and again only where the last BEFORE of each differ.
+
+    Both of a pair have fewer shingles before an earlier one that they share, and so enough behind it too: they met
+    there already. Of two texts with one id only those of a size see each other's shingles, for which this holds as well.
+    """
+    last = Window.partitionBy("node", "size").orderBy("place").rowsBetween(-BEFORE, -1)
+    rows = mixed.select("key", "node", "size", "place", "root", F.collect_list("key").over(last).alias("before"))
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{n}") for c in rows.columns if c != "key")) for n in "ab")
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    met = a.join(b, "key").where(apart & _enough_behind("_a", "_b", similarity))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    new = ~F.arrays_overlap("before_a", "before_b")
+    met = a.join(b, "key").where(apart & _enough_behind("_a", "_b", similarity) & new)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, budget: int, least_size: int = 0) -> DataFrame:

@@ -164,6 +164,19 @@ def test_large_group_makes_pairs_in_proportion(spark, monkeypatch):
     assert {r.doc_id for r in got} | {0} == set(range(600)) and {r.component_id for r in got} == {0}
 
 
+def test_pair_with_many_shared_shingles_is_made_once(spark):
+    # Rows of mixed_buckets(): documents 0 to 19 share 40 prefix shingles, every third also a shingle of its own between.
+    rows = [(k, d, 400 + d % 2, 2 * k + (d % 3 == 0), d) for d in range(20) for k in range(40)]
+    rows += [(1000 + k, d, 400 + d % 2, 2 * k, d) for d in range(0, 20, 3) for k in range(0, 40, 5)]
+    # Two texts with one id, of which only the longer has enough behind the shared shingles.
+    rows += [(k, 99, 40, k, 99) for k in range(40)] + [(k, 99, 401, 2 * (k - 10) + 1, 99) for k in range(10, 15)]
+    mixed = spark.createDataFrame(rows, "key long, node long, size int, place int, root long")
+    met = W.meetings(mixed, 0.8)
+    want = {(a, b) for a in range(20) for b in [*range(a + 1, 20), 99]}
+    assert {tuple(r) for r in W.missed_pairs(mixed, 0.8).collect()} == want
+    assert met.count() == len(want)
+
+
 def test_rows_are_told_apart_by_id_and_text(spark):
     rng = random.Random(11)
     long = words(rng, 200)
