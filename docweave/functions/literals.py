@@ -8,6 +8,9 @@ from collections.abc import Iterable
 from re import _constants as c
 from re import _parser as parser
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def mandatory_literal(pattern: str) -> str:
     """The longest text that every match of the pattern holds as it stands; empty if none is sure.
@@ -51,13 +54,43 @@ def sql_text(text: str) -> str:
 
 
 def sql_found(column: str, pattern: str, flags: str = "") -> str:
-    """SQL for whether the pattern is found in the column; its mandatory literals, longest first, are looked for before."""
+    """SQL for whether the pattern is found in the column; its mandatory literals, longest first, are looked for before.
+
+    A pattern of nothing but (?=.*x) is found where each x is; as it stands it would read the rest of the text from
+    every place of it. That needs the flag s, by which the dot is any character.
+    """
+    ahead = _looked_ahead(pattern) if "s" in flags else []
+    if ahead:
+        return f"({' AND '.join(sql_found(column, x, flags) for x in ahead)})"
     literals = sorted({x for x in mandatory_literals(pattern) if len(x) > 1}, key=lambda x: (-len(x), x))
     looks = [f"contains({column}, {sql_text(x)})" for x in literals]
     found = " AND ".join([*looks, f"regexp_like({column}, {sql_text(flags + pattern)})"])
     return f"({found})" if looks else found
 
 
+def _looked_ahead(pattern: str) -> list[str]:
+    """What a pattern of nothing but (?=.*x)(?=.*y) looks for; empty for all others."""
+    parts = pattern[5:-1].split(")(?=.*") if pattern.startswith("(?=.*") and pattern.endswith(")") else []
+    try:
+        whole = all(parser.parse(x) and not re.search(r"\||\(\?=", x) for x in parts)
+    except re.error:
+        return []
+    return parts if whole else []
+
+
+def may_match(upper: Column, pattern: str) -> Column:
+    """Whether a pattern, be it without regard to case, may be found in a text given in upper case. Never false for a match.
+
+    Literals with other than ASCII letters are not looked for; of patterns whose case is that of Unicode, none is.
+    """
+    flags, plain = re.fullmatch(r"(?:\(\?([a-zA-Z]+)\))?(.*)", pattern, re.DOTALL).groups()
+    words = {x.upper() for x in mandatory_literals(plain) if len(x) > 1 and x.isascii()}
+    found = F.lit(True)
+    for word in sorted(words, key=lambda x: (-len(x), x)) if "u" not in (flags or "").lower() else ():
+        found = found & F.contains(upper, F.lit(word))
+    return found
+
+
 def sql_may(column: str, patterns: Iterable[str]) -> str:
     """SQL for whether one of the patterns may be found in the column: all literals of one are there. Never false for a match.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.literals import may_match
 from docweave.functions.profiles import REGISTRY_OF_PROFILES
 from docweave.functions.textnorm import (
     bound,
@@ -18,7 +21,7 @@ from docweave.functions.textnorm import (
     normalize_identifier,
     parse_date,
 )
-from docweave.operators.labels import labelled
+from docweave.operators.labels import labelled, labelled_at
 
 # Labels and patterns of the core fields, in order of precedence; confidences.
 NAME_PHRASES = (
@@ -75,6 +78,17 @@ ADDRESSES = {
     ),
     "head_office_address": (r"HEAD\s+OFFICE\s+ADDRESS", r"PRINCIPAL\s+PLACE\s+OF\s+BUSINESS", r"BUSINESS\s+ADDRESS"),
 }
+TAX_LABELS = (r"TAX\s+IDENTIFICATION\s+NUMBER", r"TAX\s+ID(?:ENTIFICATION)?\s+NUMBER", "TIN")
+NATURE_LABELS = (r"NATURE\s+OF\s+BUSINESS", r"PRINCIPAL\s+(?:BUSINESS\s+)?ACTIVITY", r"LINE\s+OF\s+BUSINESS")
+COMPANY_EMAIL_LABELS = (r"REGISTERED\s+EMAIL(?:\s+ADDRESS)?", r"COMPANY\s+EMAIL")
+EMAIL_LABELS = (r"EMAIL(?:\s+ADDRESS)?",)
+COMPANY_PHONE_LABELS = (r"COMPANY\s+PHONE", r"REGISTERED\s+PHONE(?:\s+NUMBER)?")
+PHONE_LABELS = (r"PHONE(?:\s+NUMBER)?", "TELEPHONE", "MOBILE")
+#: Every label of a core field.
+ALL_LABELS = (
+    *NAME_LABELS, *TYPE_LABELS, *STATUS_LABELS, *TAX_LABELS, *NATURE_LABELS, *COMPANY_EMAIL_LABELS, *EMAIL_LABELS, *COMPANY_PHONE_LABELS, *PHONE_LABELS,
+    *(x for labels in ADDRESSES.values() for x in labels), *(x for labels, _ in DATES.values() for x in labels),
+)
 ADDRESS_WORDS = (
     r"\d|\b(?:STREET|ROAD|AVENUE|CLOSE|DRIVE|LANE|PLOT|SUITE|FLOOR|BUILDING|DISTRICT|STATE|CITY|LGA|POSTAL|OFFICE)\b"
 )
@@ -124,10 +138,15 @@ def looks_like_address(value: Column) -> Column:
     return (F.length(value) >= 8) & F.regexp_like(F.upper(value), F.lit(ADDRESS_WORDS))
 
 
+def _seen(pattern: str) -> Column:
+    """The column _text, if its upper case _upper has the words of the pattern, else null."""
+    return F.when(may_match(F.col("_upper"), pattern), F.col("_text"))
+
+
 def _company_name(text: Column, lines: Column, kind: Column, label: Column) -> Column:
     found = []
     for pattern in NAME_PHRASES:
-        name = bound(normalize_company_name(F.regexp_extract(text, pattern, 1)), lambda n: F.when(looks_like_company_name(n), n))
+        name = bound(normalize_company_name(F.regexp_extract(_seen(pattern), pattern, 1)), lambda n: F.when(looks_like_company_name(n), n))
         found.append(bound(name, lambda n, p=pattern: _match(n, F.regexp_extract(text, p, 0), "certificate_or_title_phrase", 0.94)))
     found.append(_match(normalize_company_name(label["value"]), label["excerpt"], "company_name_label", 0.98))
     # A line with a legal suffix, best near a title; the first of the best.
@@ -172,7 +191,7 @@ def _date(text: Column, name: str, country: Column) -> Column:
     label, phrases = F.col(f"_{name}"), DATES[name][1]
     found = [_match(parse_date(label["value"], country), label["excerpt"], f"{name}_label", 0.96)]
     for p in phrases:
-        found.append(_match(parse_date(first_group(text, p), country), F.regexp_extract(text, p, 0), f"{name}_label_phrase", 0.84))
+        found.append(_match(parse_date(first_group(_seen(p), p), country), F.regexp_extract(text, p, 0), f"{name}_label_phrase", 0.84))
     return F.coalesce(*found)
 
 
@@ -185,37 +204,35 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(
         F.col(id_col).alias("doc_id"), *keep, "country_code", "document_type", normalize_business_text(F.col(text_col)).alias("_text"),
     )
-    base = base.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x != ""))
+    base = base.withColumns({"_lines": F.filter(F.split("_text", "\n"), lambda x: x != ""), "_upper": F.upper("_text")})
     text, lines, country, kind = F.col("_text"), F.col("_lines"), F.col("country_code"), F.col("document_type")
     officers = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.lit(OFFICER_HEADING))), True)
     scope = F.when(officers > 0, F.slice(lines, F.lit(1), (officers - 1).cast("int"))).otherwise(lines)
+    base = base.withColumns({"_scope": scope, "_among": labelled_at(lines, ALL_LABELS)})
+    scope, among = F.col("_scope"), F.col("_among")
     phone = lambda v: F.length(F.regexp_replace(v, r"\D", "")) >= 7
     # Every labelled value is a column of its own, computed once, before its parts are used.
+    of = partial(labelled, among=among)
     found = {
-        "name": labelled(lines, NAME_LABELS, looks_like_company_name),
+        "name": of(lines, NAME_LABELS, looks_like_company_name),
         "number": _registration_number(text, country),
-        "type": labelled(lines, TYPE_LABELS, lambda v: normalize_entity_type(v).isNotNull()),
-        "name_line": F.get(F.filter(lines, lambda x: looks_like_company_name(x) & F.regexp_like(x, F.lit(LEGAL_SUFFIX))), F.lit(0)),
-        "status": labelled(lines, STATUS_LABELS, lambda v: normalize_company_status(v).isNotNull()),
-        "tax": labelled(
-            lines, (r"TAX\s+IDENTIFICATION\s+NUMBER", r"TAX\s+ID(?:ENTIFICATION)?\s+NUMBER", "TIN"), lambda v: v.rlike("(?i)[A-Z0-9]{5,}")
-        ),
-        "nature": labelled(
-            lines, (r"NATURE\s+OF\s+BUSINESS", r"PRINCIPAL\s+(?:BUSINESS\s+)?ACTIVITY", r"LINE\s+OF\s+BUSINESS"),
-            lambda v: F.length(F.regexp_replace(F.upper(v), "[^A-Z]", "")) >= 4, more=2,
-        ),
-        "email1": labelled(lines, (r"REGISTERED\s+EMAIL(?:\s+ADDRESS)?", r"COMPANY\s+EMAIL"), lambda v: v.rlike(EMAIL)),
-        "email2": labelled(scope, (r"EMAIL(?:\s+ADDRESS)?",), lambda v: v.rlike(EMAIL)),
-        "phone1": labelled(lines, (r"COMPANY\s+PHONE", r"REGISTERED\s+PHONE(?:\s+NUMBER)?"), phone),
-        "phone2": labelled(scope, (r"PHONE(?:\s+NUMBER)?", "TELEPHONE", "MOBILE"), phone),
-        **{n: labelled(lines, labels, looks_like_address, more=3) for n, labels in ADDRESSES.items()},
-        **{n: labelled(lines, labels, lambda v: parse_date(v, country).isNotNull()) for n, (labels, _) in DATES.items()},
+        "type": of(lines, TYPE_LABELS, lambda v: normalize_entity_type(v).isNotNull()),
+        "name_line": F.get(F.filter(lines, lambda x: F.regexp_like(x, F.lit(LEGAL_SUFFIX)) & looks_like_company_name(x)), F.lit(0)),
+        "status": of(lines, STATUS_LABELS, lambda v: normalize_company_status(v).isNotNull()),
+        "tax": of(lines, TAX_LABELS, lambda v: v.rlike("(?i)[A-Z0-9]{5,}")),
+        "nature": of(lines, NATURE_LABELS, lambda v: F.length(F.regexp_replace(F.upper(v), "[^A-Z]", "")) >= 4, more=2),
+        "email1": of(lines, COMPANY_EMAIL_LABELS, lambda v: v.rlike(EMAIL)),
+        "email2": of(scope, EMAIL_LABELS, lambda v: v.rlike(EMAIL)),
+        "phone1": of(lines, COMPANY_PHONE_LABELS, phone),
+        "phone2": of(scope, PHONE_LABELS, phone),
+        **{n: of(lines, labels, looks_like_address, more=3) for n, labels in ADDRESSES.items()},
+        **{n: of(lines, labels, lambda v: parse_date(v, country).isNotNull()) for n, (labels, _) in DATES.items()},
     }
     staged = base.withColumns({f"_{n}": c for n, c in found.items()})
     part = lambda n: F.col(f"_{n}")
     entity = F.coalesce(
         _match(normalize_entity_type(part("type")["value"]), part("type")["excerpt"], "entity_type_label", 0.94),
-        *(_match(normalize_entity_type(first_group(text, p, 0)), F.regexp_extract(text, p, 0), "entity_type_phrase", 0.86) for p in TYPE_PHRASES),
+        *(_match(normalize_entity_type(first_group(_seen(p), p, 0)), F.regexp_extract(text, p, 0), "entity_type_phrase", 0.86) for p in TYPE_PHRASES),
         _match(normalize_entity_type(part("name_line")), part("name_line"), "legal_suffix_inference", 0.62),
     )
     status = F.coalesce(
@@ -224,7 +241,7 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     certificate = F.startswith(kind, F.lit("CERTIFICATE"))
     issued = [
-        _match(F.when(certificate, parse_date(first_group(text, p), country)), F.regexp_extract(text, p, 0), "certificate_issue_phrase", 0.82)
+        _match(F.when(certificate, parse_date(first_group(_seen(p), p), country)), F.regexp_extract(text, p, 0), "certificate_issue_phrase", 0.82)
         for p in ISSUED
     ]
 
@@ -253,7 +270,7 @@ def core_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(_date(text, "document_date", country), *issued).alias("document_date"),
         address("registered_address").alias("registered_address"),
         address("head_office_address").alias("head_office_address"),
-        F.coalesce(*(_match(collapse(first_group(text, p, 0)), F.regexp_extract(text, p, 0), "governing_law_pattern", 0.90) for p in LAWS)).alias("governing_law"),
+        F.coalesce(*(_match(collapse(first_group(_seen(p), p, 0)), F.regexp_extract(text, p, 0), "governing_law_pattern", 0.90) for p in LAWS)).alias("governing_law"),
         _match(F.coalesce(normalize_identifier(tax["value"]), tax["value"]), tax["excerpt"], "tax_identifier_label", 0.90).alias("tax_identification_number"),
         contact("email").alias("contact_email"),
         contact("phone").alias("contact_phone"),

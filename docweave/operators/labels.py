@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ SECTION_HEADING = (
     r"|MEMORANDUM|ARTICLES)\s*[:.-]?$"
 )
 INLINE = r"^([A-Za-z][A-Za-z0-9 &'()./-]{1,60}?)\s*(?:[:#]|\s[-–—]\s)\s*(.+)$"
+#: Each inline pair has one of them.
+INLINE_MARKS = (":", "#", "-", "–", "—")
 NOISY_LABEL = (
     r"^(?:EMAIL(?: ADDRESS)?|PHONE(?: NUMBER)?|TELEPHONE|MOBILE|RESIDENTIAL ADDRESS|CONTACT ADDRESS|SIGNATURES?|SIGNED BY"
     r"|WITNESS(?: DETAILS)?|PRESENTED BY|DETAILS|PARTICULARS|OTHER INFORMATION|PERSONAL INFORMATION|SIGNATORY DETAILS"
@@ -98,23 +101,25 @@ def label_values(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal pairs, whatever their case, are kept once, at their first line. Labels are at most 60 characters with two
     letters, values at most 1000 with a letter or digit. Null texts have no pairs.
     """
+    # What is asked more than once of a line or pair is a part of an exploded row: a filter would work it out again.
+    marked = lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(m)) for m in INLINE_MARKS))
+    is_inline = lambda x: marked(x) & F.regexp_like(x, F.lit(INLINE))
     lines = docs.select(F.col(id_col).alias("doc_id"), lines_of(F.col(text_col)).alias("_lines")).select(
-        "doc_id", F.posexplode(F.zip_with("_lines", F.slice(F.concat("_lines", F.array(F.lit(None).cast("string"))), F.lit(2), F.size("_lines")), lambda a, b: F.struct(a.alias("line"), b.alias("next")))).alias("line_no", "_l")
+        "doc_id", F.posexplode(F.zip_with("_lines", F.slice(F.concat("_lines", F.array(F.lit(None).cast("string"))), F.lit(2), F.size("_lines")), lambda a, b: F.struct(a.alias("line"), b.alias("next"), is_inline(a).alias("inline")))).alias("line_no", "_l")
     )
     line, below = F.col("_l.line"), F.col("_l.next")
-    inline = F.regexp_like(line, F.lit(INLINE))
+    inline = F.col("_l.inline")
     adjacent = (
         ~inline & below.isNotNull() & looks_like_label(line) & ~looks_like_label(below) & ~F.regexp_like(below, F.lit(SECTION_HEADING))
     )
     clean = lambda v: F.btrim(collapse(v), F.lit(_MARKS))
-    pairs = lines.where(inline | adjacent).select(
-        "doc_id",
-        "line_no",
+    pair = F.struct(
         clean(F.when(inline, F.regexp_extract(line, INLINE, 1)).otherwise(line)).alias("label"),
         clean(F.when(inline, F.regexp_extract(line, INLINE, 2)).otherwise(below)).alias("value"),
         F.substring(F.when(inline, line).otherwise(F.concat(line, F.lit(" | "), below)), 1, 1200).alias("excerpt"),
         F.when(inline, 0.76).otherwise(0.66).alias("confidence"),
     )
+    pairs = lines.where(inline | adjacent).select("doc_id", "line_no", F.explode_outer(F.array(pair)).alias("p")).select("doc_id", "line_no", "p.*")
     valid = (
         (F.length("label") <= 60)
         & F.col("value").rlike("[A-Za-z0-9]")
@@ -153,11 +158,18 @@ def _continued(found: Column, line: Column) -> Column:
     return F.struct(more("value", " "), more("excerpt", " | "), goes.alias("open"), found["next"].alias("next"))
 
 
-def labelled(lines: Column, labels: tuple[str, ...], valid: Callable[[Column], Column], more: int = 0) -> Column:
+def labelled_at(lines: Column, labels: tuple[str, ...]) -> Column:
+    """Where lines begin with one of the labels, from 0: the lines that labelled() need look at."""
+    pattern = rf"(?i)^\s*(?:{'|'.join(f'(?:{x})' for x in labels)})"
+    return F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(pattern)), i)), lambda i: i.isNotNull())
+
+
+def labelled(lines: Column, labels: tuple[str, ...], valid: Callable[[Column], Column], more: int = 0, among: Column | None = None) -> Column:
     """(value, excerpt) of the first line that begins with a label and has a valid value; null without one.
 
     The value follows on the line, else it is the next line unless that is a label. Up to more further lines are
-    added until a label or heading.
+    added until a label or heading. among: a column of labelled_at() for these labels or more, of lines that begin
+    as these do.
     """
     pattern = rf"(?i)^\s*(?:{'|'.join(f'(?:{x})' for x in labels)})\s*(?:[:#.-]\s*|\s+)?(.*)$"
     marks = F.lit(_MARKS)
@@ -173,7 +185,8 @@ def labelled(lines: Column, labels: tuple[str, ...], valid: Callable[[Column], C
         return bound(found, lambda f: F.struct(F.btrim(f["value"], marks).alias("value"), f["excerpt"].alias("excerpt")))
 
     # Only lines with the label are looked at further, until the first valid value.
-    at = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(pattern)), i)), lambda i: i.isNotNull())
+    among = labelled_at(lines, labels) if among is None else among
+    at = F.filter(among, lambda i: F.regexp_like(F.get(lines, i), F.lit(pattern)))
     value_at = lambda i: bound(F.get(lines, i), lambda x: from_(x, i, F.btrim(F.regexp_extract(x, pattern, 1), marks)))
     found = F.filter(F.transform(at, value_at), lambda x: (x["value"] != "") & F.coalesce(valid(x["value"]), F.lit(False)))
     return F.get(found, F.lit(0))

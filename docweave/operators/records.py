@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import rules as R
+from docweave.functions.literals import may_match
 from docweave.functions.profiles import REGISTRY_OF_PROFILES
 from docweave.functions.textnorm import (
+    bound,
     collapse,
     confidence_level,
     none_if_empty,
@@ -116,11 +118,14 @@ def known_value(field: str, value: Column, country: Column) -> Column:
 
 def printed_authority(text: Column) -> Column:
     """An authority named in the text, else one of its first 20 lines that ends as an authority's name does."""
-    normal = normalize_business_text(text)
-    lines = F.slice(F.filter(F.split(normal, "\n"), lambda x: x != ""), 1, 20)
     like = lambda x: F.regexp_like(F.upper(x), F.lit(AUTHORITY_LINE)) & ~F.regexp_like(F.upper(x), F.lit(NO_AUTHORITY)) & F.length(x).between(4, 100)
-    named = [none_if_empty(collapse(F.regexp_extract(normal, p, 0))) for p in AUTHORITIES]
-    return F.coalesce(*named, collapse(F.get(F.filter(lines, like), F.lit(0))))
+
+    def of(normal: Column, upper: Column) -> Column:
+        named = [none_if_empty(collapse(F.regexp_extract(F.when(may_match(upper, p), normal), p, 0))) for p in AUTHORITIES]
+        lines = F.slice(F.filter(F.split(normal, "\n"), lambda x: x != ""), 1, 20)
+        return F.coalesce(*named, collapse(F.get(F.filter(lines, like), F.lit(0))))
+
+    return bound(normalize_business_text(text), lambda normal: bound(F.upper(normal), lambda upper: of(normal, upper)))
 
 
 def reconcile_type(kind: Column, confidence: Column, hint: Column) -> Column:

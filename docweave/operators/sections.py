@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.literals import may_match
 from docweave.functions.textnorm import collapse, none_if_empty, normalize_business_text, normalize_decimal, resolve_currency, unique_clean
 from docweave.operators.labels import lines_of
 
@@ -118,10 +119,14 @@ def share_capital(
     keep: columns to pass on.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(country_col).alias("_country"), normalize_business_text(F.col(text_col)).alias("_text"))
-    text, country = F.col("_text"), F.col("_country")
+    # Each pattern reads only the texts that have its words: most documents have no capital.
+    base = base.withColumn("_upper", F.upper("_text"))
+    base = base.withColumns({f"_seen{k}": F.when(may_match(F.col("_upper"), p), F.col("_text")) for k, (_, p) in enumerate(CAPITAL)})
+    country = F.col("_country")
     amounts: dict[str, list[Column]] = {}
     printed, shown, starts, ends = [], [], [], []
-    for field, pattern in CAPITAL:
+    for k, (field, pattern) in enumerate(CAPITAL):
+        text = F.col(f"_seen{k}")
         amounts.setdefault(field, []).append(normalize_decimal(none_if_empty(F.regexp_extract(text, pattern, 2))))
         printed.append(F.upper(none_if_empty(F.regexp_extract(text, pattern, 1))))
         whole, at = none_if_empty(F.regexp_extract(text, pattern, 0)), F.regexp_instr(text, F.lit(pattern))
@@ -136,7 +141,7 @@ def share_capital(
             "_end": F.array_max(F.array(*ends)),
         }
     )
-    nearby = F.substr(text, F.col("_start"), F.col("_end") - F.col("_start") + NEARBY)
+    nearby = F.substr(F.col("_text"), F.col("_start"), F.col("_end") - F.col("_start") + NEARBY)
     codes = F.array_distinct(F.array_compact(F.transform("_raw", lambda c: resolve_currency(c, country))))
     found = found.withColumns({"_nearby": nearby, "_codes": codes}).withColumn("share_classes", share_classes(F.col("_nearby"), country))
     defaults = F.create_map(*(F.lit(x) for pair in DEFAULT_CURRENCIES.items() for x in pair))
