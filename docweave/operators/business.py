@@ -12,6 +12,7 @@ from docweave.functions.profiles import REGISTRY_OF_PROFILES
 from docweave.functions.textnorm import (
     bound,
     collapse,
+    collapse_untidy,
     first_group,
     none_if_empty,
     normalize_business_text,
@@ -343,10 +344,14 @@ def field_candidates(records: DataFrame, fields: tuple[str, ...], parser: int =
 
 
 def first_pages(excerpts: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, field, page_number): the first page with a part of the excerpt, parts being 4 or more characters."""
-    flat = lambda c: F.lower(collapse(c))
+    """(doc_id, field, page_number): the first page with a part of the excerpt, parts being 4 or more characters.
+
+    Merged by document: texts that are made on the way are larger than the tables they are made of, whose size would
+    have them broadcast.
+    """
+    flat = lambda c: F.lower(collapse_untidy(c))
     parts = F.filter(F.transform(F.split("excerpt", r"\|"), flat), lambda x: F.length(x) >= 4)
-    found = excerpts.withColumn("_parts", parts).join(pages.select("doc_id", "page_number", flat(F.col("text")).alias("_page")), "doc_id")
+    found = excerpts.withColumn("_parts", parts).join(pages.select("doc_id", "page_number", flat(F.col("text")).alias("_page")).hint("merge"), "doc_id")
     hit = F.exists("_parts", lambda x: F.contains(F.col("_page"), x))
     return found.where(hit).groupBy("doc_id", "field").agg(F.min("page_number").alias("page_number"))
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from docweave.functions import textnorm
 from docweave.operators import business, provenance, records
 
 
@@ -79,3 +80,16 @@ def test_authorities(spark):
     cand = [(1, "issuing_authority", rows[0][0], 0.8, 0), (1, "issuing_authority", rows[0][1], 0.81, 1), (2, "issuing_authority", rows[1][0], 0.8, 0), (2, "issuing_authority", rows[1][1], 0.81, 1)]
     got = {r.doc_id: (r.value, r.conflict) for r in business.merge_candidates(spark.createDataFrame(cand, "doc_id long, field string, value string, confidence double, parser int")).collect()}
     assert got == {1: (rows[0][1], False), 2: (rows[1][0], True)}
+
+
+def test_first_pages_are_merged(spark):
+    """Excerpts are not sent whole to every executor, however small their table looks; tidy texts are not rewritten, others are."""
+    texts = ["a b", " a b ", "a  b", "a\tb", "a\nb", "a\x0bb", "a\x0cb", "a\rb", "é b", "é b", "a b", "　a", "a\x1cb", "", None, "  "]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, page_number int, text string")
+    both = df.select(textnorm.collapse(F.col("text")).alias("a"), textnorm.collapse_untidy(F.col("text")).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both]
+    excerpts = spark.createDataFrame([(2, "x", "zz | A  B C"), (2, "y", "a b c d | none")], "doc_id int, field string, excerpt string")
+    pages = spark.createDataFrame([(2, 2, "q A b\tc"), (2, 1, "a b"), (2, 3, "a b c d")], "doc_id int, page_number int, text string")
+    found = business.first_pages(excerpts, pages)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.field, r.page_number) for r in found.collect()) == [("x", 2), ("y", 3)]
